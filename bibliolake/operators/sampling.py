@@ -33,9 +33,9 @@ def _cuts(keyed: DataFrame, label: str, key: str, shares: list[float]) -> DataFr
         (F.sum("n").over(up_to) - F.col("n")).alias("before"),
         F.sum("n").over(Window.partitionBy(label)).alias("total"),
     )
-    wanted = F.explode(F.array(*[F.struct(F.lit(i).alias("cut"), F.lit(s).alias("share")) for i, s in enumerate(shares)]))
-    ranks = buckets.select("*", wanted.alias("w")).select(
-        label, "_bucket", "n", "before", "w.cut", F.floor(F.col("total") * F.col("w.share")).alias("rank")
+    wanted = F.posexplode(F.array(*[F.lit(float(s)) for s in shares]))
+    ranks = buckets.select("*", wanted.alias("cut", "share")).withColumn(
+        "rank", F.floor(F.col("total") * F.col("share"))
     )
     holding = ranks.filter(
         (F.col("before") < F.col("rank")) & (F.col("rank") <= F.col("before") + F.col("n"))
@@ -55,9 +55,10 @@ def _below(keyed: DataFrame, label: str, key: str, shares: list[float]) -> DataF
     cuts = _cuts(keyed, label, key, shares).groupBy(label).agg(
         F.sort_array(F.collect_list("last")).alias("_lasts")
     )
-    marked = keyed.join(cuts, label, "left")
+    # One row per class of a classifier, so the table of rows is not shuffled.
+    marked = keyed.join(F.broadcast(cuts), label, "left")
     me = F.struct("_hash", key)
-    passed = F.size(F.filter(F.coalesce("_lasts", F.array().cast(cuts.schema["_lasts"].dataType)), lambda c: c < me))
+    passed = F.coalesce(F.size(F.filter("_lasts", lambda c: c < me)), F.lit(0))
     return marked.withColumn("_passed", passed).withColumn("_found", F.coalesce(F.size("_lasts"), F.lit(0)))
 
 
