@@ -12,6 +12,10 @@ TITLE_WIDTH = 60
 DATE_FORMAT = "d/M/yyyy"
 NODE_BASE_WEIGHT = 12
 NODE_LOG_WEIGHT = 5
+WHITESPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def lenient_int(c: Column) -> Column:
@@ -64,7 +68,7 @@ def month_label(d: Column) -> Column:
 
 def strip(c: Column) -> Column:
     """Drop whitespace of any kind at both ends (``trim`` only drops spaces)."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITESPACE))
 
 
 def squeeze(c: Column) -> Column:

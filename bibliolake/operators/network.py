@@ -45,17 +45,16 @@ def _pairs(terms: DataFrame, longest: int | None = None) -> DataFrame:
     list are spread over all tasks first, so one huge paper does not keep a
     single task busy; ``longest`` tells that no list is longer than this.
     """
-
-    def anchors(rows: DataFrame) -> DataFrame:
-        return rows.select(F.posexplode_outer("terms").alias("at", "src"), "terms").select(
-            "src", F.slice("terms", F.col("at") + 2, F.size("terms")).alias("rest")
-        )
-
-    narrow = anchors(terms.filter(F.size("terms").between(2, WIDE_PAPER)))
+    anchors = terms.select(F.posexplode_outer("terms").alias("at", "src"), "terms").select(
+        "at", "src", F.slice("terms", F.col("at") + 2, F.size("terms")).alias("rest")
+    )
     if longest is None or longest > WIDE_PAPER:
-        wide = anchors(terms.filter(F.size("terms") > WIDE_PAPER)).repartition("src", "rest")
-        narrow = narrow.unionByName(wide)
-    return narrow.select("src", F.explode_outer("rest").alias("dst")).filter("dst is not null")
+        # Position and rest give the length of the list. Asking the list itself
+        # would let the optimizer build it once more for the filter.
+        wide = F.col("at") + F.size("rest") >= WIDE_PAPER
+        spread = anchors.filter(wide).repartition("src", "rest")
+        anchors = anchors.filter(~wide).unionByName(spread)
+    return anchors.select("src", F.explode_outer("rest").alias("dst")).filter("dst is not null")
 
 
 def _weighted(pairs: DataFrame, min_weight: int) -> DataFrame:
@@ -80,7 +79,7 @@ def top_subgraph(
     at most n·(n-1)/2 pairs."""
     nodes = _top_nodes(keyword_nodes(df), n)
     kept = F.array_intersect("terms", _as_array(nodes, "keyword"))
-    edges = _weighted(_pairs(_terms(df).select(F.array_sort(kept).alias("terms")), longest=n), min_weight)
+    edges = _weighted(_pairs(_terms(df).select(F.sort_array(kept).alias("terms")), longest=n), min_weight)
     return styled(nodes), edges
 
 

@@ -7,8 +7,6 @@ A label with a third of all rows therefore never meets in one task.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,8 +38,10 @@ def _cuts(keyed: DataFrame, label: str, key: str, shares: list[float]) -> DataFr
     holding = ranks.filter(
         (F.col("before") < F.col("rank")) & (F.col("rank") <= F.col("before") + F.col("n"))
     ).select(label, "_bucket", "cut", (F.col("rank") - F.col("before")).alias("offset"))
+    # One row per label and cut, so both joins with it leave the rows in place.
+    holding = F.broadcast(holding)
     inside = keyed.select(label, "_bucket", "_hash", key).join(
-        holding.select(label, "_bucket").distinct(), [label, "_bucket"], "left_semi"
+        holding, [label, "_bucket"], "left_semi"
     )
     order = Window.partitionBy(label, "_bucket").orderBy("_hash", key)
     ranked = inside.withColumn("offset", F.row_number().over(order))
@@ -82,6 +82,3 @@ def stratified_folds(
     lacking = F.lit(folds - 1) - F.col("_found")
     return marked.select(*df.columns, (F.col("_passed") + lacking).cast("int").alias("fold"))
 
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)

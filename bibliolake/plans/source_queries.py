@@ -177,9 +177,9 @@ def missing_ids(p):
 
 @over_papers(
     "aud_02_loaded_per_volume",
-    f"SELECT v.year, v.hi - v.lo + 1 AS expected, count(p.citedbycount) AS loaded, "
-    f"v.hi - v.lo + 1 - count(p.citedbycount) AS missing "
-    f"FROM volumes v LEFT JOIN papers p ON p.file_id // {VOLUME} = v.year GROUP BY ALL",
+    f"SELECT v.year, any_value(v.hi - v.lo + 1) AS expected, count(p.citedbycount) AS loaded, "
+    f"any_value(v.hi - v.lo + 1) - count(p.citedbycount) AS missing "
+    f"FROM volumes v LEFT JOIN papers p ON p.file_id // {VOLUME} = v.year GROUP BY v.year",
     ctes=VOLUMES_SQL,
 )
 def loaded_per_volume(p):
@@ -198,7 +198,7 @@ PROFILED = [
     "aud_03_missing_profile",
     "SELECT \"column\", missing, round_even(missing / n, 4) * 100 AS missing_pct FROM ("
     + " UNION ALL ".join(
-        f"SELECT '{c}' AS \"column\", count(*) - count({c}) AS missing, CAST(count(*) AS DOUBLE) AS n FROM papers"
+        f"SELECT '{c}' AS \"column\", count(*) - count({c}) AS missing, CAST(count(*) AS DOUBLE) AS n FROM counted"
         for c in PROFILED
     )
     + ")",
