@@ -24,7 +24,7 @@ def subject_names(categories: Column) -> Column:
 def distinct_terms(c: Column) -> Column:
     """Sorted distinct elements, stripped, without blanks."""
     stripped = F.transform(c, strip)
-    return F.array_sort(F.array_distinct(F.filter(stripped, lambda x: x != "")))
+    return F.sort_array(F.array_distinct(F.filter(stripped, lambda x: x != "")))
 
 
 def json_list(c: Column) -> Column:

@@ -72,7 +72,14 @@ def strip(c: Column) -> Column:
 
 
 def squeeze(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)\s+", " ")
+    """Every run of whitespace as one blank. Single blanks are left alone, they
+    are most of the runs."""
+    return F.regexp_replace(c, r"(?U)\s\s+|[\s&&[^ ]]", " ")
+
+
+def not_blank(c: Column) -> Column:
+    """True when there is a character that is not whitespace."""
+    return F.coalesce(F.rlike(c, F.lit(r"(?U)\S")), F.lit(False))
 
 
 def or_empty(c: Column) -> Column:

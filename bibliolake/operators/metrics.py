@@ -21,7 +21,7 @@ from ..functions.scalars import (
     to_count,
     to_number,
 )
-from .selection import ELEMENTS, explode_attr, funded, funded_by, of_subject
+from .selection import ELEMENTS, explode_attr, funded_by, of_subject
 
 TOP_SUBJECTS = 20
 TOP_FUNDERS = 20
@@ -147,8 +147,6 @@ def top_values(df: DataFrame, attr: str, n: int | None, share: bool = False) ->
     elif attr == "journals":
         long, name = df.select(F.col("sourcetitle").alias("journal")).dropna(), "journal"
     else:
-        if attr == "funding":
-            df = funded(df)
         long, name = explode_attr(df, attr, []), ELEMENTS[attr][1]
     ranked = long.groupBy(name).agg(F.count("*").alias("n")).orderBy(F.desc("n"), name)
     if n is not None:

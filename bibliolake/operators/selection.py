@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lists import any_contains, subject_names
-from ..functions.scalars import or_empty, or_missing_label, strip
+from ..functions.scalars import not_blank, or_empty, or_missing_label
 
 PUBLISHER_CHOICES = 30
 
@@ -85,9 +87,11 @@ def of_subject(df: DataFrame, subject: str) -> DataFrame:
     return df.filter(F.array_contains(subject_names(F.col("categories")), subject))
 
 
-def training_rows(df: DataFrame, text: str = "text", journal: str = "sourcetitle") -> DataFrame:
-    """Rows whose text and journal are both not blank."""
-    return df.filter((strip(or_empty(F.col(text))) != "") & (strip(or_empty(F.col(journal))) != ""))
+def training_rows(df: DataFrame, *parts: Column, journal: str = "sourcetitle") -> DataFrame:
+    """Rows with a journal and at least one text part that is not blank. The
+    parts are tested rather than the joined text, which is then built once."""
+    some_text = reduce(Column.__or__, [not_blank(p) for p in parts])
+    return df.filter(not_blank(F.col(journal)) & some_text)
 
 
 def domain(df: DataFrame, column: str) -> DataFrame:

@@ -57,7 +57,7 @@ def term_counts(terms: DataFrame) -> DataFrame:
     The list of a document is sorted, so a term's first occurrence is where its
     left neighbour differs. One shuffle by term, after partial sums, gives both.
     """
-    ordered = terms.select(F.array_sort("terms").alias("t"))
+    ordered = terms.select(F.sort_array("terms").alias("t"))
     before = F.concat(F.array(F.lit(None).cast("string")), F.slice("t", 1, F.greatest(F.size("t") - 1, F.lit(0))))
     pairs = ordered.select(F.explode_outer(F.arrays_zip(F.col("t").alias("t"), before.alias("b"))).alias("p"))
     rows = pairs.select(F.col("p.t").alias("term"), (~F.col("p.t").eqNullSafe(F.col("p.b"))).alias("first"))

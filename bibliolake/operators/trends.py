@@ -123,10 +123,12 @@ def keyword_grid(
 def frames(grid: DataFrame) -> DataFrame:
     """Growing sequence for an animation: frame f holds all periods up to the
     f-th. Each row names the frames it belongs to, so no range join is needed."""
-    periods = _array_of(grid, "period")
-    first = (F.array_position(periods, F.col("period")) - 1).cast("int")
-    last = F.size(periods) - 1
-    return grid.select(F.explode(F.sequence(first, last)).alias("frame"), "period", "keyword", "value")
+    # A grid has a few keywords and calendar periods, so it is ranked in one piece.
+    first = F.dense_rank().over(Window.orderBy("period")) - 1
+    ranked = grid.withColumn("first", first)
+    last = F.max("first").over(Window.partitionBy())
+    spread = F.explode(F.sequence("first", "last")).alias("frame")
+    return ranked.withColumn("last", last).select(spread, "period", "keyword", "value")
 
 
 def axis_bound(grid: DataFrame) -> DataFrame:

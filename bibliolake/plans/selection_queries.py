@@ -197,7 +197,7 @@ def with_date(p):
     "SELECT file_id FROM papers WHERE trim(coalesce(citation_title, '')) <> '' AND trim(sourcetitle) <> ''",
 )
 def training_rows(p):
-    return s.training_rows(p, text="citation_title").select("file_id")
+    return s.training_rows(p, F.col("citation_title")).select("file_id")
 
 
 @over_papers("flt_13_no_empty_elements", "SELECT count(*) AS n FROM (SELECT unnest(funding) AS f FROM papers) WHERE f <> ''")

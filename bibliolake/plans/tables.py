@@ -12,11 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Patterns and moduli shared by both forms of the view.
-WORD = r"\p{L}+"
-KEYWORD = "^[A-Z][a-z]{1,4}$"
-AUTHOR = "^[A-Z][a-z]{5,8}$"
-FUNDER = "^(th|en|er|de|la|ou)(ti|re|an|on|en|ed|th)$"
-SUBJECT = "^[a-z]{2,3}(ing|eau|tion)$"
+KEYWORD = "[A-Z][a-z]{1,4}"
+AUTHOR = "[A-Z][a-z]{5,8}"
+FUNDER = "(th|en|er|de|la|ou)(ti|re|an|on|en|ed|th)"
+SUBJECT = "[a-z]{2,3}(ing|eau|tion)"
 TITLE = r"^[^.\n]*"
 FIRST_DAY, DAY_STEP, DAY_SPAN = "2010-01-01", 37, 4380
 
@@ -24,7 +23,7 @@ PAPERS_SQL = rf"""
 words AS (
   SELECT *,
     DATE '{FIRST_DAY}' + CAST((doc_id * {DAY_STEP}) % {DAY_SPAN} AS INTEGER) AS d,
-    regexp_extract_all(text, '{WORD}') AS w
+    regexp_extract_all(text, '\p{{L}}+') AS w
   FROM documents
 ),
 papers AS (
@@ -39,10 +38,10 @@ papers AS (
     '10.5555/' || doc_id AS document_classification_codes,
     CASE WHEN doc_id % 19 = 0 THEN 'n/a' ELSE CAST(n_chars // 40 AS VARCHAR) END AS refcount,
     CASE WHEN doc_id % 13 = 0 THEN NULL ELSE n_chars // 100 END AS citedbycount,
-    [x[1:2] || ' ' || x for x in w if regexp_matches(x, '{AUTHOR}')] AS allauthors_name,
-    list_distinct([x for x in w if regexp_matches(x, '{SUBJECT}')]) AS subjects,
-    [x for x in w if regexp_matches(x, '{KEYWORD}')] AS keywords,
-    [x for x in w if regexp_matches(x, '{FUNDER}')] AS funding
+    [x[1:2] || ' ' || x for x in w if regexp_full_match(x, '{AUTHOR}')] AS allauthors_name,
+    list_distinct([x for x in w if regexp_full_match(x, '{SUBJECT}')]) AS subjects,
+    [x for x in w if regexp_full_match(x, '{KEYWORD}')] AS keywords,
+    [x for x in w if regexp_full_match(x, '{FUNDER}')] AS funding
   FROM words
 ),
 counted AS (
@@ -64,7 +63,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _words(pattern: str) -> Column:
-    return F.filter("w", lambda x: F.rlike(x, F.lit(pattern)))
+    """All words of the text that fit the pattern as a whole, in order."""
+    whole = rf"(?<!\p{{L}}){pattern}(?!\p{{L}})"
+    return F.regexp_extract_all("text", F.lit(whole), F.lit(0))
 
 
 def _unless(divisor: int, value: Column) -> Column:
@@ -74,9 +75,7 @@ def _unless(divisor: int, value: Column) -> Column:
 def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The papers table, see ``PAPERS_SQL``."""
     day = F.date_add(F.lit(FIRST_DAY).cast("date"), ((F.col("doc_id") * DAY_STEP) % DAY_SPAN).cast("int"))
-    base = table(spark, sf_dir, "documents").select(
-        "*", day.alias("d"), F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("w")
-    )
+    base = table(spark, sf_dir, "documents").withColumn("d", day)
     names = F.transform(_words(AUTHOR), lambda x: F.concat_ws(" ", F.substring(x, 1, 2), x))
     pairs = F.transform(
         F.array_distinct(_words(SUBJECT)),

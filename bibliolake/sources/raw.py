@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .workspace import by_year
+
 # Fixed value: a document is stored as <year>/<file id>, with or without suffix.
 MEMBER_PATTERN = r"(?:^|/)(\d{4})/(\d+)(?:\.[^/]*)?$"
 DUPLICATE_KEYS = "spark.sql.variant.allowDuplicateKeys"
@@ -79,18 +81,13 @@ def read_archives(spark: SparkSession, archives: str) -> tuple[DataFrame, DataFr
     return _split_parsed(files)
 
 
-def _clustered(df: DataFrame) -> DataFrame:
-    """Sorted by year and id; ids split a year that holds most rows."""
-    return df.repartitionByRange("year", "file_id").sortWithinPartitions("year", "file_id")
-
-
 def write_raw(docs: DataFrame, where: str, mode: str = "overwrite", skip_present: bool = False) -> None:
     """Write or append the raw table, one folder per year. Appending the same
     documents twice doubles them unless ``skip_present`` is set."""
     if skip_present and mode == "append":
         present = docs.sparkSession.read.parquet(where).select("file_id")
         docs = docs.join(present, "file_id", "left_anti").dropDuplicates(["file_id"])
-    _clustered(docs).write.mode(mode).partitionBy("year").parquet(where)
+    by_year(docs).write.mode(mode).partitionBy("year").parquet(where)
 
 
 def read_raw(spark: SparkSession, where: str, year: int | None = None) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .workspace import by_year
+
 # Columns of the preview and of the fixed-column export.
 PREVIEW_COLUMNS = [
     "year", "publication_date", "citation_title", "publishername", "sourcetitle", "creator",
@@ -24,8 +26,7 @@ TRAINING_COLUMNS = ["file_id", "citation_title", "abstracts", "keywords", "sourc
 
 def write_papers(papers: DataFrame, where: str) -> None:
     """Replace the papers table, one folder per year, sorted by year and id."""
-    ordered = papers.repartitionByRange("year", "file_id").sortWithinPartitions("year", "file_id")
-    ordered.write.mode("overwrite").partitionBy("year").parquet(where)
+    by_year(papers).write.mode("overwrite").partitionBy("year").parquet(where)
 
 
 def read_papers(spark: SparkSession, where: str, columns: list[str] | None = None) -> DataFrame:
