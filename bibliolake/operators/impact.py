@@ -25,11 +25,14 @@ IDENTIFIERS = ["file_id", "document_classification_codes"]
 TARGETS = ["citedbycount", "label"]
 
 
-def label_high_impact(df: DataFrame, q: float = IMPACT_QUANTILE) -> DataFrame:
+def label_high_impact(
+    df: DataFrame, q: float = IMPACT_QUANTILE, fit_on: DataFrame | None = None
+) -> DataFrame:
     """Drops papers without citations and adds ``label``: 1 for citations
-    strictly above the quantile."""
+    strictly above the quantile. The quantile is that of all the papers, or of
+    ``fit_on`` when test papers must not influence it."""
     cited = df.filter(F.col("citedbycount").isNotNull())
-    threshold = exact_quantile(cited, "citedbycount", q).scalar()
+    threshold = exact_quantile(df if fit_on is None else fit_on, "citedbycount", q).scalar()
     return cited.withColumn("label", (F.col("citedbycount") > threshold).cast("int"))
 
 
@@ -136,7 +139,7 @@ def tune_gbt(
         rows, "depth int, iterations int, step double, accuracy double"
     )
     best = max(range(len(rows)), key=lambda i: rows[i][3])
-    settings = dict(zip(("depth", "iterations", "step"), rows[best]))
+    settings = dict(zip(("depth", "iterations", "step", "accuracy"), rows[best]))
     return ImpactModel(search.bestModel, names, settings, scores)
 
 

@@ -4,7 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.lists import any_contains, distinct_terms, list_length, subject_names
+from ..functions.lists import (
+    any_contains,
+    distinct_terms,
+    json_list,
+    json_subjects,
+    keywords_as_text,
+    list_length,
+    subject_names,
+)
 from ..functions.scalars import (
     impact_text,
     journal_text,
@@ -415,3 +423,26 @@ def missing_label(p):
     return p.select("file_id", or_missing_label(F.col("publishername")).alias("publisher"))
 
 
+
+
+@over_papers("str_06_keywords_as_text", "SELECT file_id, array_to_string(keywords, ' ') AS keyword_text FROM papers")
+def keywords_of_json(p):
+    return p.select("file_id", keywords_as_text(F.to_json("keywords")).alias("keyword_text"))
+
+
+@over_papers("arr_04_json_list", "SELECT file_id, array_to_string(funding, '|') AS funders, 0 AS from_title FROM papers")
+def lists_of_json(p):
+    return p.select(
+        "file_id",
+        F.array_join(json_list(F.to_json("funding")), "|").alias("funders"),
+        F.size(json_list(F.col("citation_title"))).alias("from_title"),
+    )
+
+
+@over_papers(
+    "arr_03_subject_names_of_json", "SELECT file_id, array_to_string(list_sort(subjects), '|') AS subjects FROM papers"
+)
+def subjects_of_json(p):
+    objects = F.transform("categories", lambda c: F.create_map(c["subject"], c["abbrev"]))
+    names = F.array_sort(json_subjects(F.to_json(objects)))
+    return p.select("file_id", F.array_join(names, "|").alias("subjects"))

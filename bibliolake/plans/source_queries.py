@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.lists import subject_names
 from ..operators.projection import build_papers
 from ..sources import audit, tables
-from ..sources.raw import read_raw, write_raw
-from ..sources.workspace import new_path
+from ..sources.raw import read_raw, split_documents, write_raw
+from ..sources.workspace import new_path, through_table
 from .registry import over_papers, query
 from .tables import PAPERS_SQL, raw_documents, table
 
@@ -61,6 +61,32 @@ def year_ranges(p):
     return audit.observed_ranges(p)
 
 
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as stored files; every 19th is cut short by its last character."""
+    raw = raw_documents(spark, sf_dir)
+    whole, broken = F.col("raw_json"), F.expr("left(raw_json, length(raw_json) - 1)")
+    files = raw.select(
+        F.concat_ws("/", F.lit("archive"), F.coalesce("year", F.lit(2018)), "file_id").alias("path"),
+        F.when(F.col("file_id") % 19 == 0, broken).otherwise(whole).alias("value"),
+    )
+    return through_table(files, "files")
+
+
+@query(
+    "src_01_documents",
+    f"WITH {PAPERS_SQL} SELECT file_id, coalesce(year, 2018) AS year, citation_title FROM papers WHERE file_id % 19 <> 0",
+)
+def documents_read(spark, sf_dir):
+    docs, _ = split_documents(_files(spark, sf_dir))
+    return build_papers(docs).select("file_id", "year", "citation_title")
+
+
+@query("src_02_malformed_rejected", f"WITH {PAPERS_SQL} SELECT file_id FROM papers WHERE file_id % 19 = 0")
+def malformed_rejected(spark, sf_dir):
+    _, rejected = split_documents(_files(spark, sf_dir))
+    return rejected.select("file_id")
+
+
 def _written_raw(spark: SparkSession, sf_dir: str) -> str:
     where = new_path(spark, "raw")
     write_raw(raw_documents(spark, sf_dir), where)

@@ -14,11 +14,13 @@ from .workspace import by_year
 
 # Fixed value: a document is stored as <year>/<file id>, with or without suffix.
 MEMBER_PATTERN = r"(?:^|/)(\d{4})/(\d+)(?:\.[^/]*)?$"
+NAMES_PER_BATCH = 10_000
 DUPLICATE_KEYS = "spark.sql.variant.allowDuplicateKeys"
 
 
-def _split_parsed(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Documents that parse, and the rest with their path."""
+def split_documents(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Files ``(path, value)`` as documents that parse, and the rest with their
+    path. Files that are not named like a document belong to neither."""
     # A repeated key must not lose the document; the last value counts.
     files.sparkSession.conf.set(DUPLICATE_KEYS, "true")
     named = files.select(
@@ -27,7 +29,7 @@ def _split_parsed(files: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.col("value").alias("raw_json"),
         "path",
     ).filter(F.col("file_id").isNotNull())
-    valid = F.try_parse_json("raw_json").isNotNull()
+    valid = F.is_valid_utf8("raw_json") & F.try_parse_json("raw_json").isNotNull()
     docs = named.filter(valid).select("file_id", "year", "raw_json")
     rejected = named.filter(~valid).select("file_id", "year", "path", "raw_json")
     return docs, rejected
@@ -42,7 +44,7 @@ def read_documents(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFra
         .text(folder)
         .select(F.col("_metadata.file_path").alias("path"), "value")
     )
-    return _split_parsed(files)
+    return split_documents(files)
 
 
 def _local(path: str) -> str:
@@ -54,7 +56,9 @@ def _list_members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for archive in batch["archive"]:
             with zipfile.ZipFile(_local(archive)) as opened:
                 names = [i.filename for i in opened.infolist() if not i.is_dir()]
-            yield pd.DataFrame({"archive": archive, "path": names})
+            for start in range(0, len(names), NAMES_PER_BATCH):
+                chosen = names[start : start + NAMES_PER_BATCH]
+                yield pd.DataFrame({"archive": archive, "path": chosen})
 
 
 def _read_members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -62,8 +66,7 @@ def _read_members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for archive, members in batch.groupby("archive"):
             with zipfile.ZipFile(_local(archive)) as opened:
                 for name in members["path"]:
-                    text = opened.read(name).decode("utf-8", "replace")
-                    yield pd.DataFrame({"path": [name], "value": [text]})
+                    yield pd.DataFrame({"path": [name], "content": [opened.read(name)]})
 
 
 def read_archives(spark: SparkSession, archives: str) -> tuple[DataFrame, DataFrame]:
@@ -76,9 +79,9 @@ def read_archives(spark: SparkSession, archives: str) -> tuple[DataFrame, DataFr
     found = spark.read.format("binaryFile").load(archives).select(F.col("path").alias("archive"))
     members = found.mapInPandas(_list_members, "archive string, path string")
     files = members.repartition("archive", "path").mapInPandas(
-        _read_members, "path string, value string"
+        _read_members, "path string, content binary"
     )
-    return _split_parsed(files)
+    return split_documents(files.select("path", F.col("content").cast("string").alias("value")))
 
 
 def write_raw(docs: DataFrame, where: str, mode: str = "overwrite", skip_present: bool = False) -> None:

@@ -11,16 +11,16 @@ CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder named by the cluster. Only a local session without the setting
-    gets a folder of its own; on a cluster the setting is required."""
-    folder = spark.conf.get(CHECKPOINT_SETTING, None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.conf.get("spark.master", "").startswith("local"):
-        raise RuntimeError(f"set {CHECKPOINT_SETTING} to a folder all executors can reach")
-    folder = tempfile.mkdtemp(prefix="bibliolake-")
-    spark.conf.set(CHECKPOINT_SETTING, folder)
-    return folder
+    """Folder named by the cluster, or set on the session's context. A local
+    session without either gets a folder of its own; a cluster must name one."""
+    context = spark.sparkContext
+    folder = spark.conf.get(CHECKPOINT_SETTING, None) or context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local"):
+            raise RuntimeError(f"set {CHECKPOINT_SETTING} to a folder all executors can reach")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="bibliolake-"))
+        folder = context.getCheckpointDir()
+    return folder.rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:

@@ -16,6 +16,9 @@ def files(tmp_path):
     return good, bad, tmp_path
 
 
+NOT_UTF8 = b'{"a":"\xff\xfe"}'
+
+
 def check_documents(docs, rejected, good, bad):
     got = {(r.year, r.file_id): r.raw_json for r in docs.collect()}
     assert got == {
@@ -23,7 +26,9 @@ def check_documents(docs, rejected, good, bad):
         (2018, 201800002): good["2018/201800002.json"],
         (2019, 201900000): good["2019/201900000"],
     }
-    assert sorted(r.raw_json for r in rejected.collect()) == sorted(bad.values())
+    texts = {r.file_id: r.raw_json for r in rejected.select("file_id", F.hex("raw_json").alias("raw_json")).collect()}
+    expected = {int(k.split("/")[1]): v.encode().hex().upper() for k, v in bad.items()}
+    assert texts == expected | {201900003: NOT_UTF8.hex().upper()}
 
 
 def test_read_documents(spark, files):
@@ -32,6 +37,7 @@ def test_read_documents(spark, files):
         target = root / name
         target.parent.mkdir(exist_ok=True)
         target.write_text(text, encoding="utf-8")
+    (root / "2019/201900003").write_bytes(NOT_UTF8)
     check_documents(*read_documents(spark, str(root)), good, bad)
 
 
@@ -43,6 +49,7 @@ def test_read_archives(spark, files):
     with zipfile.ZipFile(root / "two.zip", "w") as z:
         for name, text in bad.items():
             z.writestr(name, text)
+        z.writestr("2019/201900003", NOT_UTF8)
     check_documents(*read_archives(spark, str(root)), good, bad)
 
 
@@ -124,18 +131,37 @@ def test_has_fractions(spark):
     assert not audit.has_fractions(df, "a").first()[0] and audit.has_fractions(df, "b").first()[0]
 
 
-def test_shared_folder_follows_the_setting(spark, tmp_path):
-    before = spark.conf.get("spark.checkpoint.dir", None)
-    try:
-        spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-        assert shared_folder(spark) == str(tmp_path)
-        back = through_table(spark.range(5).withColumn("x", F.col("id") * 2), "t")
-        assert back.count() == 5 and str(tmp_path) in back.inputFiles()[0]
-    finally:
-        if before:
-            spark.conf.set("spark.checkpoint.dir", before)
-        else:
-            spark.conf.unset("spark.checkpoint.dir")
+class FakeSession:
+    """Stands for a session with the given setting, master and context folder."""
+
+    def __init__(self, setting, master, context_folder=None):
+        self.folder = context_folder
+        self.conf = self.sparkContext = self
+        self.setting, self.master = setting, master
+
+    def get(self, name, default):
+        assert name == "spark.checkpoint.dir"
+        return self.setting or default
+
+    def getCheckpointDir(self):
+        return self.folder
+
+    def setCheckpointDir(self, folder):
+        self.folder = folder
+
+
+def test_shared_folder_follows_the_setting():
+    assert shared_folder(FakeSession("hdfs://shared/x/", "yarn")) == "hdfs://shared/x"
+    assert shared_folder(FakeSession(None, "yarn", "s3://bucket/c")) == "s3://bucket/c"
+    with pytest.raises(RuntimeError):
+        shared_folder(FakeSession(None, "yarn"))
+    local = FakeSession(None, "local[2]")
+    assert shared_folder(local) == shared_folder(local) == local.folder
+
+
+def test_through_table(spark):
+    back = through_table(spark.range(5).withColumn("x", F.col("id") * 2), "t")
+    assert back.count() == 5 and shared_folder(spark) in back.inputFiles()[0]
 
 
 def test_describe_and_count(spark, make_papers):
