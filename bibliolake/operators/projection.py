@@ -73,8 +73,13 @@ def _name_with_degree(person: Column) -> Column:
 
 
 def _names(people: Column, name) -> Column:
+    return F.filter(F.transform(people, name), lambda n: n != "")
+
+
+def _names_with_degree(people: Column) -> Column:
+    """A degree alone does not make a name."""
     named = F.filter(people, lambda p: _full_name(p) != "")
-    return F.transform(named, name)
+    return F.transform(named, _name_with_degree)
 
 
 def _date_text(doc: Column) -> Column:
@@ -164,7 +169,7 @@ def build_papers(
         "funding": _funders(doc),
     }
     if degree_prefix:
-        columns["authors_deg_name_json"] = _names(_elements(doc, AUTHORS), _name_with_degree)
+        columns["authors_deg_name_json"] = _names_with_degree(_elements(doc, AUTHORS))
     if with_degree == "simple":
         columns["creator_degree"] = _degree_of_first_creator(_elements(doc, CREATORS))
     elif with_degree == "fallback":

@@ -266,8 +266,43 @@ def recommendations(p):
     return recommend.recommend(_trained(p), _manuscripts(p), "file_id")
 
 
-over_papers("top_14_most_probable_journals")(recommendations)
-over_papers("win_04_rank_of_recommendations")(recommendations)
+# Shares of three list lengths stand for probabilities, so the ranking is checked.
+SHARES = """shares AS (SELECT file_id, unnest(['authors', 'funders', 'keywords']) AS journal, unnest([
+  exp(a - greatest(a, f, k)), exp(f - greatest(a, f, k)), exp(k - greatest(a, f, k))]) / (exp(a - greatest(a, f, k)) +
+  exp(f - greatest(a, f, k)) + exp(k - greatest(a, f, k))) AS p FROM (SELECT file_id, authors_count / 8.0::DOUBLE AS a,
+  funding_count / 8.0::DOUBLE AS f, len(keywords) / 8.0::DOUBLE AS k FROM counted)),
+placed AS (SELECT *, CAST(row_number() OVER (PARTITION BY file_id ORDER BY p DESC, journal) AS INTEGER) AS rank FROM shares)"""
+
+
+def _shares(p):
+    counts = [F.col("authors_count"), F.col("funding_count"), F.size("keywords")]
+    scores = p.select("file_id", F.array(*[c / 8.0 for c in counts]).alias("score"))
+    return recommend.softmax(scores, ["file_id"]).withColumnRenamed("probability", "p")
+
+
+@over_papers(
+    "top_14_most_probable_labels",
+    "SELECT file_id, rank, journal, round_even(p, 4) AS probability FROM placed WHERE rank <= 2",
+    ctes=SHARES,
+)
+def most_probable_labels(p):
+    return recommend.most_probable(_shares(p), ["file_id"], ["authors", "funders", "keywords"], 2)
+
+
+@over_papers("win_04_rank_of_labels", "SELECT file_id, rank, journal FROM placed", ctes=SHARES)
+def rank_of_labels(p):
+    best = recommend.most_probable(_shares(p), ["file_id"], ["authors", "funders", "keywords"], 3)
+    return best.drop("probability")
+
+
+@over_papers(
+    "agg_32_coverage_of_given_clusters",
+    "SELECT topic_cluster, count(*) AS papers, count(DISTINCT sourcetitle) AS journals FROM (SELECT CAST(file_id % 7 + "
+    "7 * (len(keywords) // 20) AS INTEGER) AS topic_cluster, sourcetitle FROM papers) GROUP BY 1 HAVING count(DISTINCT sourcetitle) >= 2",
+)
+def coverage_of_given_clusters(p):
+    cluster = F.expr("int(file_id % 7 + 7 * (size(keywords) div 20))")
+    return topics.cluster_coverage(p.select("sourcetitle", cluster.alias("topic_cluster")))
 
 
 @over_papers("mod_06_classifier_per_topic")

@@ -201,6 +201,12 @@ def missing_ids(p):
     return audit.missing_ids(delivered, audit.observed_ranges(in_volumes))
 
 
+over_papers(
+    "join_09_ids_not_loaded",
+    f"SELECT file_id // {VOLUME} AS year, file_id FROM papers WHERE citedbycount IS NULL",
+)(missing_ids)
+
+
 @over_papers(
     "aud_02_loaded_per_volume",
     f"SELECT v.year, any_value(v.hi - v.lo + 1) AS expected, count(p.citedbycount) AS loaded, "
