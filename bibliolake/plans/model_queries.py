@@ -206,8 +206,8 @@ def cluster_coverage(p):
 
 
 def impact_rows(p):
-    """Labelled numeric features with the split, written once for the fits."""
-    features = impact.impact_features(impact.label_high_impact(p))
+    """Labelled numeric features, written once, and their split, written for the fits."""
+    features = through_table(impact.impact_features(impact.label_high_impact(p)), "features")
     return through_table(sampling.stratified_split(features, "label"), "impact")
 
 
