@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+DUPLICATE_KEYS = "spark.sql.variant.allowDuplicateKeys"
+
+
+def allow_repeated_keys(spark: SparkSession) -> None:
+    """A repeated key must not lose its document; the last value counts."""
+    spark.conf.set(DUPLICATE_KEYS, "true")
+
 
 def path(*keys: str) -> str:
     """JSON path of nested object keys; the bracket form takes any character."""

@@ -14,8 +14,11 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import impact_text, parse_date, to_number
 from ..sources.tables import numeric_only
+from ..sources.workspace import through_table
 from .metrics import exact_quantile
 from .sampling import FOLDS, SEED, stratified_folds
+from .text import IMPACT_FEATURES, IMPACT_NGRAM, fit_tfidf
+from .topics import K_MAX, K_MIN, K_STEP, RESTARTS, Topics, assign_topics, choose_k
 
 IMPACT_QUANTILE = 0.8
 # The grid used when a list is empty, and the full preset.
@@ -49,13 +52,49 @@ def with_text(df: DataFrame) -> DataFrame:
 
 
 def impact_features(df: DataFrame) -> DataFrame:
-    """Id, label and every numeric attribute that may predict it."""
-    table = days_from_latest(df).withColumn("refcount", to_number(F.col("refcount")))
+    """Id, targets and every numeric attribute that may predict them.
+
+    Label afterwards: the latest date is that of all papers, with citations or not.
+    """
+    if "publication_date" in df.columns:
+        df = days_from_latest(df)
+    table = df.withColumn("refcount", to_number(F.col("refcount")))
     numbers = numeric_only(table.drop(*IDENTIFIERS, *TARGETS)).columns
     targets = [c for c in TARGETS if c in table.columns]
     return table.select("file_id", *targets, *numbers)
 
 
+@dataclass
+class Prepared:
+    features: DataFrame
+    text: PipelineModel
+    topics: Topics
+
+
+def prepare(
+    papers: DataFrame,
+    max_features: int = IMPACT_FEATURES,
+    ngram: int = IMPACT_NGRAM,
+    k_min: int = K_MIN,
+    k_max: int = K_MAX,
+    step: int = K_STEP,
+    restarts: int = RESTARTS,
+    q: float = IMPACT_QUANTILE,
+    stop_words: list[str] | None = None,
+) -> Prepared:
+    """Labelled numeric features with the topic cluster of the best number of
+    clusters. Text model and clusters see the papers with citations."""
+    labelled = label_high_impact(with_text(days_from_latest(papers)), q)
+    numbers = impact_features(labelled).columns[1:]
+    # Read by the vocabulary, the vectors and every clustering.
+    rows = through_table(labelled.select("file_id", "text", *numbers), "impact-rows")
+    text = fit_tfidf(rows, max_features, ngram, stop_words)
+    vectors = through_table(text.transform(rows).drop("text"), "impact-vectors")
+    topics = choose_k(vectors, k_min, k_max, step, restarts)
+    placed = assign_topics(vectors, topics.model).drop("features")
+    return Prepared(impact_features(placed), text, topics)
+
+
 def feature_names(features: DataFrame) -> list[str]:
     return [c for c in features.columns if c not in (*IDENTIFIERS, *TARGETS, "is_test", "fold")]
 

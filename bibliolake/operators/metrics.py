@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.lists import any_contains, list_length, subject_names
+from ..functions.lists import list_length, subject_names
 from ..functions.scalars import (
     month_label,
     or_empty,
@@ -222,11 +222,6 @@ def n_distinct(df: DataFrame, column: str, approximate: bool = False) -> DataFra
     return df.agg(count(column).alias("n_distinct"))
 
 
-def has_funder(name: str):
-    """Predicate column: some funder contains the name."""
-    return any_contains(F.col("funding"), name)
-
-
 def short_titles(df: DataFrame) -> DataFrame:
     return df.select("file_id", title_label(or_empty(F.col("citation_title"))).alias("title_short"))
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import lenient_int
-from ..functions.variants import as_array, first_key_at_any_depth, scalar_at, text_at
+from ..functions.variants import allow_repeated_keys, as_array, first_key_at_any_depth, scalar_at, text_at
 
 # Where the input format keeps each attribute.
 ROOT = "abstracts-retrieval-response"
@@ -142,6 +142,7 @@ def build_papers(
     """
     if with_degree not in (None, "simple", "fallback"):
         raise ValueError(f"unknown degree rule: {with_degree}")
+    allow_repeated_keys(raw.sparkSession)
     text = F.col("raw_json")
     doc = F.col("doc")
     parsed = raw.select("file_id", "year", "raw_json", F.try_parse_json(text).alias("doc"))

@@ -12,14 +12,20 @@ from pyspark.sql import functions as F
 
 TEST_SHARE, SEED, FOLDS = 0.2, 42, 5
 BUCKET_DIGITS = 4
+BROADCAST_LABELS = 1_000
 
 
-def _keyed(df: DataFrame, label: str, key: str, seed: int) -> DataFrame:
+def _keyed(df: DataFrame, key: str, seed: int) -> DataFrame:
     digest = F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")).cast("binary"))
     return df.withColumn("_hash", digest).withColumn("_bucket", F.substring("_hash", 1, BUCKET_DIGITS))
 
 
-def _cuts(keyed: DataFrame, label: str, key: str, shares: list[float]) -> DataFrame:
+def _few(df: DataFrame, label: str) -> bool:
+    """Are there so few labels that a row for each can be broadcast?"""
+    return df.select(label).distinct().limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS
+
+
+def _cuts(keyed: DataFrame, label: str, key: str, shares: list[float], few: bool) -> DataFrame:
     """Per label and share: hash and id of the last row inside the share."""
     histogram = keyed.groupBy(label, "_bucket").agg(F.count("*").alias("n"))
     # At most 16^BUCKET_DIGITS rows per label reach these windows.
@@ -38,11 +44,10 @@ def _cuts(keyed: DataFrame, label: str, key: str, shares: list[float]) -> DataFr
     holding = ranks.filter(
         (F.col("before") < F.col("rank")) & (F.col("rank") <= F.col("before") + F.col("n"))
     ).select(label, "_bucket", "cut", (F.col("rank") - F.col("before")).alias("offset"))
-    # One row per label and cut, so both joins with it leave the rows in place.
-    holding = F.broadcast(holding)
-    inside = keyed.select(label, "_bucket", "_hash", key).join(
-        holding, [label, "_bucket"], "left_semi"
-    )
+    if few:
+        holding = F.broadcast(holding)
+    inside = keyed.select(label, "_bucket", "_hash", key)
+    inside = inside.join(holding, [label, "_bucket"], "left_semi")
     order = Window.partitionBy(label, "_bucket").orderBy("_hash", key)
     ranked = inside.withColumn("offset", F.row_number().over(order))
     return ranked.join(holding, [label, "_bucket", "offset"]).select(
@@ -52,11 +57,13 @@ def _cuts(keyed: DataFrame, label: str, key: str, shares: list[float]) -> DataFr
 
 def _below(keyed: DataFrame, label: str, key: str, shares: list[float]) -> DataFrame:
     """Adds ``_passed``: how many cuts of its label lie before each row."""
-    cuts = _cuts(keyed, label, key, shares).groupBy(label).agg(
+    few = _few(keyed, label)
+    cuts = _cuts(keyed, label, key, shares, few).groupBy(label).agg(
         F.sort_array(F.collect_list("last")).alias("_lasts")
     )
-    # One row per class of a classifier, so the table of rows is not shuffled.
-    marked = keyed.join(F.broadcast(cuts), label, "left")
+    # With few labels the rows stay where they are. With many, the join goes by
+    # label and adaptive execution splits a label that holds most of the rows.
+    marked = keyed.join(F.broadcast(cuts) if few else cuts, label, "left")
     me = F.struct("_hash", key)
     passed = F.coalesce(F.size(F.filter("_lasts", lambda c: c < me)), F.lit(0))
     return marked.withColumn("_passed", passed).withColumn("_found", F.coalesce(F.size("_lasts"), F.lit(0)))
@@ -67,7 +74,7 @@ def stratified_split(
 ) -> DataFrame:
     """Adds ``is_test``: true for the first ``floor(n · test)`` rows of each
     label in hash order."""
-    marked = _below(_keyed(df, label, key, seed), label, key, [test])
+    marked = _below(_keyed(df, key, seed), label, key, [test])
     is_test = (F.col("_found") > 0) & (F.col("_passed") == 0)
     return marked.select(*df.columns, is_test.alias("is_test"))
 
@@ -77,7 +84,7 @@ def stratified_folds(
 ) -> DataFrame:
     """Adds ``fold``: each label is cut into equally many rows per fold."""
     shares = [i / folds for i in range(1, folds)]
-    marked = _below(_keyed(df, label, key, seed), label, key, shares)
+    marked = _below(_keyed(df, key, seed), label, key, shares)
     # A label with fewer rows than folds lacks its first cuts.
     lacking = F.lit(folds - 1) - F.col("_found")
     return marked.select(*df.columns, (F.col("_passed") + lacking).cast("int").alias("fold"))

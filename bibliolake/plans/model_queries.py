@@ -207,7 +207,7 @@ def cluster_coverage(p):
 
 def impact_rows(p):
     """Labelled numeric features, written once, and their split, written for the fits."""
-    features = through_table(impact.impact_features(impact.label_high_impact(p)), "features")
+    features = through_table(impact.label_high_impact(impact.impact_features(p)), "features")
     return through_table(sampling.stratified_split(features, "label"), "impact")
 
 
@@ -234,6 +234,23 @@ def feature_importance(p):
     return impact.fit_gbt(train, depth=3, iterations=5, step=0.1).importances()
 
 
+def _prepared(p):
+    return impact.prepare(p, FEATURES, 1, k_min=2, k_max=3, step=1, restarts=1)
+
+
+@over_papers("fea_01_features_with_topic")
+def features_with_topic(p):
+    return _prepared(p).features
+
+
+@over_papers("mod_01_boosted_trees_with_topic")
+def boosted_trees_with_topic(p):
+    rows = through_table(sampling.stratified_split(_prepared(p).features, "label"), "impact")
+    train, test = _parts(rows)
+    model = impact.fit_gbt(train, depth=3, iterations=5, step=0.1)
+    return _rounded(evaluation.classification_report(model.predict(test)))
+
+
 over_papers("top_16_features")(lambda p: feature_importance(p).limit(12))
 
 

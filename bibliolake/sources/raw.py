@@ -10,19 +10,18 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.variants import allow_repeated_keys
 from .workspace import by_year
 
 # Fixed value: a document is stored as <year>/<file id>, with or without suffix.
 MEMBER_PATTERN = r"(?:^|/)(\d{4})/(\d+)(?:\.[^/]*)?$"
 NAMES_PER_BATCH = 10_000
-DUPLICATE_KEYS = "spark.sql.variant.allowDuplicateKeys"
 
 
 def split_documents(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Files ``(path, value)`` as documents that parse, and the rest with their
     path. Files that are not named like a document belong to neither."""
-    # A repeated key must not lose the document; the last value counts.
-    files.sparkSession.conf.set(DUPLICATE_KEYS, "true")
+    allow_repeated_keys(files.sparkSession)
     named = files.select(
         F.regexp_extract("path", MEMBER_PATTERN, 2).try_cast("bigint").alias("file_id"),
         F.regexp_extract("path", MEMBER_PATTERN, 1).try_cast("int").alias("year"),
@@ -70,7 +69,8 @@ def _read_members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def read_archives(spark: SparkSession, archives: str) -> tuple[DataFrame, DataFrame]:
-    """Documents inside zip archives on a mounted folder.
+    """Documents inside zip archives on a folder mounted on every executor;
+    archives in an object store have to be unpacked first.
 
     The first pass reads only the directory of each archive. Members, not
     archives, are then spread over the tasks, so one huge archive is read by

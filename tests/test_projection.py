@@ -17,8 +17,6 @@ def head(**fields):
 
 @pytest.fixture(scope="module")
 def project(spark):
-    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
-
     def run(text, **options):
         raw = spark.createDataFrame([(1, 2018, text)], "file_id bigint, year int, raw_json string")
         return build_papers(raw, **options).first()

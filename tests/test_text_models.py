@@ -69,9 +69,10 @@ def labelled(spark, sizes):
     return spark.createDataFrame(rows, "file_id bigint, label int")
 
 
-@pytest.mark.parametrize("digits", [4, 1])
-def test_stratified_split_is_exact(spark, monkeypatch, digits):
+@pytest.mark.parametrize("digits, labels", [(4, 1000), (1, 1000), (4, 1)])
+def test_stratified_split_is_exact(spark, monkeypatch, digits, labels):
     monkeypatch.setattr(sampling, "BUCKET_DIGITS", digits)
+    monkeypatch.setattr(sampling, "BROADCAST_LABELS", labels)
     df = labelled(spark, {0: 997, 1: 53, 2: 4})
     split = sampling.stratified_split(df, "label")
     counts = {(r.label, r.is_test): r.n for r in split.groupBy("label", "is_test").agg(F.count("*").alias("n")).collect()}
@@ -128,6 +129,33 @@ def test_features(make_papers):
     assert [r.year_missing for r in flagged] == [0.0, 1.0, 0.0]
 
 
+def test_latest_date_counts_papers_without_citations(make_papers):
+    p = make_papers(
+        {"citedbycount": 1, "publication_date": "01/02/2018"}, {"publication_date": "11/02/2018"},
+    )
+    row = impact.label_high_impact(impact.impact_features(p)).first()
+    assert row.file_id == 0 and row.days_from_latest_date == 10
+
+
+def test_prepare(make_papers):
+    words = ["apple pear plum", "iron steel zinc"]
+    p = make_papers(
+        *[
+            {"citedbycount": i, "citation_title": words[i % 2], "abstracts": words[i % 2], "sourcetitle": "J",
+             "publication_date": "01/02/2018", "refcount": str(i), "year": 2018}
+            for i in range(20)
+        ]
+    )
+    ready = impact.prepare(p, max_features=20, ngram=1, k_min=2, k_max=2, step=1, restarts=2)
+    rows = ready.features.collect()
+    assert ready.topics.k == 2 and len(rows) == 20
+    clusters = {i: {r.topic_cluster for r in rows if r.file_id % 2 == i} for i in (0, 1)}
+    assert len(clusters[0]) == len(clusters[1]) == 1 and clusters[0] != clusters[1]
+    assert sum(r.label for r in rows) == 4
+    assert "topic_cluster" in impact.feature_names(ready.features)
+    assert not {"label", "citedbycount", "file_id"} & set(impact.feature_names(ready.features))
+
+
 @pytest.fixture(scope="module")
 def separable(spark):
     rows = [(i, int(i % 5 == 0), float(i % 5 == 0) + (i % 3) / 10, None if i % 7 == 0 else 1.0) for i in range(200)]
