@@ -55,10 +55,13 @@ counted AS (
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A test table. A file of one piece is dealt out to all cores; a table of
-    many pieces, as on a cluster, is read as it lies."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deals a table of one piece out to all cores, for work that is heavy per
+    row. A table of many pieces, as on a cluster, is read as it lies."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
@@ -75,7 +78,7 @@ def _unless(divisor: int, value: Column) -> Column:
 def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The papers table, see ``PAPERS_SQL``."""
     day = F.date_add(F.lit(FIRST_DAY).cast("date"), ((F.col("doc_id") * DAY_STEP) % DAY_SPAN).cast("int"))
-    base = table(spark, sf_dir, "documents").withColumn("d", day)
+    base = spread(table(spark, sf_dir, "documents")).withColumn("d", day)
     names = F.transform(_words(AUTHOR), lambda x: F.concat_ws(" ", F.substring(x, 1, 2), x))
     pairs = F.transform(
         F.array_distinct(_words(SUBJECT)),
