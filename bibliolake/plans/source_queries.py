@@ -255,7 +255,36 @@ def fractional_values(spark, sf_dir):
     return audit.has_fractions(table(spark, sf_dir, "events"), "value")
 
 
-@over_papers("aud_05_shape")
+# The pinned columns of the papers table.
+SCHEMA = {
+    "file_id": "bigint",
+    "year": "int",
+    "citation_title": "string",
+    "abstracts": "string",
+    "publishername": "string",
+    "sourcetitle": "string",
+    "publication_date": "string",
+    "document_classification_codes": "string",
+    "refcount": "string",
+    "citedbycount": "bigint",
+    "allauthors_name": "array<string>",
+    "categories": "array<struct<subject:string,abbrev:string>>",
+    "creator": "string",
+    "keywords": "array<string>",
+    "funding": "array<string>",
+    "authors_deg_name_json": "array<string>",
+    "allauthors_count": "int",
+    "authors_count": "int",
+    "funding_count": "int",
+}
+SCHEMA_ROWS = ", ".join(f"({i}, '{c}', '{t}')" for i, (c, t) in enumerate(SCHEMA.items()))
+
+
+@over_papers(
+    "aud_05_shape",
+    f"SELECT position, \"column\", type, (SELECT count(*) FROM papers) AS n_rows "
+    f"FROM (VALUES {SCHEMA_ROWS}) AS s(position, \"column\", type)",
+)
 def shape(p):
     return tables.describe_shape(p)
 
