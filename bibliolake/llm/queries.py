@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language
+from . import language, simhash
 from .common import in_fold, table
 from .registry import query
 
@@ -18,3 +18,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(
         "doc_id", held_out.alias("held_out"), language.language(model).alias("found")
     ).select("doc_id", "held_out", "found.lang_pred", "found.score")
+
+
+@query("op9_simhash")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_copies(table(spark, sf_dir, "documents"))
