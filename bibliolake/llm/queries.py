@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, simhash
+from . import decontaminate, language, mixing, simhash
 from .common import in_fold, table
 from .registry import query
 
@@ -28,3 +28,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_decontamination")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op10_mixing", mixing.SQL)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
