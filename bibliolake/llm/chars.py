@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import cache
-
 import numpy as np
 
 SPACE = 32
@@ -11,10 +9,14 @@ SPACE = 32
 PIECE = 1 << 19
 
 
-@cache
+_LETTERS: list[np.ndarray] = []
+
+
 def letter_table() -> np.ndarray:
-    """For every code point, whether it is a letter."""
-    return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
+    """For every code point, whether it is a letter; made once in a task."""
+    if not _LETTERS:
+        _LETTERS.append(np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000))
+    return _LETTERS[0]
 
 
 def code_points(text: str) -> np.ndarray:

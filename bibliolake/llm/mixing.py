@@ -32,9 +32,11 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, percent: int = 1
     get the weights in turn and share ``percent`` of all words; a target stops at
     ``most`` times its source's words and the excess goes to the others by weight.
 
-    In the order of words for each weight, sources stop first to last: one stops if
-    what is left for it and those after it, shared by weight, is its limit or more.
-    So the shares follow from running sums over the sources, without rounds.
+    In the order of words for each weight, sources stop first to last. With the k
+    first at their limits, the others share the rest at some words for each unit of
+    weight; this rate rises as long as a source does stop, and falls once one that
+    would not is counted among them. So the rate is the highest over all k, which
+    running sums over the sources give without rounds.
     """
     per_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     # Windows over sources only: their number is small and their rows are sums.
@@ -46,9 +48,10 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, percent: int = 1
     rest = F.sum("__w").over(filling.rowsBetween(0, Window.unboundedFollowing))
     everything = F.sum("source_size").over(Window.partitionBy(F.lit(0)))
     left = everything * (percent / 100.0) - before
-    share = left * F.col("__w") / rest
+    rates = weighed.withColumn("__rate", left / rest)
+    share = F.max("__rate").over(Window.partitionBy(F.lit(0))) * F.col("__w")
     limit = (F.col("source_size") * most).cast("double")
-    return weighed.select("source", "source_size", F.least(share, limit).alias("target"))
+    return rates.select("source", "source_size", F.least(share, limit).alias("target"))
 
 
 def _bit_reversed(number: Column, bits: int) -> Column:
@@ -73,14 +76,20 @@ def schedule(quotas: DataFrame, block: int = BLOCK) -> DataFrame:
     needs = quotas.withColumn("slots", F.ceil(F.col("quota") / block))
     order = Window.partitionBy(F.lit(0)).orderBy(F.col("source").asc_nulls_last())
     ends = F.sum("slots").over(order)
-    # One row for each source.
+    # One row for each source; their number must be moderate.
     cut = needs.where("slots > 0").select("source", "quota", (ends - F.col("slots")).alias("low"), ends.alias("high")).collect()
     total = cut[-1]["high"] if cut else 0
     bits = max(total - 1, 0).bit_length()
     numbers = spark.range((1 << bits) if total else 0).withColumn("point", _bit_reversed(F.col("id"), bits)).where(F.col("point") < total)
-    bounds = F.array(*[F.struct(F.lit(r["high"]).alias("high"), F.lit(r["source"]).cast(quotas.schema["source"].dataType).alias("source"), F.lit(r["quota"]).alias("quota")) for r in cut]) if cut else None
+    kind = quotas.schema["source"].dataType.simpleString()
     if not cut:
-        return spark.createDataFrame([], f"slot bigint, source {quotas.schema['source'].dataType.simpleString()}, rank bigint, words bigint")
+        return spark.createDataFrame([], f"slot bigint, source {kind}, rank bigint, words bigint")
+    bounds = F.array(
+        *[
+            F.struct(F.lit(r["high"]).alias("high"), F.lit(r["source"]).cast(kind).alias("source"), F.lit(r["quota"]).alias("quota"))
+            for r in cut
+        ]
+    )
     of = F.get(F.filter(bounds, lambda b: b["high"] > F.col("point")), F.lit(0))
     slots = numbers.withColumn("of", of).select(F.col("id").alias("slot"), "of.source", "of.quota", F.expr(f"id div {STRETCH}").alias("stretch"))
     slots = through_table(slots, "slots")
@@ -179,7 +188,7 @@ filled AS (
   FROM shares
 ),
 wanted AS (
-  SELECT source, source_size, least(CAST(rest AS DOUBLE) * w / rest_w, CAST(2 * source_size AS DOUBLE)) AS target FROM filled
+  SELECT source, source_size, least(max(CAST(rest AS DOUBLE) / rest_w) OVER () * w, CAST(2 * source_size AS DOUBLE)) AS target FROM filled
 ),
 lines AS (
   SELECT *, CAST(sum(size) OVER (PARTITION BY source ORDER BY hash, size ROWS UNBOUNDED PRECEDING) AS BIGINT) - size AS start FROM sized

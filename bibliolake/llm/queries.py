@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, mixing, simhash
+from . import decontaminate, language, mixing, secrets, simhash
 from .common import in_fold, table
 from .registry import query
 
@@ -33,3 +33,10 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_mixing", mixing.SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
+
+
+@query("op2_secrets")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = secrets.fit(secrets.labelled_findings(spark))
+    found = secrets.scan(table(spark, sf_dir, "documents"), model)
+    return found.select("doc_id", "start", F.length("value").alias("length"), F.sha2("value", 256).alias("value_sha256"), "score", "is_secret")

@@ -1,25 +1,31 @@
+import random
+
 import duckdb
 import pytest
 
 from bibliolake.llm import mixing
 
 
-def test_targets_fill_by_rounds(spark):
-    sizes = [("a", 10), ("b", 1000), ("c", 50), ("d", 400), (None, 7), ("e", 0)]
-    frame = spark.createDataFrame([(s, n) for s, n in sizes], "source string, size bigint")
-    found = {r.source: r.target for r in mixing.targets(frame).collect()}
-    order = sorted((s for s, _ in sizes if s), key=str) + [None]
-    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}
-    size, fixed = dict(sizes), {}
+def by_rounds(sizes):
+    order = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
+    weight, fixed = {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}, {}
     while True:
-        rest = 1.5 * sum(size.values()) - sum(fixed.values())
+        rest = 1.5 * sum(sizes.values()) - sum(fixed.values())
         free = sum(w for s, w in weight.items() if s not in fixed)
-        over = {s: 2 * size[s] for s in order if s not in fixed and rest * weight[s] / free > 2 * size[s]}
+        over = {s: 2 * sizes[s] for s in order if s not in fixed and rest * weight[s] > 2 * sizes[s] * free}
         if not over:
-            break
+            return {s: fixed.get(s, rest * weight[s] / free if free else 0) for s in order}
         fixed |= over
-    for s in order:
-        assert found[s] == pytest.approx(fixed.get(s, rest * weight[s] / free if free else 0))
+
+
+def test_targets_are_those_of_rounds(spark):
+    rng = random.Random(4)
+    cases = [{"a": 10, "b": 1000, "c": 50, "d": 400, None: 7, "e": 0}, {"a": 0, "b": 0}, {"x": 5}, {None: 3, "é": 9, "Z": 9}]
+    cases += [{f"s{i}": int(rng.lognormvariate(6, 2)) for i in range(rng.randint(1, 30))} for _ in range(12)]
+    for sizes in cases:
+        frame = spark.createDataFrame(list(sizes.items()), "source string, size bigint").coalesce(1)
+        found = {r.source: r.target for r in mixing.targets(frame).collect()}
+        assert found == pytest.approx(by_rounds(sizes))
 
 
 def test_schedule_is_even_and_ranked(spark):
