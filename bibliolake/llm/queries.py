@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, mixing, secrets, simhash
+from . import decontaminate, language, mixing, secrets, simhash, tokens
 from .common import in_fold, table
 from .registry import query
 
@@ -40,3 +40,16 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = secrets.fit(secrets.labelled_findings(spark))
     found = secrets.scan(table(spark, sf_dir, "documents"), model)
     return found.select("doc_id", "start", F.length("value").alias("length"), F.sha2("value", 256).alias("value_sha256"), "score", "is_secret")
+
+
+#: Fixed value: the tokenizer that the token counts follow, and their limit.
+TOKENIZER, TOKEN_LIMIT = "byte_bpe_50k.json", 512
+
+
+@query("op4_tokens")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    with open(public_tokenizers.path(TOKENIZER), encoding="utf-8") as file:
+        merges = tokens.Merges.from_json(file.read())
+    return tokens.count_tokens(table(spark, sf_dir, "documents"), merges, TOKEN_LIMIT)
