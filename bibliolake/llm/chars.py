@@ -9,14 +9,36 @@ SPACE = 32
 PIECE = 1 << 19
 
 
-_LETTERS: list[np.ndarray] = []
+#: Planes 0 and 1; of the rest, 2 and 3 hold letters without case.
+TABLE = 0x20000
+ALPHA, OTHER_ALNUM, DECIMAL, UPPER, LOWER = 1, 2, 4, 8, 16
+_TABLES: list[np.ndarray] = []
 
 
-def letter_table() -> np.ndarray:
-    """For every code point, whether it is a letter; made once in a task."""
-    if not _LETTERS:
-        _LETTERS.append(np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000))
-    return _LETTERS[0]
+def _tables() -> list[np.ndarray]:
+    """Flags and lower case of the characters of both planes, made once in a task."""
+    if not _TABLES:
+        every = np.arange(TABLE, dtype=np.uint32).view("<U1")
+        alpha, decimal = np.char.isalpha(every), np.char.isdecimal(every)
+        flags = alpha * np.uint8(ALPHA) | (np.char.isalnum(every) & ~alpha & ~decimal) * np.uint8(OTHER_ALNUM) | decimal * np.uint8(DECIMAL)
+        flags |= np.char.isupper(every) * np.uint8(UPPER) | np.char.islower(every) * np.uint8(LOWER)
+        _TABLES.extend((flags, np.char.lower(every).astype("<U1").view(np.uint32)))
+    return _TABLES
+
+
+def flags(codes: np.ndarray) -> np.ndarray:
+    """What kind of character each code point is, as a sum of the flags above."""
+    table = _tables()[0]
+    if len(codes) and codes.max() >= TABLE:
+        far = codes >= TABLE
+        return np.where(far, (codes < 0x40000) * np.uint8(ALPHA), table[np.where(far, 0, codes)])
+    return table[codes]
+
+
+def lowered(codes: np.ndarray) -> np.ndarray:
+    if len(codes) and codes.max() >= TABLE:
+        return np.where(codes >= TABLE, codes, _tables()[1][np.where(codes >= TABLE, 0, codes)])
+    return _tables()[1][codes]
 
 
 def code_points(text: str) -> np.ndarray:
@@ -34,7 +56,7 @@ def letters_only(text: str) -> np.ndarray:
     """Code points of the lower-cased text between two spaces, with one space for
     each run of anything but letters."""
     codes = np.concatenate(([SPACE], code_points(text.lower()), [SPACE])).astype(np.uint64)
-    codes[~letter_table()[codes]] = SPACE
+    codes[flags(codes) & ALPHA == 0] = SPACE
     return codes[np.concatenate(([True], (codes[1:] != SPACE) | (codes[:-1] != SPACE)))]
 
 

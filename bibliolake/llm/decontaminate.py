@@ -15,14 +15,16 @@ from pyspark.sql import functions as F
 
 from bibliolake.sources.workspace import through_table
 
+from . import chars
+
 #: Tokens of a window, and the share of an item's windows that a document must hold.
 WINDOW, COVERAGE = 5, 0.8
 #: A window must have so many tokens that are no placeholders.
 LITERALS = 2
 #: Bits of the filter that goes to all tasks, whatever the size of the benchmark.
 FILTER_BITS = 1 << 23
-#: Code points of a text that are worked on at a time, distinct tokens remembered.
-PIECE, REMEMBERED = 1 << 20, 1 << 19
+#: Code points of a text that are worked on at a time.
+PIECE = 1 << 18
 
 #: Units that count as one placeholder, in lower case.
 UNITS = frozenset(
@@ -31,119 +33,153 @@ UNITS = frozenset(
     "minute minutes hour hours day days week weeks month months year years dollar dollars euro euros cent cents mile miles "
     "inch inches foot feet".split()
 )
-_TOKEN = re.compile(r"[^\W\d_]+|\d+(?:[.,]\d+)*|[.!?:\n\r]+")
 _SPACE = re.compile(r"\s")
-#: Kinds of tokens.
-PLAIN, CAPITAL, NUMBER, STOP = range(4)
+#: Classes of characters, also by their flags and below 64 those that end a sentence.
+OTHER, LETTER, DIGIT, STOP = range(4)
+_KINDS = np.array([DIGIT if f & chars.DECIMAL else LETTER if f & (chars.ALPHA | chars.OTHER_ALNUM) else OTHER for f in range(32)], np.int8)
+_STOPS = np.array([STOP if chr(i) in ".!?:\n\r" else OTHER for i in range(64)], np.int8)
+_K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _NUMBER, _NAME, _UNIT = (np.uint64(x) for x in (0x6E756D626572, 0x6E616D65, 0x756E6974))
 
 
-class Vocabulary(dict):
-    """Numbers tokens as they come and keeps hash and kind of each."""
+class Tokens:
+    """Tokens of a piece of text as arrays: first character, end, hash of the lower
+    case, class, and whether it is a word with one capital, at its start.
 
-    def __init__(self):
-        super().__init__()
-        self.hashes: list[int] = []
-        self.kinds: list[int] = []
-        self.units: list[bool] = []
+    Tokens are runs of letters, numbers with points and commas inside, and runs of
+    characters that end a sentence.
+    """
 
-    def __missing__(self, token: str) -> int:
-        low = token.lower()
-        value = 0xCBF29CE484222325
-        for byte in low.encode("utf-8", "surrogatepass"):
-            value = ((value ^ byte) * 0x100000001B3) & 0xFFFFFFFFFFFFFFFF
-        if token[0].isalpha():
-            kind = CAPITAL if token[0].isupper() and token[1:].islower() else PLAIN
-        else:
-            kind = NUMBER if token[0].isdigit() else STOP
-        self[token] = number = len(self)
-        self.hashes.append(value)
-        self.kinds.append(kind)
-        self.units.append(low in UNITS)
-        return number
-
-
-class Template:
-    """The template of a whole text: a hash for each token and whether it is a
-    placeholder. Tokens are numbers and runs of letters in lower case. Placeholders
-    are numbers, units right after a number, and names: words with one capital, at
-    their start, where no sentence begins."""
-
-    def __init__(self, text: str | None, vocabulary: Vocabulary):
-        self.tokens: list[list[str]] = []
-        hashes, slots, where = [], [], []
-        starts, after_number, done, text = True, False, 0, text or ""
-        while done < len(text):
-            cut = _SPACE.search(text, done + PIECE)
-            tokens = _TOKEN.findall(text, done, cut.end() if cut else len(text))
-            done = cut.end() if cut else len(text)
-            if not tokens:
-                continue
-            ids = np.fromiter(map(vocabulary.__getitem__, tokens), np.int64, len(tokens))
-            kind, unit = np.array(vocabulary.kinds, np.int8), np.array(vocabulary.units, bool)
-            kind, unit, h = kind[ids], unit[ids], np.array(vocabulary.hashes, np.uint64)[ids]
-            number, stop = kind == NUMBER, kind == STOP
-            unit &= np.concatenate(([after_number], number[:-1]))
-            name = (kind == CAPITAL) & ~np.concatenate(([starts], stop[:-1])) & ~unit
-            h[number], h[unit], h[name] = _NUMBER, _UNIT, _NAME
-            starts, after_number = bool(stop[-1]), bool(number[-1])
-            kept = np.flatnonzero(~stop)
-            hashes.append(h[kept])
-            slots.append((number | unit | name)[kept])
-            where.append(kept + sum(map(len, self.tokens)))
-            self.tokens.append(tokens)
-        self.hashes = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
-        self.slots = np.concatenate(slots) if slots else np.empty(0, bool)
-        self.where = np.concatenate(where) if where else np.empty(0, np.int64)
+    def __init__(self, text: str):
+        codes = chars.code_points(text)
+        flags = chars.flags(codes)
+        kind = np.zeros(len(codes) + 2, np.int8)
+        inner = kind[1:-1]
+        inner[:] = _KINDS[flags]
+        low = np.flatnonzero((codes < 64) & (inner == OTHER))
+        inner[low] = _STOPS[codes[low]]
+        between = ((codes == 46) | (codes == 44)) & (kind[:-2] == DIGIT) & (kind[2:] == DIGIT)
+        inner[between] = DIGIT
+        self.start = np.flatnonzero((inner != OTHER) & (inner != kind[:-2]))
+        self.end = np.flatnonzero((inner != OTHER) & (inner != kind[2:])) + 1
+        self.kind = inner[self.start]
+        if not len(self.start):
+            self.hash, self.capital = np.empty(0, np.uint64), np.empty(0, bool)
+            return
+        sizes = self.end - self.start
+        first = np.cumsum(sizes) - sizes
+        place = np.arange(sizes.sum()) - np.repeat(first, sizes)
+        at = place + np.repeat(self.start, sizes)
+        code = codes[at]
+        mixed = (chars.lowered(code).astype(np.uint64) + (place.astype(np.uint64) << np.uint64(24))) * _K1
+        mixed ^= mixed >> np.uint64(29)
+        mixed *= _K2
+        self.hash = np.add.reduceat(mixed, first)
+        flags = flags[at]
+        upper, lower = flags & chars.UPPER > 0, flags & chars.LOWER > 0
+        self.capital = upper[first] & (np.add.reduceat(upper, first, dtype=np.int64) == 1) & np.logical_or.reduceat(lower, first)
+
+
+def _unit_hashes() -> np.ndarray:
+    return np.sort(Tokens(" ".join(sorted(UNITS))).hash)
+
+
+class Templates:
+    """The templates of whole texts: a hash for each token that ends no sentence and
+    whether it is a placeholder. Placeholders are numbers, units right after a number,
+    and names: words with one capital, at their start, where no sentence begins."""
+
+    def __init__(self, texts: list[str], units: np.ndarray):
+        # A line end between texts begins a sentence and parts numbers from units.
+        self.text = "\n".join(texts)
+        begins = np.cumsum([0] + [len(t) + 1 for t in texts[:-1]])
+        hashes, slots, spans = [np.empty(0, np.uint64)], [np.empty(0, bool)], [np.empty((2, 0), np.int64)]
+        starts, after_number, done = True, False, 0
+        while done < len(self.text):
+            cut = _SPACE.search(self.text, done + PIECE)
+            end = cut.end() if cut else len(self.text)
+            t = Tokens(self.text[done:end])
+            if len(t.start):
+                number, stop = t.kind == DIGIT, t.kind == STOP
+                unit = np.concatenate(([after_number], number[:-1])) & (t.kind == LETTER)
+                unit[unit] = np.isin(t.hash[unit], units)
+                name = t.capital & ~np.concatenate(([starts], stop[:-1])) & ~unit
+                t.hash[number], t.hash[unit], t.hash[name] = _NUMBER, _UNIT, _NAME
+                starts, after_number = bool(stop[-1]), bool(number[-1])
+                kept = ~stop
+                hashes.append(t.hash[kept])
+                slots.append((number | unit | name)[kept])
+                spans.append(np.stack((t.start, t.end))[:, kept] + done)
+            done = end
+        self.hashes, self.slots, self.spans = np.concatenate(hashes), np.concatenate(slots), np.concatenate(spans, axis=1)
+        self.owner = np.searchsorted(begins, self.spans[0], "right") - 1
+        self.first = np.searchsorted(self.owner, np.arange(len(texts)))
+        self.sizes = np.bincount(self.owner, minlength=len(texts))
 
     def windows(self) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the windows with enough plain words, and their hashes. A text
-        with fewer tokens than a window is one window."""
-        size = min(WINDOW, len(self.hashes))
-        if not size:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        count = len(self.hashes) - size + 1
-        h = np.full(count, size, np.uint64)
-        plain = np.zeros(count, np.int8)
+        """Tokens at which a window with enough plain words begins, in order, and the
+        windows' hashes. A text with fewer tokens than a window is one window."""
+        found = [self._windows(WINDOW, np.flatnonzero(self.sizes >= WINDOW))]
+        for size in range(1, WINDOW):
+            short = np.flatnonzero(self.sizes == size)
+            if len(short):
+                found.append(self._windows(size, short))
+        places = np.concatenate([p for p, _ in found])
+        order = np.argsort(places, kind="stable")
+        return places[order], np.concatenate([h for _, h in found])[order]
+
+    def _windows(self, size: int, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        count = max(len(self.hashes) - size + 1, 0)
+        if size < WINDOW:
+            places = self.first[texts]
+        else:
+            places = np.flatnonzero(self.owner[:count] == self.owner[size - 1 : size - 1 + count])
+        h = np.full(len(places), size, np.uint64)
+        plain = np.zeros(len(places), np.int8)
         for i in range(size):
-            h = (h ^ self.hashes[i : i + count]) * np.uint64(0x9E3779B97F4A7C15)
+            h = (h ^ self.hashes[places + i]) * _K1
             h ^= h >> np.uint64(29)
-            plain += ~self.slots[i : i + count]
-        places = np.flatnonzero(plain >= min(LITERALS, size))
-        return places, h[places].view(np.int64)
+            plain += ~self.slots[places + i]
+        enough = plain >= min(LITERALS, size)
+        return places[enough], h[enough].view(np.int64)
 
     def values(self, place: int) -> list[str]:
-        """What the placeholders of a window stand for, in order."""
-        found = []
-        for i in range(place, min(place + WINDOW, len(self.hashes))):
-            if self.slots[i]:
-                at = int(self.where[i])
-                for tokens in self.tokens:
-                    if at < len(tokens):
-                        found.append(tokens[at].lower())
-                        break
-                    at -= len(tokens)
-        return found
+        """What the placeholders of the window at a token stand for, in order."""
+        size = min(WINDOW, int(self.sizes[self.owner[place]]))
+        window = slice(place, place + size)
+        return [self.text[a:b].lower() for a, b in self.spans[:, window][:, self.slots[window]].T.tolist()]
+
+
+def _blocks(texts: list[str]):
+    """Ranges of texts that together, or alone, are about a piece long."""
+    start = size = 0
+    for i, text in enumerate(texts):
+        size += len(text)
+        if size >= PIECE or i == len(texts) - 1:
+            yield start, i + 1
+            start, size = i + 1, 0
 
 
 def _rows(keep: np.ndarray | None):
     """Rows of the windows of texts; of texts to search, those that pass the filter."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vocabulary = Vocabulary()
+        units = _unit_hashes()
         for batch in batches:
+            keys, texts = batch["key"].tolist(), [t or "" for t in batch["text"]]
             found = []
-            for key, text in zip(batch["key"], batch["text"]):
-                if len(vocabulary) > REMEMBERED:
-                    vocabulary = Vocabulary()
-                template = Template(text, vocabulary)
-                places, hashes = template.windows()
-                some = slice(None)
+            for begin, end in _blocks(texts):
+                t = Templates(texts[begin:end], units)
+                places, hashes = t.windows()
+                of = t.owner[places]
+                totals = np.bincount(of, minlength=end - begin)
                 if keep is not None:
                     slot = hashes & (FILTER_BITS - 1)
                     some = np.flatnonzero(keep[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
-                for place, h in zip(places[some].tolist(), hashes[some].tolist()):
-                    found.append((key, place, h, template.values(place), len(places)))
+                    places, hashes, of = places[some], hashes[some], of[some]
+                near = places - t.first[of]
+                for place, i, at, h in zip(places.tolist(), of.tolist(), near.tolist(), hashes.tolist()):
+                    found.append((keys[begin + i], at, h, t.values(place), int(totals[i])))
             yield pd.DataFrame(found, columns=["key", "place", "hash", "slots", "n_windows"])
 
     return rows

@@ -1,5 +1,7 @@
 import re
 
+import numpy as np
+
 from bibliolake.llm import decontaminate as D
 
 ITEM = "Anna buys 12 apples for 3 euros each. How much does Anna pay for 12 apples in total? Her friend Bert has none."
@@ -52,8 +54,8 @@ def slow_leaks(docs, items):
 
 
 def test_templates_and_windows():
-    for text in [ITEM, "", "one", "ONE!! TWO!! 3 km", "3 km 4.5 kg. Paris is in France\nBerlin In", "1 2 3 4 5 6 a b"]:
-        t = D.Template(text, D.Vocabulary())
+    for text in [ITEM, "", "one", "ONE!! TWO!! 3 km", "3 km 4.5 kg. Paris is in France\nBerlin In", "1 2 3 4 5 6 a b", "x² ½ 1.5.2, 3..4 _a_b É \U0001f600 \U00020000z Éa Ab", "In Ümlaut 3 KM. ß"]:
+        t = D.Templates([text], D._unit_hashes())
         places, hashes = t.windows()
         slow = slow_windows(text)
         assert places.tolist() == [i for i, _, _ in slow]
@@ -61,12 +63,21 @@ def test_templates_and_windows():
         assert len(set(hashes.tolist())) == len({k for _, k, _ in slow})
 
 
+def test_texts_side_by_side():
+    texts = ["tiny", "", "12", "km Anna a b c d", "a b", ITEM, "Then Anna has"]
+    t = D.Templates(texts, D._unit_hashes())
+    places, hashes = t.windows()
+    alone = [D.Templates([x], D._unit_hashes()) for x in texts]
+    assert hashes.tolist() == [h for a in alone for h in a.windows()[1].tolist()]
+    assert [t.values(i) for i in places] == [a.values(i) for a in alone for i in a.windows()[0]]
+    assert (t.owner[places] == np.repeat(np.arange(7), [len(a.windows()[0]) for a in alone])).all()
+
+
 def test_pieces_of_a_long_text_join(monkeypatch):
     text = "Then Anna walks 12 km to Bonn. There " * 40
-    one = D.Template(text, D.Vocabulary())
+    one = D.Templates([text], D._unit_hashes())
     monkeypatch.setattr(D, "PIECE", 50)
-    many = D.Template(text, D.Vocabulary())
-    assert len(many.tokens) > 5
+    many = D.Templates([text], D._unit_hashes())
     assert (one.hashes == many.hashes).all() and (one.slots == many.slots).all()
     assert [one.values(i) for i in one.windows()[0]] == [many.values(i) for i in many.windows()[0]]
 
