@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, mixing, secrets, simhash, tokens
+from . import decontaminate, language, mixing, quality, secrets, simhash, tokens, toxicity
 from .common import in_fold, table
 from .registry import query
 
@@ -53,3 +53,17 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     with open(public_tokenizers.path(TOKENIZER), encoding="utf-8") as file:
         merges = tokens.Merges.from_json(file.read())
     return tokens.count_tokens(table(spark, sf_dir, "documents"), merges, TOKEN_LIMIT)
+
+
+@query("op1_toxicity")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(~in_fold(4, 2)))
+    return toxicity.scored(docs, model).withColumn("held_out", in_fold(4, 2))
+
+
+@query("op5_quality")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    measured = quality.measure(table(spark, sf_dir, "documents"))
+    taught = quality.labelled(measured, table(spark, sf_dir, "labels").where(~in_fold(4, 2)))
+    return quality.scored(measured, quality.fit(taught)).withColumn("held_out", in_fold(4, 2))
