@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, mixing, quality, secrets, simhash, tokens, toxicity
+from . import chat, decontaminate, language, mixing, quality, secrets, simhash, syncmers, tokens, toxicity
 from .common import in_fold, table
 from .registry import query
 
@@ -67,3 +67,13 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     measured = quality.measure(table(spark, sf_dir, "documents"))
     taught = quality.labelled(measured, table(spark, sf_dir, "labels").where(~in_fold(4, 2)))
     return quality.scored(measured, quality.fit(taught)).withColumn("held_out", in_fold(4, 2))
+
+
+@query("op7_fingerprints")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query("op8_chat", chat.SQL)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.render(table(spark, sf_dir, "conversations"))
