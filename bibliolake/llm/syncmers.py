@@ -26,7 +26,7 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def _units(text: Column) -> Column:
-    cut = F.when(F.length(text) < SHORT, F.split(text, "")).otherwise(F.regexp_extract_all(text, F.lit(UNIT), F.lit(0)))
+    cut = F.when(F.length(text) == 0, F.array().cast("array<string>")).when(F.length(text) < SHORT, F.split(text, "")).otherwise(F.regexp_extract_all(text, F.lit(UNIT), F.lit(0)))
     return _let(cut, lambda u: F.when((F.size(u) == 0) & (F.length(text) > 0), F.array(text)).otherwise(u))
 
 
