@@ -12,6 +12,7 @@ TITLE_WIDTH = 60
 DATE_FORMAT = "d/M/yyyy"
 NODE_BASE_WEIGHT = 12
 NODE_LOG_WEIGHT = 5
+NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 WHITESPACE = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
     "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -25,13 +26,18 @@ def lenient_int(c: Column) -> Column:
 
 
 def to_number(c: Column) -> Column:
-    """Numeric value of a text, null where it is not a number."""
-    return F.trim(c.cast("string")).try_cast("double")
+    """Numeric value of a text in decimal or exponent form, null where it is none.
+    Type suffixes, ``NaN`` and infinity in any spelling are no numbers here, nor is
+    what exceeds a double: one of them would spoil every sum it enters."""
+    text = F.trim(c.cast("string"))
+    value = F.when(text.rlike(NUMBER), text.try_cast("double"))
+    return F.when(F.abs(value) < float("inf"), value)
 
 
 def to_count(c: Column) -> Column:
-    """Like ``to_number`` but nulls become 0 and the result is a whole number."""
-    return F.coalesce(to_number(c), F.lit(0.0)).cast("bigint")
+    """Like ``to_number`` but the result is a whole number, 0 for null and for what
+    exceeds a bigint."""
+    return F.coalesce(to_number(c).try_cast("bigint"), F.lit(0).cast("bigint"))
 
 
 def ratio_or_null(num: Column, den: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -9,7 +10,7 @@ from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import impact_text, parse_date, to_number
@@ -125,6 +126,19 @@ class ImpactModel:
         scored = self.pipeline.transform(with_missing_flags(df, self.names))
         return scored.select("file_id", "label", F.col("prediction").cast("int").alias("prediction"))
 
+    def save(self, where: str) -> None:
+        """Write everything that ``load`` needs below a folder all executors reach."""
+        self.pipeline.write().overwrite().save(f"{where}/pipeline")
+        self.scores.write.mode("overwrite").parquet(f"{where}/scores")
+        settings = self.scores.sparkSession.createDataFrame([(self.names, json.dumps(self.settings))], "names array<string>, settings string")
+        settings.write.mode("overwrite").parquet(f"{where}/settings")
+
+    @classmethod
+    def load(cls, spark: SparkSession, where: str) -> ImpactModel:
+        row = spark.read.parquet(f"{where}/settings").first()
+        scores = spark.read.parquet(f"{where}/scores")
+        return cls(PipelineModel.load(f"{where}/pipeline"), list(row["names"]), json.loads(row["settings"]), scores)
+
     def importances(self) -> DataFrame:
         """Importance per feature, largest first; a flag counts for its feature."""
         inputs = self.pipeline.stages[1].getInputCols()

@@ -6,6 +6,8 @@ or publisher that holds most rows reaches the shuffle as one row per task.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +23,7 @@ from ..functions.scalars import (
     to_count,
     to_number,
 )
+from ..sources.workspace import through_table
 from .selection import ELEMENTS, explode_attr, funded_by, of_subject
 
 TOP_SUBJECTS = 20
@@ -152,8 +155,9 @@ def top_values(df: DataFrame, attr: str, n: int | None, share: bool = False) ->
     if n is not None:
         ranked = ranked.limit(n)
     if share:
-        # At most n rows are left, so the window without keys is small.
-        total = F.sum("n").over(Window.partitionBy())
+        # At most n rows are left, so the window without keys is small; all groups are
+        # summed up by a plain aggregate.
+        total = F.sum("n").over(Window.partitionBy()) if n is not None else ranked.agg(F.sum("n")).scalar()
         ranked = ranked.withColumn("percent", 100.0 * F.col("n") / total)
     return ranked
 
@@ -226,42 +230,40 @@ def short_titles(df: DataFrame) -> DataFrame:
     return df.select("file_id", title_label(or_empty(F.col("citation_title"))).alias("title_short"))
 
 
+#: Bins that a range of values is cut into, the rows that a window sees at most.
 _SPAN_BINS = 65_536
 
 
-def exact_quantile(df: DataFrame, column: str, q: float) -> DataFrame:
-    """Linearly interpolated quantile of a whole-number column, as one row.
+def _value_at(counts: DataFrame, rank: int, low: int, high: int) -> int:
+    """The value with a rank, from 0, among ``counts (v, n)`` between two bounds.
 
-    Values are counted first. The range is then cut into equal bins, whose counts
-    locate the bins of the two order statistics needed; only the distinct values
-    of those bins are ranked. No task ever sorts or holds all the values.
+    Counts of equal bins tell which bin holds the rank; it is cut into bins again until
+    a bin is a single value. Three or four turns are enough for any whole numbers, and
+    an outlier that leaves all others in one bin only costs one more.
     """
-    values = df.select(F.col(column).cast("bigint").alias("v")).filter(F.col("v").isNotNull())
-    counts = values.groupBy("v").agg(F.count("*").alias("n"))
-    low = values.agg(F.min("v")).scalar()
-    width = values.agg(F.floor((F.max("v") - F.min("v")) / _SPAN_BINS) + 1).scalar()
-    binned = counts.withColumn("bin", F.floor((F.col("v") - low) / width))
-
-    # At most _SPAN_BINS rows reach this window.
-    up_to = F.sum("n").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
-    bins = binned.groupBy("bin").agg(F.sum("n").alias("n"))
-    total = F.sum("n").over(Window.partitionBy())
-    position = (F.col("total") - 1) * F.lit(q)
-    bins = bins.select("bin", (up_to - F.col("n")).alias("before"), "n", total.alias("total"))
-    bins = bins.withColumns({"lo": F.floor(position), "hi": F.ceil(position), "at": position})
-    holds = F.col("before") + F.col("n")
-    needed = bins.filter((holds > F.col("lo")) & (F.col("before") <= F.col("hi")))
-
-    ranked = binned.join(F.broadcast(needed.select("bin", "before", "lo", "hi", "at")), "bin")
-    start = F.sum("n").over(
-        Window.partitionBy("bin").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    )
-    ranked = ranked.withColumn("end", F.col("before") + start)
+    while True:
+        width = (high - low) // _SPAN_BINS + 1
+        inside = counts.filter(F.col("v").between(low, high))
+        bins = inside.groupBy(F.expr(f"(cast(v as decimal(20,0)) - {low}BD) div {width}").alias("bin")).agg(F.sum("n").alias("n"))
+        up_to = F.sum("n").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
+        placed = bins.select("bin", (up_to - F.col("n")).alias("before"), up_to.alias("end"))
+        found = placed.filter((F.col("before") <= rank) & (F.col("end") > rank)).first()
+        low, rank = low + int(found["bin"]) * width, rank - found["before"]
+        if width == 1:
+            return low
+        high = min(high, low + width - 1)
 
-    def value_at(rank: str):
-        covers = (F.col("end") > F.col(rank)) & (F.col("end") - F.col("n") <= F.col(rank))
-        return F.max(F.when(covers, F.col("v")))
 
-    below, above = value_at("lo"), value_at("hi")
-    part = F.max(F.col("at") - F.col("lo"))
-    return ranked.agg((below + (above - below) * part).alias("quantile"))
+def exact_quantile(df: DataFrame, column: str, q: float) -> DataFrame:
+    """Linearly interpolated quantile of a whole-number column, as one row; null when
+    there is no value. The values are counted and the counts written once, so the input
+    is read once; no task ever sorts or holds all the values."""
+    values = df.select(F.col(column).cast("bigint").alias("v")).filter(F.col("v").isNotNull())
+    counts = through_table(values.groupBy("v").agg(F.count("*").alias("n")), "counts")
+    total, low, high = counts.agg(F.sum("n"), F.min("v"), F.max("v")).first()
+    if not total:
+        return df.sparkSession.createDataFrame([(None,)], "quantile double")
+    at = (total - 1) * q
+    below = _value_at(counts, math.floor(at), low, high)
+    above = below if at == math.floor(at) else _value_at(counts, math.ceil(at), low, high)
+    return df.sparkSession.createDataFrame([(below + (above - below) * (at - math.floor(at)),)], "quantile double")

@@ -6,8 +6,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.audit import audit_state
-from ..sources.raw import read_archives, read_documents, read_raw, write_raw
+from ..sources.raw import archive_files, document_files, read_raw, split_documents, write_raw
 from ..sources.tables import write_papers
+from ..sources.workspace import through_table
 from .projection import build_papers
 
 
@@ -30,16 +31,26 @@ def collection_state(spark: SparkSession, raw: str, papers: str, expected: int)
 
 
 def refresh(
-    spark: SparkSession, documents: str, raw: str, papers: str, expected: int, zipped: bool = False
+    spark: SparkSession,
+    documents: str,
+    raw: str,
+    papers: str,
+    expected: int,
+    zipped: bool = False,
+    rejected: str | None = None,
 ) -> DataFrame:
     """Do what the state of the collection asks for and return the state found
-    before. A complete papers table is left alone."""
+    before. A complete papers table is left alone. Files that are not named like a
+    document or do not parse are written to ``rejected``, by default beside the raw
+    table, with the reason; the files are read once for both."""
     found = collection_state(spark, raw, papers, expected)
     # One row; kept as values, because the tables it describes are about to change.
     state = found.collect()
     if "load" in state[0]["action"]:
-        reader = read_archives if zipped else read_documents
-        write_raw(reader(spark, documents)[0], raw)
+        files = (archive_files if zipped else document_files)(spark, documents)
+        docs, others = split_documents(through_table(files, "files"))
+        write_raw(docs, raw)
+        others.write.mode("overwrite").parquet(rejected or raw.rstrip("/") + "_rejected")
     if "project" in state[0]["action"]:
         write_papers(build_papers(read_raw(spark, raw)), papers)
     return spark.createDataFrame(state, found.schema)

@@ -10,9 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.workspace import through_table
+
 TEST_SHARE, SEED, FOLDS = 0.2, 42, 5
 BUCKET_DIGITS = 4
-BROADCAST_LABELS = 1_000
 
 
 def _keyed(df: DataFrame, key: str, seed: int) -> DataFrame:
@@ -20,13 +21,10 @@ def _keyed(df: DataFrame, key: str, seed: int) -> DataFrame:
     return df.withColumn("_hash", digest).withColumn("_bucket", F.substring("_hash", 1, BUCKET_DIGITS))
 
 
-def _few(df: DataFrame, label: str) -> bool:
-    """Are there so few labels that a row for each can be broadcast?"""
-    return df.select(label).distinct().limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS
-
-
-def _cuts(keyed: DataFrame, label: str, key: str, shares: list[float], few: bool) -> DataFrame:
-    """Per label and share: hash and id of the last row inside the share."""
+def _cuts(keyed: DataFrame, label: str, key: str, shares: list[float]) -> DataFrame:
+    """Per label and share: hash and id of the last row inside the share. The label, the
+    hash and the id are written once for the counts and for the buckets with a cut."""
+    keyed = through_table(keyed.select(label, "_bucket", "_hash", key), "ranks")
     histogram = keyed.groupBy(label, "_bucket").agg(F.count("*").alias("n"))
     # At most 16^BUCKET_DIGITS rows per label reach these windows.
     up_to = Window.partitionBy(label).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
@@ -44,8 +42,6 @@ def _cuts(keyed: DataFrame, label: str, key: str, shares: list[float], few: bool
     holding = ranks.filter(
         (F.col("before") < F.col("rank")) & (F.col("rank") <= F.col("before") + F.col("n"))
     ).select(label, "_bucket", "cut", (F.col("rank") - F.col("before")).alias("offset"))
-    if few:
-        holding = F.broadcast(holding)
     inside = keyed.select(label, "_bucket", "_hash", key)
     inside = inside.join(holding, [label, "_bucket"], "left_semi")
     order = Window.partitionBy(label, "_bucket").orderBy("_hash", key)
@@ -57,13 +53,13 @@ def _cuts(keyed: DataFrame, label: str, key: str, shares: list[float], few: bool
 
 def _below(keyed: DataFrame, label: str, key: str, shares: list[float]) -> DataFrame:
     """Adds ``_passed``: how many cuts of its label lie before each row."""
-    few = _few(keyed, label)
-    cuts = _cuts(keyed, label, key, shares, few).groupBy(label).agg(
+    cuts = _cuts(keyed, label, key, shares).groupBy(label).agg(
         F.sort_array(F.collect_list("last")).alias("_lasts")
     )
-    # With few labels the rows stay where they are. With many, the join goes by
-    # label and adaptive execution splits a label that holds most of the rows.
-    marked = keyed.join(F.broadcast(cuts) if few else cuts, label, "left")
+    # One row for each label, written, so that its size is known: few labels are
+    # broadcast. With many the join goes by label, and adaptive execution splits a label
+    # that holds most of the rows.
+    marked = keyed.join(through_table(cuts, "cuts"), label, "left")
     me = F.struct("_hash", key)
     passed = F.coalesce(F.size(F.filter("_lasts", lambda c: c < me)), F.lit(0))
     return marked.withColumn("_passed", passed).withColumn("_found", F.coalesce(F.size("_lasts"), F.lit(0)))

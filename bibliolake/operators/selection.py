@@ -69,8 +69,8 @@ def of_top_publishers(df: DataFrame, n: int = PUBLISHER_CHOICES) -> DataFrame:
     name = or_missing_label(F.col("publishername"))
     top = df.groupBy(name.alias("_publisher")).count()
     top = top.orderBy(F.desc("count"), "_publisher").limit(n).select("_publisher")
-    # n rows at most, so the broadcast has a fixed bound.
-    return df.join(F.broadcast(top), name == top["_publisher"], "left_semi")
+    # No hint: whether so many names are few enough to broadcast is seen at run time.
+    return df.join(top, name == top["_publisher"], "left_semi")
 
 
 def funded(df: DataFrame) -> DataFrame:

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.lists import subject_names
 from ..operators.projection import build_papers
 from ..sources import audit, tables
-from ..sources.raw import read_raw, split_documents, write_raw
+from ..sources.raw import archive_files, checked_documents, document_files, read_raw, split_documents, write_raw
 from ..sources.workspace import new_path, through_table
+from .stored import NAMED_SQL, store_archives, store_files, stored_documents
 from .registry import over_papers, query
 from .tables import PAPERS_SQL, raw_documents, table
 
@@ -81,10 +82,27 @@ def documents_read(spark, sf_dir):
     return build_papers(docs).select("file_id", "year", "citation_title")
 
 
-@query("src_02_malformed_rejected", f"WITH {PAPERS_SQL} SELECT file_id FROM papers WHERE file_id % 19 = 0")
+@query("src_02_malformed_rejected", f"WITH {PAPERS_SQL} SELECT file_id, 'content' AS reason, false AS whole FROM papers WHERE file_id % 19 = 0")
 def malformed_rejected(spark, sf_dir):
     _, rejected = split_documents(_files(spark, sf_dir))
-    return rejected.select("file_id")
+    return rejected.select("file_id", "reason", F.endswith("raw_json", F.lit("}}")).alias("whole"))
+
+
+def _checked(files: DataFrame) -> DataFrame:
+    name = F.regexp_extract("path", "([^/]+/[^/]+)$", 1)
+    return checked_documents(files).select(
+        "file_id", "year", name.alias("name"), "reason", F.md5(F.col("raw_json").cast("binary")).alias("raw_md5")
+    )
+
+
+@query("src_01_files", NAMED_SQL)
+def files_read(spark, sf_dir):
+    return _checked(document_files(spark, store_files(stored_documents(spark, sf_dir))))
+
+
+@query("src_01_archive", NAMED_SQL)
+def archive_read(spark, sf_dir):
+    return _checked(archive_files(spark, store_archives(stored_documents(spark, sf_dir))))
 
 
 def _written_raw(spark: SparkSession, sf_dir: str) -> str:
@@ -98,9 +116,15 @@ def scan_of_one_year(spark, sf_dir):
     return read_raw(spark, _written_raw(spark, sf_dir), 2015).select("file_id", "year")
 
 
-@query("snk_01_raw_written_and_read", f"WITH {PAPERS_SQL} SELECT file_id, year FROM papers")
+@query("snk_01_raw_written_and_read", f"WITH {PAPERS_SQL} SELECT file_id, year, true AS same FROM papers")
 def raw_written_and_read(spark, sf_dir):
-    return read_raw(spark, _written_raw(spark, sf_dir)).select("file_id", "year")
+    raw = through_table(raw_documents(spark, sf_dir), "documents")
+    where = new_path(spark, "raw")
+    write_raw(raw, where)
+    digest = F.md5(F.col("raw_json").cast("binary"))
+    before = raw.select("file_id", digest.alias("before"))
+    after = read_raw(spark, where).select("file_id", "year", digest.alias("after"))
+    return after.join(before, "file_id").select("file_id", "year", (F.col("before") == F.col("after")).alias("same"))
 
 
 @query(

@@ -22,6 +22,8 @@ ACTIONS = {
     "processed": "none",
 }
 ID_BLOCK = 100_000
+#: Tasks for each core that list the ids of blocks.
+BLOCK_TASKS = 4
 
 
 def year_ranges(spark: SparkSession, ranges=YEAR_RANGES) -> DataFrame:
@@ -66,12 +68,14 @@ def audit_state(spark: SparkSession, df: DataFrame | None, expected: int) -> Dat
 
 def expected_ids(ranges: DataFrame) -> DataFrame:
     """Every id of the ranges. Ranges are cut into blocks first, so no row ever
-    holds more than one block and the blocks spread over the tasks."""
+    holds more than one block. The blocks are dealt to a fixed number of tasks: they are
+    small before their ids are listed, so adaptive execution would merge them all."""
+    tasks = BLOCK_TASKS * ranges.sparkSession.sparkContext.defaultParallelism
     blocks = ranges.select(
         "year",
         "end_id",
         F.explode(F.sequence("start_id", "end_id", F.lit(ID_BLOCK).cast("bigint"))).alias("lo"),
-    ).repartition("year", "lo")
+    ).repartition(tasks)
     hi = F.least(F.col("lo") + ID_BLOCK - 1, F.col("end_id"))
     return blocks.select("year", F.explode(F.sequence("lo", hi)).alias("file_id"))
 

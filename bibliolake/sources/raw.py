@@ -2,86 +2,141 @@
 
 from __future__ import annotations
 
+import re
 import zipfile
+import zlib
 from collections.abc import Iterator
-from urllib.parse import unquote, urlparse
+from urllib.parse import quote
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.variants import allow_repeated_keys
-from .workspace import by_year
+from .workspace import by_year, through_table
 
 # Fixed value: a document is stored as <year>/<file id>, with or without suffix.
 MEMBER_PATTERN = r"(?:^|/)(\d{4})/(\d+)(?:\.[^/]*)?$"
 NAMES_PER_BATCH = 10_000
-
-
-def split_documents(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Files ``(path, value)`` as documents that parse, and the rest with their
-    path. Files that are not named like a document belong to neither."""
+#: Documents, or bytes of them, that a task hands over at a time.
+DOCS_PER_BATCH, BYTES_PER_BATCH = 1_000, 8 << 20
+#: Compressed bytes of members that one task reads, if there are enough of them.
+BYTES_PER_TASK = 64 << 20
+# Fixed values of the archive format.
+LOCAL_HEADER, STORED, DEFLATED = 30, 0, 8
+
+
+def checked_documents(files: DataFrame) -> DataFrame:
+    """Files ``(path, value)`` with ``file_id``, ``year``, ``raw_json`` and ``reason``:
+    null for a document, ``name`` for a file that is not named like one, ``content`` for
+    one that does not parse."""
     allow_repeated_keys(files.sparkSession)
     named = files.select(
         F.regexp_extract("path", MEMBER_PATTERN, 2).try_cast("bigint").alias("file_id"),
         F.regexp_extract("path", MEMBER_PATTERN, 1).try_cast("int").alias("year"),
         F.col("value").alias("raw_json"),
         "path",
-    ).filter(F.col("file_id").isNotNull())
+    )
     valid = F.is_valid_utf8("raw_json") & F.try_parse_json("raw_json").isNotNull()
-    docs = named.filter(valid).select("file_id", "year", "raw_json")
-    rejected = named.filter(~valid).select("file_id", "year", "path", "raw_json")
+    return named.withColumn("reason", F.when(F.col("file_id").isNull(), "name").when(~F.coalesce(valid, F.lit(False)), "content"))
+
+
+def split_documents(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Files as documents, and all others with their path and the reason. Both come
+    from one reading of the files if these are a table; see ``checked_documents``."""
+    checked = checked_documents(files)
+    docs = checked.filter(F.col("reason").isNull()).select("file_id", "year", "raw_json")
+    rejected = checked.filter(F.col("reason").isNotNull()).select("file_id", "year", "path", "raw_json", "reason")
     return docs, rejected
 
 
-def read_documents(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Documents below a folder as ``(documents, rejected)``. The text is kept
-    as it is, so key order and non-ASCII characters survive."""
-    files = (
+def document_files(spark: SparkSession, folder: str) -> DataFrame:
+    """``(path, value)`` of the files below a folder, the text as it is, so that key
+    order and non-ASCII characters survive. The driver lists the files: for many
+    millions of documents use archives."""
+    return (
         spark.read.option("wholetext", True)
         .option("recursiveFileLookup", True)
         .text(folder)
         .select(F.col("_metadata.file_path").alias("path"), "value")
     )
-    return split_documents(files)
 
 
-def _local(path: str) -> str:
-    return unquote(urlparse(path).path)
+def read_documents(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Documents below a folder as ``(documents, rejected)``."""
+    return split_documents(document_files(spark, folder))
+
+
+def _open(path: str):
+    """A file that can be read from any place, in whatever store the path names. Spark
+    gives the path without escapes."""
+    if path.startswith(("file:", "/")):
+        return fs.LocalFileSystem().open_input_file(re.sub(r"^file:/+", "/", path))
+    store, inside = fs.FileSystem.from_uri(quote(path, safe=":/@?&=%"))
+    return store.open_input_file(inside)
 
 
 def _list_members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for archive in batch["archive"]:
-            with zipfile.ZipFile(_local(archive)) as opened:
-                names = [i.filename for i in opened.infolist() if not i.is_dir()]
-            for start in range(0, len(names), NAMES_PER_BATCH):
-                chosen = names[start : start + NAMES_PER_BATCH]
-                yield pd.DataFrame({"archive": archive, "path": chosen})
+            with _open(archive) as stream, zipfile.ZipFile(stream) as opened:
+                infos = [i for i in opened.infolist() if not i.is_dir()]
+            for start in range(0, len(infos), NAMES_PER_BATCH):
+                chosen = infos[start : start + NAMES_PER_BATCH]
+                rows = [(archive, i.filename, i.header_offset, i.compress_size, i.compress_type, i.flag_bits & 1) for i in chosen]
+                yield pd.DataFrame(rows, columns=["archive", "path", "place", "size", "method", "locked"])
+
+
+def _member(stream, place: int, size: int, method: int, locked: int) -> bytes:
+    """Content of a member from where the directory says it begins."""
+    stream.seek(place)
+    header = stream.read(LOCAL_HEADER)
+    names = int.from_bytes(header[26:28], "little") + int.from_bytes(header[28:30], "little")
+    stream.seek(place + LOCAL_HEADER + names)
+    data = stream.read(size)
+    if locked or method not in (STORED, DEFLATED):
+        raise ValueError("only stored and deflated members without a password can be read")
+    return zlib.decompress(data, -zlib.MAX_WBITS) if method == DEFLATED else data
 
 
 def _read_members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        for archive, members in batch.groupby("archive"):
-            with zipfile.ZipFile(_local(archive)) as opened:
-                for name in members["path"]:
-                    yield pd.DataFrame({"path": [name], "content": [opened.read(name)]})
+        for archive, members in batch.sort_values(["archive", "place"]).groupby("archive"):
+            with _open(archive) as stream:
+                names, contents, held = [], [], 0
+                for row in members.itertuples():
+                    contents.append(_member(stream, row.place, row.size, row.method, row.locked))
+                    names.append(row.path)
+                    held += len(contents[-1])
+                    if len(names) >= DOCS_PER_BATCH or held >= BYTES_PER_BATCH:
+                        yield pd.DataFrame({"path": names, "content": contents})
+                        names, contents, held = [], [], 0
+                if names:
+                    yield pd.DataFrame({"path": names, "content": contents})
+
+
+def archive_files(spark: SparkSession, archives: str) -> DataFrame:
+    """``(path, value)`` of the members of zip archives.
+
+    The first pass reads only the directory of each archive and writes down where every
+    member lies. Members, not archives, are then dealt to a number of tasks that
+    follows from their bytes and the cores, so one huge archive is read by all of them
+    and no task reads a directory again.
+    """
+    found = spark.read.format("binaryFile").load(archives).select(F.col("path").alias("archive"))
+    columns = "archive string, path string, place bigint, size bigint, method int, locked int"
+    members = through_table(found.mapInPandas(_list_members, columns), "members")
+    total = members.agg(F.sum("size")).first()[0] or 0
+    tasks = max(spark.sparkContext.defaultParallelism, total // BYTES_PER_TASK)
+    # With a number given, adaptive execution does not merge these few bytes again.
+    contents = members.repartition(tasks).mapInPandas(_read_members, "path string, content binary")
+    return contents.select("path", F.col("content").cast("string").alias("value"))
 
 
 def read_archives(spark: SparkSession, archives: str) -> tuple[DataFrame, DataFrame]:
-    """Documents inside zip archives on a folder mounted on every executor;
-    archives in an object store have to be unpacked first.
-
-    The first pass reads only the directory of each archive. Members, not
-    archives, are then spread over the tasks, so one huge archive is read by
-    all of them.
-    """
-    found = spark.read.format("binaryFile").load(archives).select(F.col("path").alias("archive"))
-    members = found.mapInPandas(_list_members, "archive string, path string")
-    files = members.repartition("archive", "path").mapInPandas(
-        _read_members, "path string, content binary"
-    )
-    return split_documents(files.select("path", F.col("content").cast("string").alias("value")))
+    """Documents inside zip archives as ``(documents, rejected)``."""
+    return split_documents(archive_files(spark, archives))
 
 
 def write_raw(docs: DataFrame, where: str, mode: str = "overwrite", skip_present: bool = False) -> None:

@@ -67,6 +67,8 @@ def export_csv(df: DataFrame, where: str, columns: list[str] | None = None) -> N
     """Write UTF-8 CSV with a header; lists become JSON text."""
     chosen = df if columns is None else pick(df, columns)
     writer = flat(chosen).write.mode("overwrite").option("header", True)
+    # A blank is a value of its own, not an empty text.
+    writer = writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
     writer.option("quote", '"').option("escape", '"').option("encoding", "UTF-8").csv(where)
 
 

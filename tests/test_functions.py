@@ -20,7 +20,9 @@ def test_lenient_int(one):
 
 def test_numbers(one):
     assert one(scalars.to_number, "n/a", None, "12", " 3.5 ") == [None, None, 12.0, 3.5]
-    assert one(scalars.to_count, "n/a", None, "12") == [0, 0, 12]
+    odd = ["NaN", "Infinity", "-inf", "12d", "3F", "1e999", "", " ", ".", "e3", "1e3", ".5", "5.", "-2", "+7"]
+    assert one(scalars.to_number, *odd) == [None] * 10 + [1000.0, 0.5, 5.0, -2.0, 7.0]
+    assert one(scalars.to_count, "n/a", None, "12", "NaN", "Infinity", "1e30", "3.9") == [0, 0, 12, 0, 0, 0, 3]
 
 
 def test_ratios(spark):

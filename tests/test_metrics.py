@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 from pyspark.errors import PySparkException
@@ -106,3 +108,22 @@ def test_counts_add_up(papers):
 def test_share_sums_to_hundred(papers):
     shares = m.top_values(papers, "subjects", 10, share=True).collect()
     assert sum(r.percent for r in shares) == pytest.approx(100)
+
+
+@pytest.mark.parametrize("q", [0.0, 0.25, 0.8, 0.999, 1.0])
+def test_exact_quantile_with_outliers(spark, q):
+    rng = random.Random(3)
+    values = [rng.randint(0, 10**6) for _ in range(3000)] + [10**15, -(10**17), 2**63 - 1, -(2**63), 7, 7, 7]
+    frame = spark.createDataFrame([(v,) for v in values] + [(None,)], "v bigint")
+    ordered, at = sorted(values), (len(values) - 1) * q
+    low, high = ordered[int(at)], ordered[min(int(at) + 1, len(values) - 1)]
+    assert m.exact_quantile(frame, "v", q).first()[0] == pytest.approx(low + (high - low) * (at - int(at)))
+
+
+def test_exact_quantile_of_nothing(spark):
+    assert m.exact_quantile(spark.createDataFrame([(None,)], "v bigint"), "v", 0.5).first()[0] is None
+
+
+def test_share_of_all_groups(make_papers):
+    p = make_papers(*[{"sourcetitle": t} for t in "aab"])
+    assert [(r.journal, round(r.percent, 3)) for r in m.top_values(p, "journals", None, share=True).collect()] == [("a", 66.667), ("b", 33.333)]

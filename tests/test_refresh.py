@@ -41,5 +41,8 @@ def test_refresh_from_nothing(spark, tmp_path):
     folder.mkdir(parents=True)
     (folder / "201900000").write_text(document("a"))
     (folder / "201900001").write_text("{broken")
+    (folder / "readme.txt").write_text("a note")
     assert refresh(spark, archive, raw, papers, 1).first().state == "missing"
     assert spark.read.parquet(papers).count() == 1
+    others = {(r.path.rsplit("/", 1)[-1], r.file_id, r.reason, r.raw_json) for r in spark.read.parquet(raw + "_rejected").collect()}
+    assert others == {("201900001", 201900001, "content", "{broken"), ("readme.txt", None, "name", "a note")}

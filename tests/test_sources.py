@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bibliolake.sources import audit, tables
-from bibliolake.sources.raw import read_archives, read_documents, read_raw, write_raw
+from bibliolake.sources.raw import archive_files, read_archives, read_documents, read_raw, write_raw
 from bibliolake.sources.workspace import shared_folder, through_table
 
 
@@ -26,7 +26,8 @@ def check_documents(docs, rejected, good, bad):
         (2018, 201800002): good["2018/201800002.json"],
         (2019, 201900000): good["2019/201900000"],
     }
-    texts = {r.file_id: r.raw_json for r in rejected.select("file_id", F.hex("raw_json").alias("raw_json")).collect()}
+    texts = {r.file_id: r.raw_json for r in rejected.where("reason = 'content'").select("file_id", F.hex("raw_json").alias("raw_json")).collect()}
+    assert {r.file_id for r in rejected.where("reason = 'name'").collect()} <= {None}
     expected = {int(k.split("/")[1]): v.encode().hex().upper() for k, v in bad.items()}
     assert texts == expected | {201900003: NOT_UTF8.hex().upper()}
 
@@ -171,3 +172,28 @@ def test_describe_and_count(spark, make_papers):
     assert len(shape) == len(p.columns)
     p.createOrReplaceTempView("counted_for_test")
     assert tables.count_tables(spark, ["counted_for_test"]).first().n_rows == 1
+
+
+def tasks_with_rows(df):
+    return df.groupBy(F.spark_partition_id()).count().count()
+
+
+def test_one_archive_is_read_by_all_cores(spark, tmp_path):
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "all docs.zip", "w", zipfile.ZIP_DEFLATED) as opened:
+        for i in range(20_186):
+            opened.writestr(f"2018/{i}", f'{{"n":{i}}}', zipfile.ZIP_STORED if i % 2 else zipfile.ZIP_DEFLATED)
+    files = archive_files(spark, str(tmp_path))
+    assert tasks_with_rows(files) >= spark.sparkContext.defaultParallelism
+    docs, rejected = read_archives(spark, str(tmp_path))
+    assert docs.agg(F.count("*"), F.sum(F.get_json_object("raw_json", "$.n").cast("bigint"))).first()[:] == (20_186, 20_186 * 20_185 // 2)
+    assert rejected.count() == 0
+
+
+def test_ids_of_the_catalogue_are_listed_by_all_cores(spark):
+    ranges = audit.year_ranges(spark, [(y, y * 10_000_000, y * 10_000_000 + 9_999_999) for y in range(4)])
+    ids = audit.expected_ids(ranges)
+    per_task = [r["count"] for r in ids.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(per_task) == 40_000_000 and len(per_task) >= spark.sparkContext.defaultParallelism
+    assert max(per_task) < 0.2 * sum(per_task)
