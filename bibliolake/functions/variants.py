@@ -9,7 +9,8 @@ DUPLICATE_KEYS = "spark.sql.variant.allowDuplicateKeys"
 
 
 def allow_repeated_keys(spark: SparkSession) -> None:
-    """A repeated key must not lose its document; the last value counts."""
+    """A repeated key must not lose its document; the last value counts. This sets the
+    session, as lazy frames parse when they run: it must still hold then."""
     spark.conf.set(DUPLICATE_KEYS, "true")
 
 

