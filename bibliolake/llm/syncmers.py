@@ -58,14 +58,15 @@ def anchors(text: Column) -> Column:
 
 
 def sketch(text: Column) -> Column:
-    """The smallest distinct anchors, in order: a sample of the set of anchors that is
-    the same for equal texts and nearly the same for similar ones."""
-    return F.slice(F.sort_array(F.array_distinct(F.transform(anchors(text), lambda a: a["anchor"]))), 1, ANCHORS)
+    """The smallest distinct anchors, in order, as 32 bits each: a sample of the set of
+    anchors that is the same for equal texts and nearly the same for similar ones."""
+    short = F.transform(anchors(text), lambda a: F.shiftright(a["anchor"], 32).cast("int"))
+    return F.slice(F.sort_array(F.array_distinct(short)), 1, ANCHORS)
 
 
 def as_text(smallest: str) -> Column:
     """A sketch as eight hex digits for each anchor."""
-    return F.concat_ws("", F.transform(smallest, lambda a: F.lpad(F.lower(F.hex(a.bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0")))
+    return F.concat_ws("", F.transform(smallest, lambda a: F.lpad(F.lower(F.hex(a.cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0")))
 
 
 def likeness(a: Column, b: Column) -> Column:
