@@ -85,7 +85,8 @@ def documents_read(spark, sf_dir):
 @query("src_02_malformed_rejected", f"WITH {PAPERS_SQL} SELECT file_id, 'content' AS reason, false AS whole FROM papers WHERE file_id % 19 = 0")
 def malformed_rejected(spark, sf_dir):
     _, rejected = split_documents(_files(spark, sf_dir))
-    return rejected.select("file_id", "reason", F.endswith("raw_json", F.lit("}}")).alias("whole"))
+    braces = lambda one: F.regexp_count("raw_json", F.lit(one))
+    return rejected.select("file_id", "reason", (braces(r"\{") == braces(r"\}")).alias("whole"))
 
 
 def _checked(files: DataFrame) -> DataFrame:
