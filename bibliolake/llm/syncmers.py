@@ -11,8 +11,8 @@ from bibliolake.sources.workspace import through_table
 
 from .common import id_text, whole
 
-#: Units of a k-mer and of the substrings inside it, and anchors of a fingerprint.
-K, S, ANCHORS = 5, 2, 64
+#: Units of a k-mer and of the substrings inside it.
+K, S = 5, 2
 #: Texts with fewer code points than this are cut into single ones.
 SHORT = 256
 #: Fixed value: units of longer texts. Words, in pieces of 8 letters or digits from
@@ -58,23 +58,43 @@ def anchors(text: Column) -> Column:
 
 
 def sketch(text: Column) -> Column:
-    """The smallest distinct anchors, in order, as 32 bits each: a sample of the set of
-    anchors that is the same for equal texts and nearly the same for similar ones."""
-    short = F.transform(anchors(text), lambda a: F.shiftright(a["anchor"], 32).cast("int"))
-    return F.slice(F.sort_array(F.array_distinct(short)), 1, ANCHORS)
+    """All anchors in order, repeats included, as 32 bits each that also tell the next
+    anchor and how far on it is. So two texts share an entry only where an anchor and
+    the next one lie on a common diagonal (place in one text less place in the other)."""
 
+    def linked(found: Column) -> Column:
+        def one(a: Column, i: Column) -> Column:
+            after = F.get(found, i + 1)
+            return F.shiftright(F.xxhash64(a["anchor"], after["anchor"], after["place"] - a["place"]), 32).cast("int")
 
-def as_text(smallest: str) -> Column:
-    """A sketch as eight hex digits for each anchor."""
-    return F.concat_ws("", F.transform(smallest, lambda a: F.lpad(F.lower(F.hex(a.cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0")))
+        return F.transform(found, one)
+
+    return _let(anchors(text), linked)
+
+
+def as_text(entries: str) -> Column:
+    """The digest of a whole sketch, empty for an empty one."""
+    listed = F.array_join(F.col(entries).cast("array<string>"), ",")
+    return F.when(F.size(entries) == 0, F.lit("")).otherwise(F.sha2(listed.cast("binary"), 256))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of the smallest anchors of both together that both have, an estimate of
-    the share of all their anchors. 1 for two empty sketches."""
-    together = F.slice(F.sort_array(F.array_union(a, b)), 1, ANCHORS)
-    common = F.size(F.array_intersect(F.array_intersect(a, b), together))
-    return F.when(F.size(together) == 0, F.lit(1.0)).otherwise(common / F.size(together))
+    """Matched entries of two sketches as a share of all their entries, a match counted
+    once; an entry that occurs n and m times has the smaller number of matches. 1 for
+    two empty sketches."""
+    # In order of the entry, those of a before those of b.
+    together = F.sort_array(F.concat(F.transform(a, lambda x: x.cast("bigint") * 2), F.transform(b, lambda x: x.cast("bigint") * 2 + 1)))
+    start = F.struct(F.lit(1 << 40).alias("entry"), F.lit(0).alias("open"), F.lit(0).alias("met"))
+
+    def step(s: Column, x: Column) -> Column:
+        entry, second = F.shiftright(x, 1), x.bitwiseAND(F.lit(1)).cast("int")
+        waiting = F.when(entry == s["entry"], s["open"]).otherwise(F.lit(0))
+        met = s["met"] + F.least(waiting, second)
+        return F.struct(entry.alias("entry"), F.greatest(waiting + 1 - 2 * second, F.lit(0)).alias("open"), met.alias("met"))
+
+    met = F.aggregate(together, start, step, lambda s: s["met"])
+    every = F.size(a) + F.size(b)
+    return F.when(every == 0, F.lit(1.0)).otherwise(_let(met, lambda m: m / (every - m)))
 
 
 def _following(rows: DataFrame) -> DataFrame:
@@ -109,20 +129,16 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text: str = "text")
     wanted = order.select(F.col("next_key").alias("key"), F.col("key").alias("before"), F.expr("n_chars div 4").cast("int").alias("need"))
     # The same exchange of the texts by key serves both sides.
     heads = rows.join(wanted, "key").groupBy("before").agg(
-        F.max(F.substring("text", F.lit(1), F.col("need"))).alias("head"), F.max("id").alias("next_id"), F.max("key").alias("next_key")
+        F.max(F.substring("text", F.lit(1), F.col("need"))).alias("head"), F.max("id").alias("next_id"), F.first(sketch(F.col("text"))).alias("following")
     )
     n = F.length("text")
     edited = F.concat(F.substring("text", F.lit(1), (n - F.expr("length(text) div 4")).cast("int")), F.col("head"))
     both = rows.join(heads.withColumnRenamed("before", "key"), "key").withColumn("edited", edited)
-    marked = through_table(
-        both.select(
-            "id", "key", "next_key", "next_id", n.cast("bigint").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-            sketch(F.col("text")).alias("own"), sketch(F.col("edited")).alias("changed"),
-        ),
-        "sketches",
+    sketched = both.select(
+        "id", "next_id", "following", n.cast("bigint").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        sketch(F.col("text")).alias("own"), sketch(F.col("edited")).alias("changed"),
     )
-    others = marked.select(F.col("key").alias("next_key"), F.col("own").alias("following")).dropDuplicates(["next_key"])
-    return marked.join(others, "next_key").select(
+    return sketched.select(
         F.col("id").alias(id_column), "n_chars", "edited_sha256", as_text("own").alias("fingerprint"), as_text("changed").alias("edited_fingerprint"),
         likeness(F.col("own"), F.col("changed")).alias("near_edited"), likeness(F.col("own"), F.col("following")).alias("near_next"),
         F.col("next_id").alias(f"next_{id_column}"),

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import duckdb
 from pyspark.sql import functions as F
@@ -105,3 +106,43 @@ def test_odd_rows(make_docs, spark):
 def test_only_dataframe_operations(spark, sf_dir):
     plan = M.fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def slow_likeness(a, b):
+    """Over all anchors: one matches where it and the next one are as far apart in the
+    other text, as often as both texts have it."""
+
+    def linked(found):
+        rest = [*found[1:], None]
+        return Counter((x.anchor, y and (y.anchor, y.place - x.place)) for x, y in zip(found, rest))
+
+    a, b = linked(a), linked(b)
+    return (a & b).total() / (a | b).total() if a or b else 1.0
+
+
+def test_likeness_over_all_anchors(spark, make_docs):
+    rng = random.Random(4)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(900)]
+    phrase = "the same few words again and again, "
+    texts = [" ".join(words), " ".join(words[300:] + words[:300]), phrase * 60, phrase * 20 + " ".join(words[:200]), "abcdefgh", "", phrase * 90]
+    docs = make_docs(*texts)
+    rows = M.fingerprints(docs).collect()
+    edited = [t[: len(t) - len(t) // 4] + u[: len(t) // 4] for t, u in zip(texts, texts[1:] + texts[:1])]
+    listed = spark.createDataFrame(list(enumerate(texts + edited)), "i int, t string").select("i", M.anchors(F.col("t")).alias("a")).collect()
+    found = {r.i: r.a for r in listed}
+    n = len(texts)
+    for r in rows:
+        i = r.doc_id
+        assert abs(r.near_edited - slow_likeness(found[i], found[n + i])) < 1e-9
+        assert abs(r.near_next - slow_likeness(found[i], found[(i + 1) % n])) < 1e-9
+
+
+def test_repeats_and_order_count(make_docs):
+    phrase = "the same few words again and again, "
+    rng = random.Random(2)
+    parts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(10)) for _ in range(60)]
+    texts = [phrase * 30, phrase * 60, " ".join(parts), " ".join(rng.sample(parts, 60))]
+    rows = {r.doc_id: r for r in M.fingerprints(make_docs(*texts)).collect()}
+    assert 0.4 < rows[0].near_next < 0.6
+    assert rows[2].near_next < 1
+    assert len({r.fingerprint for r in rows.values()}) == 4
