@@ -87,13 +87,14 @@ def _unit_hashes() -> np.ndarray:
 class Templates:
     """The templates of whole texts: a hash for each token that ends no sentence and
     whether it is a placeholder. Placeholders are numbers, units right after a number,
-    and names: words with one capital, at their start, where no sentence begins."""
+    and names: words with one capital, at their start, where no sentence begins. Such a
+    word that begins a sentence may be a name or not, so it has both readings."""
 
     def __init__(self, texts: list[str], units: np.ndarray):
         # A line end between texts begins a sentence and parts numbers from units.
         self.text = "\n".join(texts)
         begins = np.cumsum([0] + [len(t) + 1 for t in texts[:-1]])
-        hashes, slots, spans = [np.empty(0, np.uint64)], [np.empty(0, bool)], [np.empty((2, 0), np.int64)]
+        hashes, slots, initial, spans = [np.empty(0, np.uint64)], [np.empty(0, bool)], [np.empty(0, bool)], [np.empty((2, 0), np.int64)]
         starts, after_number, done = True, False, 0
         while done < len(self.text):
             cut = _SPACE.search(self.text, done + PIECE)
@@ -103,15 +104,18 @@ class Templates:
                 number, stop = t.kind == DIGIT, t.kind == STOP
                 unit = np.concatenate(([after_number], number[:-1])) & (t.kind == LETTER)
                 unit[unit] = np.isin(t.hash[unit], units)
-                name = t.capital & ~np.concatenate(([starts], stop[:-1])) & ~unit
+                begin, word = np.concatenate(([starts], stop[:-1])), t.capital & ~unit
+                name = word & ~begin
                 t.hash[number], t.hash[unit], t.hash[name] = _NUMBER, _UNIT, _NAME
                 starts, after_number = bool(stop[-1]), bool(number[-1])
                 kept = ~stop
                 hashes.append(t.hash[kept])
                 slots.append((number | unit | name)[kept])
+                initial.append((word & begin)[kept])
                 spans.append(np.stack((t.start, t.end))[:, kept] + done)
             done = end
         self.hashes, self.slots, self.spans = np.concatenate(hashes), np.concatenate(slots), np.concatenate(spans, axis=1)
+        self.initial = np.concatenate(initial)
         self.owner = np.searchsorted(begins, self.spans[0], "right") - 1
         self.first = np.searchsorted(self.owner, np.arange(len(texts)))
         self.sizes = np.bincount(self.owner, minlength=len(texts))
@@ -128,26 +132,40 @@ class Templates:
         order = np.argsort(places, kind="stable")
         return places[order], np.concatenate([h for _, h in found])[order]
 
+    def renamed(self) -> tuple[np.ndarray, np.ndarray]:
+        """The same for whole windows with a word that begins a sentence, which is read
+        as a name."""
+        count = max(len(self.hashes) - WINDOW + 1, 0)
+        near = np.flatnonzero(self.initial)[:, None] - np.arange(WINDOW)
+        places = np.unique(near[(near >= 0) & (near < count)])
+        places = places[self.owner[places] == self.owner[places + WINDOW - 1]]
+        return self._hashed(WINDOW, places, np.where(self.initial, _NAME, self.hashes), self.slots | self.initial)
+
     def _windows(self, size: int, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         count = max(len(self.hashes) - size + 1, 0)
         if size < WINDOW:
             places = self.first[texts]
         else:
             places = np.flatnonzero(self.owner[:count] == self.owner[size - 1 : size - 1 + count])
+        return self._hashed(size, places, self.hashes, self.slots)
+
+    @staticmethod
+    def _hashed(size: int, places: np.ndarray, hashes: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         h = np.full(len(places), size, np.uint64)
         plain = np.zeros(len(places), np.int8)
         for i in range(size):
-            h = (h ^ self.hashes[places + i]) * _K1
+            h = (h ^ hashes[places + i]) * _K1
             h ^= h >> np.uint64(29)
-            plain += ~self.slots[places + i]
+            plain += ~slots[places + i]
         enough = plain >= min(LITERALS, size)
         return places[enough], h[enough].view(np.int64)
 
-    def values(self, place: int) -> list[str]:
+    def values(self, place: int, renamed: bool = False) -> list[str]:
         """What the placeholders of the window at a token stand for, in order."""
         size = min(WINDOW, int(self.sizes[self.owner[place]]))
         window = slice(place, place + size)
-        return [self.text[a:b].lower() for a, b in self.spans[:, window][:, self.slots[window]].T.tolist()]
+        slots = self.slots[window] | self.initial[window] if renamed else self.slots[window]
+        return [self.text[a:b].lower() for a, b in self.spans[:, window][:, slots].T.tolist()]
 
 
 def _blocks(texts: list[str]):
@@ -173,21 +191,26 @@ def _rows(keep: np.ndarray | None):
                 places, hashes = t.windows()
                 of = t.owner[places]
                 totals = np.bincount(of, minlength=end - begin)
+                # Second readings of windows that are counted already.
+                again, more = t.renamed()
+                second = np.repeat([False, True], [len(places), len(again)])
+                places, hashes = np.concatenate((places, again)), np.concatenate((hashes, more))
+                of = t.owner[places]
                 if keep is not None:
                     slot = hashes & (FILTER_BITS - 1)
                     some = np.flatnonzero(keep[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
-                    places, hashes, of = places[some], hashes[some], of[some]
+                    places, hashes, of, second = places[some], hashes[some], of[some], second[some]
                 near = places - t.first[of]
-                for place, i, at, h in zip(places.tolist(), of.tolist(), near.tolist(), hashes.tolist()):
-                    found.append((keys[begin + i], at, h, t.values(place), int(totals[i])))
-            yield pd.DataFrame(found, columns=["key", "place", "hash", "slots", "n_windows"])
+                for place, i, at, h, renamed in zip(places.tolist(), of.tolist(), near.tolist(), hashes.tolist(), second.tolist()):
+                    found.append((keys[begin + i], at, h, t.values(place, renamed), renamed, int(totals[i])))
+            yield pd.DataFrame(found, columns=["key", "place", "hash", "slots", "renamed", "n_windows"])
 
     return rows
 
 
 def windows(texts: DataFrame, keep: np.ndarray | None = None) -> DataFrame:
     """Windows of ``texts (key string, text)``; all, or those that pass a filter."""
-    return texts.mapInPandas(_rows(keep), "key string, place bigint, hash bigint, slots array<string>, n_windows bigint")
+    return texts.mapInPandas(_rows(keep), "key string, place bigint, hash bigint, slots array<string>, renamed boolean, n_windows bigint")
 
 
 def window_filter(items: DataFrame) -> np.ndarray:
@@ -212,7 +235,9 @@ def leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_column: st
     Windows on one diagonal (place in the text less place in the item) are one
     reading of the item; its placeholders are consistent if each value of the item
     always meets the same value of the text and the other way round. Windows with
-    placeholders count on consistent diagonals only, others always.
+    placeholders count on consistent diagonals only, others always. A word that begins
+    a sentence is read as it is and as a name: windows without such names count if they
+    are consistent among themselves, those with such names if all windows are.
     """
     numbered = items.select(F.col(item_column).alias("item_id"), F.col(item_text).alias("item_text")).distinct()
     narrow = numbered.select(text_key("item_text").alias("key"), F.col("item_text").alias("text")).dropDuplicates(["key"])
@@ -220,26 +245,32 @@ def leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_column: st
     keep = window_filter(of_items)
     texts = docs.where(F.col(text).isNotNull()).select(text_key(text).alias("key"), F.col(text).alias("text"))
     # Copies of a text give equal rows, which the distinct below brings together.
-    found = windows(texts, keep).select("key", "place", "hash", "slots").distinct()
-    asked = of_items.select(F.col("key").alias("item_key"), F.col("place").alias("item_place"), "hash", F.col("slots").alias("item_slots"))
+    found = windows(texts, keep).select("key", "place", "hash", "slots", "renamed").distinct()
+    asked = of_items.select(F.col("key").alias("item_key"), F.col("place").alias("item_place"), "hash", F.col("slots").alias("item_slots"), F.col("renamed").alias("item_renamed"))
     met = found.join(asked, "hash").select(
         "key", "item_key", (F.col("place") - F.col("item_place")).alias("diagonal"), "item_place",
-        F.arrays_zip(F.col("item_slots").alias("item"), F.col("slots").alias("text")).alias("pairs"),
+        F.arrays_zip(F.col("item_slots").alias("item"), F.col("slots").alias("text")).alias("pairs"), (F.col("renamed") | F.col("item_renamed")).alias("renamed"),
     )
-    # An item has few windows, and on a diagonal each meets one place.
+    # An item has few windows, and on a diagonal each meets one place in two readings.
     reading = met.groupBy("key", "item_key", "diagonal").agg(
-        F.collect_list(F.struct("item_place", (F.size("pairs") == 0).alias("plain"))).alias("met"),
-        F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"),
+        F.collect_list(F.struct("item_place", (F.size("pairs") == 0).alias("plain"), "renamed")).alias("met"),
+        F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("all"),
+        F.array_distinct(F.flatten(F.collect_list(F.when(~F.col("renamed"), F.col("pairs"))))).alias("strict"),
     )
-    one_to_one = (F.size("pairs") == F.size(F.array_distinct("pairs.item"))) & (F.size("pairs") == F.size(F.array_distinct("pairs.text")))
-    changed = F.exists("pairs", lambda p: p["item"] != p["text"])
+
+    def one_to_one(pairs: str) -> Column:
+        return (F.size(pairs) == F.size(F.array_distinct(f"{pairs}.item"))) & (F.size(pairs) == F.size(F.array_distinct(f"{pairs}.text")))
+
+    def changed(pairs: str) -> Column:
+        return F.exists(pairs, lambda p: p["item"] != p["text"])
+
     counted = (
-        reading.withColumn("consistent", one_to_one)
-        .select("key", "item_key", (F.col("consistent") & changed).alias("changed"), "consistent", F.explode("met").alias("m"))
-        .where("m.plain or consistent")
+        reading.withColumn("fits", one_to_one("all")).withColumn("strictly", one_to_one("strict"))
+        .select("key", "item_key", ((F.col("fits") & changed("all")) | (F.col("strictly") & changed("strict"))).alias("changed"), "fits", "strictly", F.explode("met").alias("m"))
+        .where("m.plain or fits or (strictly and not m.renamed)")
         .groupBy("key", "item_key", "m.item_place")
         .agg(F.max("changed").alias("changed"))
-    )
+    )
     total = of_items.groupBy(F.col("key").alias("item_key")).agg(F.max("n_windows").alias("n_windows"))
     held = counted.groupBy("key", "item_key").agg(F.count("*").alias("windows"), F.max("changed").alias("reparameterised"))
     enough = held.join(total, "item_key").withColumn("coverage", F.col("windows") / F.col("n_windows")).where(F.col("coverage") >= COVERAGE)

@@ -112,3 +112,20 @@ def test_odd_rows(spark, make_docs):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [0, 1, 5]
     assert D.keep_clean(docs, items.limit(0)).count() == 6
     assert D.contaminated(docs.limit(0), items).count() == 0
+
+
+def test_names_that_begin_sentences(spark, make_docs):
+    inside = "Tom has 5 apples. Tom buys 3 more apples. How many apples does Tom have?"
+    never = "Marta paints 4 walls in one day. Marta rests on the next one. Then how many walls are painted after 6 days?"
+    around = "plain words that stand before and after it " * 50
+    texts = [
+        around + inside.replace("Tom", "Anna").replace("5", "7").replace("3", "4") + " " + around,
+        around + never.replace("Marta", "Igor").replace("4 ", "9 ") + " " + around,
+        # Two names for one, so these are no readings of the item.
+        inside.replace("Tom has", "Anna has").replace("Tom buys", "Emil buys"),
+        inside, never, around,
+    ]
+    items = spark.createDataFrame([(1, inside), (2, never)], "item_id bigint, text string")
+    rows = D.contaminated(make_docs(*texts), items).collect()
+    assert {(r.doc_id, r.item_id, r.reparameterised) for r in rows} == {(0, 1, True), (1, 2, True), (3, 1, False), (4, 2, False)}
+    assert all(r.windows <= r.n_windows for r in rows)
