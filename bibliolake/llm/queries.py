@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, language, mixing, quality, secrets, simhash, syncmers, tokens, toxicity
+from . import (
+    chat,
+    decontaminate,
+    divergence,
+    language,
+    mixing,
+    quality,
+    secrets,
+    simhash,
+    spelling,
+    substrings,
+    syncmers,
+    tokens,
+    toxicity,
+)
 from .common import in_fold, table
 from .registry import query
 
@@ -77,3 +91,18 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_chat", chat.SQL)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.render(table(spark, sf_dir, "conversations"))
+
+
+@query("op11_divergence", divergence.SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+@query("op12_substrings", substrings.SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digests(table(spark, sf_dir, "documents"))
+
+
+@query("op13_spelling")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))

@@ -8,7 +8,7 @@ from bibliolake.llm.registry import CHECKS, QUERIES
 def test_all_are_registered():
     names = entry_point.queries().keys()
     assert QUERIES.keys() <= names and "pipeline" in names
-    assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)] == [1] * 10
+    assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 14)] == [1] * 13
 
 
 @pytest.mark.parametrize("name", sorted(CHECKS))
@@ -34,6 +34,9 @@ def test_equal_to_sql(spark, sf_dir, name):
         ("op6_language", "doc_id held_out lang_pred score"),
         ("op7_fingerprints", "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next"),
         ("op9_simhash", "doc_id fingerprint component_id"),
+        ("op11_divergence", "lang source part item value rank"),
+        ("op12_substrings", "doc_id n_words n_removed kept_sha256"),
+        ("op13_spelling", "word form root n n_near form_n"),
     ],
 )
 def test_columns(spark, sf_dir, name, columns):
