@@ -23,10 +23,10 @@ WINDOW = 13
 #: Odd bases of the rolling hashes over the bytes of a word and over words.
 BYTE_BASE, WORD_BASE, CHECK_BASE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xAF251AF3B0F025B5
 #: Bytes that are hashed at a time, windows that a task sorts at a time, and bytes
-#: of text for each shard of the hashes.
-PIECE, BLOCK, SHARD = 1 << 20, 1 << 20, 12 << 20
+#: of text for each shard of the hashes and for each bucket of documents.
+PIECE, BLOCK, SHARD, BUCKET = 1 << 20, 1 << 20, 6 << 20, 24 << 20
 #: Bytes of texts whose words are looked at together.
-CHUNK = 1 << 22
+CHUNK = 1 << 21
 #: Stands for a missing id, which is smaller than any other.
 NO_ID = -(1 << 63)
 
@@ -38,6 +38,8 @@ _SENT = (
     "shard int, hash binary, check binary, at binary, id binary, tag binary, size binary, "
     "known_id binary, known_tag binary, known_at binary"
 )
+#: What a shard sends to the buckets of the documents, and what these give.
+_HITS = "bucket int, id binary, tag binary, at binary"
 _FOUND = "id bigint, tag bigint, spans array<int>"
 
 
@@ -150,6 +152,13 @@ class _Block:
 
     def __init__(self, shards: int):
         self.shards, self.parts, self.size = shards, [], 0
+        self.seen: set[tuple[int, int]] = set()
+
+    def new(self, doc: int, data: bytes) -> bool:
+        """Whether the block has no such row yet; a repeated row adds nothing."""
+        size = len(self.seen)
+        self.seen.add((doc, _tag(data)))
+        return len(self.seen) > size
 
     def add(self, ids: np.ndarray, tags: np.ndarray, at: np.ndarray, hashes: np.ndarray, checks: np.ndarray) -> None:
         self.parts.append((ids, tags, at, hashes, checks))
@@ -160,6 +169,7 @@ class _Block:
             return
         ids, tags, at, hashes, checks = map(np.concatenate, zip(*self.parts))
         self.parts, self.size = [], 0
+        self.seen.clear()
         later = _after_the_first(hashes, checks, ids)
         known = (_planes(ids[later]), _planes(tags[later]), _planes(at[later]))
         known_to = int(zlib.crc32(known[0] + known[2]) % self.shards)
@@ -213,8 +223,10 @@ def _windows(window: int, shards: int, block: int):
             ids = batch.column(0).fill_null(NO_ID).to_pylist()
             chunk, size = [], 0
             for i, data in zip(ids, batch.column(1).to_pylist()):
-                chunk.append((i, data or b""))
-                size += len(chunk[-1][1])
+                if not data or not found.new(i, data):
+                    continue
+                chunk.append((i, data))
+                size += len(data)
                 if size >= CHUNK:
                     take(chunk)
                     chunk, size = [], 0
@@ -229,39 +241,17 @@ def _windows(window: int, shards: int, block: int):
     return run
 
 
-def _found_rows(ids: np.ndarray, tags: np.ndarray, at: np.ndarray, window: int) -> Iterator[pa.RecordBatch]:
-    """One row for each run of a document, with the intervals that its windows cover."""
-    if not len(ids):
-        return
-    order = np.lexsort((at, tags, ids))
-    ids, tags, at = ids[order], tags[order], at[order].astype(np.int64)
-    doc = np.zeros(len(ids), bool)
-    doc[_runs(ids, tags)] = True
-    new = doc.copy()
-    new[1:] |= at[1:] > at[:-1] + window
-    starts = np.flatnonzero(new)
-    ends = np.append(starts[1:], len(at)) - 1
-    spans = np.stack((at[starts], at[ends] + window), axis=1).ravel().astype(np.int32)
-    first = np.flatnonzero(doc[starts])
-    offsets = np.append(first, len(starts)).astype(np.int32) * 2
-    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(spans))
-    where = starts[first]
-    names = ["id", "tag", "spans"]
-    batch = pa.RecordBatch.from_arrays([pa.array(ids[where]), pa.array(tags[where].astype(np.int64)), lists], names)
-    for i in range(0, len(batch), 10_000):
-        yield batch.slice(i, 10_000)
-
-
-def _judged(window: int):
-    """Reduce task: the windows of one shard that a smaller id has too."""
+def _judged(buckets: int):
+    """Reduce task: the windows of one shard that a smaller id has too, dealt to buckets
+    by id; so the rows that leave it do not grow with the documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = []
+        parts, known = [], []
         for batch in batches:
             for row in batch.drop_columns(["shard"]).to_pylist():
                 if row["known_id"]:
-                    known = _from_planes(row["known_id"], np.int64), _from_planes(row["known_tag"], np.uint32)
-                    yield from _found_rows(*known, _from_planes(row["known_at"], np.uint32), window)
+                    places = (_from_planes(row[f"known_{c}"], t) for c, t in (("id", np.int64), ("tag", np.uint32), ("at", np.uint32)))
+                    known.append(tuple(places))
                 if row["hash"]:
                     size = _from_planes(row["size"], np.uint32)
                     docs = np.repeat(_from_planes(row["id"], np.int64), size), np.repeat(_from_planes(row["tag"], np.uint32), size)
@@ -271,13 +261,54 @@ def _judged(window: int):
             hashes, checks, ids, tags, at = map(np.concatenate, zip(*parts))
             del parts
             later = _after_the_first(hashes, checks, ids)
-            yield from _found_rows(ids[later], tags[later], at[later], window)
+            known.append((ids[later], tags[later], at[later]))
+            del hashes, checks, ids, tags, at
+        for some in known:
+            bucket = (_mixed(some[0].view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            bounds = np.append(_runs(bucket[order]), len(order))
+            for i, j in zip(bounds[:-1], bounds[1:]):
+                columns = [[int(bucket[order[i]])], *([_planes(c[order[i:j]])] for c in some)]
+                names = [c.split()[0] for c in _HITS.split(", ")]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int32(), *[pa.binary()] * 3])], names)
 
     # The hints tell Spark that the function goes through the batches of a group.
     run.__annotations__ = {"batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
     return run
 
 
+def _gathered(window: int):
+    """Reduce task: a row for each document of a bucket, with the intervals of words that
+    its windows cover."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = []
+        for batch in batches:
+            for row in batch.drop_columns(["bucket"]).to_pylist():
+                parts.append(tuple(_from_planes(row[c], t) for c, t in (("id", np.int64), ("tag", np.uint32), ("at", np.uint32))))
+        ids, tags, at = map(np.concatenate, zip(*parts))
+        del parts
+        order = np.lexsort((at, tags, ids))
+        ids, tags, at = ids[order], tags[order], at[order].astype(np.int64)
+        doc = np.zeros(len(ids), bool)
+        doc[_runs(ids, tags)] = True
+        new = doc.copy()
+        new[1:] |= at[1:] > at[:-1] + window
+        starts = np.flatnonzero(new)
+        ends = np.append(starts[1:], len(at)) - 1
+        spans = np.stack((at[starts], at[ends] + window), axis=1).ravel().astype(np.int32)
+        first = np.flatnonzero(doc[starts])
+        offsets = np.append(first, len(starts)).astype(np.int32) * 2
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(spans))
+        where = starts[first]
+        result = pa.RecordBatch.from_arrays([pa.array(ids[where]), pa.array(tags[where].astype(np.int64)), lists], ["id", "tag", "spans"])
+        for i in range(0, len(result), 10_000):
+            yield result.slice(i, 10_000)
+
+    run.__annotations__ = {"batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
+    return run
+
+
 def _cut(data: bytes, spans: np.ndarray | None) -> tuple[int, int, list[bytes]]:
     """Words of a text, how many of them the intervals cover, and the pieces that are
     left, each the kept words joined by one space."""
@@ -288,12 +319,9 @@ def _cut(data: bytes, spans: np.ndarray | None) -> tuple[int, int, list[bytes]]:
             n += len(words)
             kept += [b" ".join(words)] if words else []
         return n, 0, kept
-    spans = spans.reshape(-1, 2)
-    size = int(spans[:, 1].max())
-    steps = np.zeros(size + 1, np.int64)
-    np.add.at(steps, spans[:, 0], 1)
-    np.add.at(steps, spans[:, 1], -1)
-    gone = np.cumsum(steps)[:size] > 0
+    gone = np.zeros(int(spans[-1]), bool)
+    for start, end in spans.reshape(-1, 2).tolist():
+        gone[start:end] = True
     n, kept = 0, []
     for piece in _pieces(data, PIECE):
         words = piece.split()
@@ -316,9 +344,10 @@ def repeated(docs: DataFrame, id_column: str = "doc_id", text: str = "text", win
     spark = docs.sparkSession
     given = docs.select(F.col(id_column).cast("bigint").alias("id"), F.col(text).cast("binary").alias("data"))
     size = given.agg(F.sum(F.octet_length("data"))).first()[0] or 0
-    shards = max(1, -(-size // SHARD))
+    shards, buckets = (max(1, -(-size // each)) for each in (SHARD, BUCKET))
     sent = given.mapInArrow(_windows(window, shards, BLOCK), _SENT)
-    found = sent.groupBy("shard").applyInArrow(_judged(window), _FOUND)
+    hits = sent.groupBy("shard").applyInArrow(_judged(buckets), _HITS)
+    found = hits.groupBy("bucket").applyInArrow(_gathered(window), _FOUND)
     where = new_path(spark, "repeated")
     # The windows are many times the intervals; once these are written, nothing needs
     # the files of their shuffle.
@@ -329,7 +358,7 @@ def repeated(docs: DataFrame, id_column: str = "doc_id", text: str = "text", win
         found.write.parquet(where)
     finally:
         spark.conf.set(setting, before)
-    return spark.read.parquet(where).groupBy("id", "tag").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    return spark.read.parquet(where)
 
 
 def without_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:

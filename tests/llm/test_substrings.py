@@ -54,6 +54,7 @@ def planted():
 def test_equal_to_windows_as_tuples(spark, make_docs, monkeypatch, block, shard):
     monkeypatch.setattr(substrings, "BLOCK", block)
     monkeypatch.setattr(substrings, "SHARD", shard)
+    monkeypatch.setattr(substrings, "BUCKET", shard)
     docs = planted()
     assert found(substrings.digests(make_docs(*rows_of(docs)).repartition(4))) == slow(docs)
 
@@ -78,7 +79,7 @@ def test_long_text_in_pieces(monkeypatch):
     monkeypatch.setattr(substrings, "PIECE", 64)
     parts = substrings.word_hashes(text)
     assert all(np.array_equal(a, b) for a, b in zip(whole, parts))
-    assert substrings._cut(text, np.array([0, 13, 5, 30, 4990, 5002])) == substrings._cut(text, np.array([0, 30, 4990, 5002]))
+    assert substrings._cut(text, np.array([0, 30, 4990, 5002]))[:2] == (5002, 42)
 
 
 def test_equal_windows_have_equal_hashes_and_others_do_not():
