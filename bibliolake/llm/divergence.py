@@ -12,10 +12,9 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
-from itertools import groupby, islice
-from operator import itemgetter
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -27,18 +26,22 @@ from bibliolake.sources.workspace import through_table
 
 #: Documents of its language that a kept term is in, and terms reported for a source.
 LEAST_DOCS, TOP = 10, 10
-#: Occurrences that a block of postings takes before it is spilled, bytes of a text that
-#: are read at a time, bytes of text for each shard, and postings that are yielded or
-#: compared at a time.
-BLOCK, PIECE, SHARD, ROWS = 1 << 22, 1 << 20, 32 << 20, 1 << 16
+#: Occurrences that a block of postings takes before it is spilled and that are counted
+#: together, bytes of a text that are read at a time, bytes of text for each shard, and
+#: postings that are yielded or compared at a time.
+BLOCK, CHUNK, PIECE, SHARD, ROWS = 1 << 22, 1 << 18, 1 << 20, 32 << 20, 1 << 17
 
 #: Fixed value: a term is a run of A-Z, a-z and anything beyond the first 128 code
 #: points; in bytes, after lower() of A-Z, these.
 _TERM = re.compile(rb"[a-z\x80-\xff]+")
 _GAP = re.compile(rb"[^A-Za-z\x80-\xff]")
 
-_RUN = "shard int, lang string, terms array<binary>, sources array<string>, counts array<bigint>, docs array<bigint>"
-_MERGED = "lang string, term binary, source string, n bigint, lang_n bigint, first boolean"
+#: A run: terms in order, how many postings each has, and the postings one after the other.
+_RUN = (
+    "shard int, lang string, names array<string>, terms array<binary>, sizes array<bigint>, "
+    "sources array<bigint>, counts array<bigint>, docs array<bigint>"
+)
+_MERGED = "lang string, term binary, term_id bigint, source string, n bigint, lang_n bigint, first boolean"
 
 
 def _terms(text: bytes) -> Iterator[list[bytes]]:
@@ -53,6 +56,14 @@ def _terms(text: bytes) -> Iterator[list[bytes]]:
         start = end
 
 
+def _summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct keys in order and, for each, the sums of the values."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else order
+    return keys[first], *(np.add.reduceat(v[order], first) if len(first) else v for v in values)
+
+
 class _Postings:
     """Occurrences and documents of every term of every source, up to a spill."""
 
@@ -61,30 +72,88 @@ class _Postings:
         self.clear()
 
     def clear(self) -> None:
-        self.counts, self.docs, self.size = defaultdict(Counter), defaultdict(Counter), 0
+        #: Of each language: numbers of its terms and sources, and parts of its postings.
+        self.langs: dict[str, tuple[dict, dict, list]] = {}
+        self.waiting: dict[str, list[tuple[int, int, list[bytes]]]] = defaultdict(list)
+        self.size, self.uncounted, self.doc = 0, 0, 0
 
     def add(self, lang: str, source: str, text: bytes) -> None:
-        seen: set[bytes] = set()
+        numbers = self.langs.setdefault(lang, ({}, {}, []))[1]
+        place = numbers.setdefault(source, len(numbers))
+        self.doc += 1
+        if len(text) <= PIECE:
+            terms = _TERM.findall(text.lower())
+            if terms:
+                self.waiting[lang].append((self.doc, place, terms))
+                self.uncounted += len(terms)
+                if self.uncounted >= CHUNK:
+                    self.count()
+            return
+        # A very long text is counted alone, by pieces; each term is in one document.
+        self.count()
+        vocabulary, _, parts = self.langs[lang]
+        seen = np.empty(0, np.int64)
         for terms in _terms(text):
-            self.counts[lang, source].update(terms)
-            seen.update(terms)
+            ids, counts = self._numbered(terms, vocabulary)
+            ids, counts = _summed(ids, counts)
+            parts.append((ids, np.full(len(ids), place), counts, (~np.isin(ids, seen)).astype(np.int64)))
+            seen = np.union1d(seen, ids)
             self.size += len(terms)
-        self.docs[lang, source].update(seen)
+
+    def _numbered(self, terms: list[bytes], vocabulary: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of distinct terms, and how often each occurs."""
+        coded = pa.array(terms, pa.binary()).dictionary_encode()
+        return self._numbers(coded, vocabulary), np.bincount(coded.indices, minlength=len(coded.dictionary))
+
+    @staticmethod
+    def _numbers(coded: pa.DictionaryArray, vocabulary: dict[bytes, int]) -> np.ndarray:
+        known = coded.dictionary.to_pylist()
+        return np.fromiter((vocabulary.setdefault(t, len(vocabulary)) for t in known), np.int64, len(known))
+
+    def count(self) -> None:
+        """Turns the terms that wait into postings."""
+        for lang, docs in self.waiting.items():
+            vocabulary, _, parts = self.langs[lang]
+            coded = pa.array([t for *_, terms in docs for t in terms], pa.binary()).dictionary_encode()
+            codes = coded.indices.to_numpy().astype(np.int64)
+            doc = np.repeat(np.arange(len(docs)), [len(terms) for *_, terms in docs])
+            width = len(coded.dictionary)
+            in_doc, counts = np.unique(doc * width + codes, return_counts=True)
+            source = np.array([place for _, place, _ in docs])[in_doc // width]
+            keys, counts, found = _summed(source * width + in_doc % width, counts, np.ones(len(counts), np.int64))
+            parts.append((self._numbers(coded, vocabulary)[keys % width], keys // width, counts, found))
+            self.size += len(codes)
+        self.waiting.clear()
+        self.uncounted = 0
 
     def spill(self) -> Iterator[pa.RecordBatch]:
         """A run for each shard and language, sorted by term and source."""
-        runs = defaultdict(list)
-        for (lang, source), counts in self.counts.items():
-            docs = self.docs[lang, source]
-            for term, n in counts.items():
-                runs[zlib.crc32(term) % self.shards, lang].append((term, source, n, docs[term]))
+        self.count()
+        for lang, (vocabulary, numbers, parts) in self.langs.items():
+            if not parts:
+                continue
+            terms = sorted(vocabulary)
+            rank = np.empty(len(terms), np.int64)
+            rank[np.fromiter(map(vocabulary.__getitem__, terms), np.int64, len(terms))] = np.arange(len(terms))
+            ids, source, counts, docs = map(np.concatenate, zip(*parts))
+            parts.clear()
+            keys, counts, docs = _summed(rank[ids] * len(numbers) + source, counts, docs)
+            ids, source = keys // len(numbers), keys % len(numbers)
+            of_term = np.fromiter(map(zlib.crc32, terms), np.int64, len(terms)) % self.shards
+            words = np.array(terms, object)
+            shard = of_term[ids]
+            order = np.argsort(shard, kind="stable")
+            bounds = np.searchsorted(shard[order], np.arange(self.shards + 1))
+            for s in np.flatnonzero(np.diff(bounds)).tolist():
+                rows = order[bounds[s] : bounds[s + 1]]
+                own, sizes = np.unique(ids[rows], return_counts=True)
+                lists = [list(numbers), words[own].tolist(), sizes, source[rows], counts[rows], docs[rows]]
+                kinds = [pa.string(), pa.binary(), *[pa.int64()] * 4]
+                columns = [pa.array([s], pa.int32()), pa.array([lang])] + [
+                    pa.ListArray.from_arrays([0, len(c)], pa.array(c, k)) for c, k in zip(lists, kinds)
+                ]
+                yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _RUN.split(", ")])
         self.clear()
-        for (shard, lang), run in runs.items():
-            run.sort()
-            columns = [[shard], [lang], *([list(c)] for c in zip(*run))]
-            kinds = [pa.int32(), pa.string(), pa.list_(pa.binary()), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            names = [c.split()[0] for c in _RUN.split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
 
 def _indexed(shards: int, block: int):
@@ -100,32 +169,51 @@ def _indexed(shards: int, block: int):
     return run
 
 
-def _merged(least_docs: int):
-    """Reduce task: a heap goes through all runs of a shard in the order of the terms."""
+def _merge(runs: list[dict]) -> tuple[list[bytes], np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """All terms of some runs in order, and the postings as ``(number of the term, number
+    of the source, occurrences, documents)``; a heap goes through the terms of all runs."""
+    terms: list[bytes] = []
+    places = [np.empty(len(run["terms"]), np.int64) for run in runs]
+    at = [0] * len(runs)
+    for term, run in heapq.merge(*(zip(r["terms"], repeat(i)) for i, r in enumerate(runs))):
+        if not terms or terms[-1] != term:
+            terms.append(term)
+        places[run][at[run]] = len(terms) - 1
+        at[run] += 1
+    names: dict[str, int] = {}
+    sources = [np.array([names.setdefault(n, len(names)) for n in r["names"]])[r["sources"]] for r in runs]
+    term = np.concatenate([np.repeat(p, r["sizes"]) for p, r in zip(places, runs)])
+    counts, docs = (np.concatenate([r[c] for r in runs]) for c in ("counts", "docs"))
+    keys, counts, docs = _summed(term * len(names) + np.concatenate(sources), counts, docs)
+    return terms, keys // len(names), list(names), keys % len(names), counts, docs
+
+
+def _merged(least_docs: int, shards: int):
+    """Reduce task: the frequencies of the terms of one shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs = defaultdict(list)
+        runs, shard = defaultdict(list), 0
         for batch in batches:
-            for row in batch.to_pylist():
-                runs[row["lang"]].append(zip(row["terms"], row["sources"], row["counts"], row["docs"]))
-
-        def kept() -> Iterator[tuple]:
-            for lang in sorted(runs):
-                for term, postings in groupby(heapq.merge(*runs.pop(lang)), itemgetter(0)):
-                    counts, docs = Counter(), 0
-                    for _, source, n, d in postings:
-                        counts[source] += n
-                        docs += d
-                    if docs >= least_docs:
-                        total = sum(counts.values())
-                        for i, (source, n) in enumerate(counts.items()):
-                            yield lang, term, source, n, total, i == 0
-
-        rows = kept()
-        kinds = [pa.string(), pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.bool_()]
-        while some := list(islice(rows, ROWS)):
-            names = [c.split()[0] for c in _MERGED.split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*some), kinds)], names)
+            shard = batch.column("shard")[0].as_py()
+            numbers = [batch.column(c) for c in ("sizes", "sources", "counts", "docs")]
+            for i, lang in enumerate(batch.column("lang").to_pylist()):
+                known = {c: batch.column(c)[i].as_py() for c in ("names", "terms")}
+                runs[lang].append(known | {c: v[i].values.to_numpy() for c, v in zip(("sizes", "sources", "counts", "docs"), numbers)})
+        for lang in sorted(runs):
+            terms, term, names, source, counts, docs = _merge(runs.pop(lang))
+            kept = np.bincount(term, docs, len(terms)) >= least_docs
+            totals = np.zeros(len(terms), np.int64)
+            np.add.at(totals, term, counts)
+            first = np.concatenate(([True], term[1:] != term[:-1]))
+            rows = np.flatnonzero(kept[term])
+            words, names = pa.array(terms, pa.binary()), pa.array(names)
+            for i in range(0, len(rows), ROWS):
+                r = rows[i : i + ROWS]
+                columns = [
+                    pa.array([lang] * len(r)), words.take(pa.array(term[r])), pa.array(term[r] * shards + shard), names.take(pa.array(source[r])),
+                    pa.array(counts[r]), pa.array(totals[term[r]]), pa.array(first[r]),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _MERGED.split(", ")])
 
     run.__annotations__ = {"batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
     return run
@@ -140,21 +228,25 @@ def _given(docs: DataFrame, text: str, lang: str, source: str) -> DataFrame:
 
 
 def frequencies(docs: DataFrame, least_docs: int = LEAST_DOCS, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """``(lang, term, source, n, lang_n, first)``: occurrences of every kept term in the
-    sources that have it and in the language; ``first`` marks one row of each term."""
+    """``(lang, term, term_id, source, n, lang_n, first)``: occurrences of every kept term
+    in the sources that have it and in the language; a number for each term of a language;
+    ``first`` marks one row of each term."""
     given = _given(docs, text, lang, source)
     size = given.agg(F.sum(F.octet_length("data"))).first()[0] or 0
     shards = max(1, -(-size // SHARD))
     runs = given.select("lang", "source", "data").mapInArrow(_indexed(shards, BLOCK), _RUN)
-    merged = runs.groupBy("shard").applyInArrow(_merged(least_docs), _MERGED)
+    merged = runs.groupBy("shard").applyInArrow(_merged(least_docs, shards), _MERGED)
     return merged.withColumn("term", F.col("term").cast("string"))
 
 
 def _share(n: Column, total: Column, terms: Column) -> Column:
-    """1 + floor(10^9 (n + 2) / (total + 2 terms)), with decimals inside."""
-    above = F.lit(1_000_000_000).cast("decimal(10,0)") * (n.cast("decimal(19,0)") + 2)
-    below = total.cast("decimal(19,0)") + terms.cast("decimal(19,0)") * 2
-    return F.when(terms > 0, 1 + F.call_function("div", above, below))
+    """1 + floor(10^9 (n + 2) / (total + 2 terms)); decimals where 64 bits do not do."""
+    below = total + terms * 2
+    wide = F.lit(1_000_000_000).cast("decimal(10,0)") * (n.cast("decimal(19,0)") + 2)
+    share = F.when(n < 9_000_000_000, F.call_function("div", (n + 2) * 1_000_000_000, below)).otherwise(
+        F.call_function("div", wide, below.cast("decimal(20,0)"))
+    )
+    return F.when(terms > 0, 1 + share)
 
 
 def _apart(p: Column, q: Column) -> Column:
@@ -170,11 +262,11 @@ def _both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     The postings of a term are compared with those 1, 2, ... places after them, many
     terms at a time, and only sums leave the task."""
-    # A cell has one language. Its rows are parts of one shard of terms.
+    # A cell has one language. Its rows are all postings of some terms.
     table = pa.Table.from_batches(list(batches)).combine_chunks()
     langs = table.column("lang").to_pylist()[:1]
-    names, source = np.unique(np.array(table.column("source").to_pylist(), object), return_inverse=True)
-    term = np.unique(np.array(table.column("term").to_pylist(), object), return_inverse=True)[1]
+    coded = table.column("source").combine_chunks().dictionary_encode()
+    names, source, term = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64), table.column("term_id").to_numpy()
     order = np.lexsort((source, term))
     term, source = term[order], source[order]
     p, p0 = (table.column(c).to_numpy()[order] for c in ("p", "p0"))
@@ -184,13 +276,12 @@ def _both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         same = np.flatnonzero(term[step:] == term[:-step])
         if not len(same):
             break
-        for i in range(0, len(same), ROWS * 16):
-            a = same[i : i + ROWS * 16]
+        for i in range(0, len(same), ROWS):
+            a = same[i : i + ROWS]
             b = a + step
             value = _apart_numpy(p[a], p[b]) - _apart_numpy(p[a], p0[b]) - _apart_numpy(p0[a], p[b]) + _apart_numpy(p0[a], p0[b])
-            code, place = np.unique(source[a] * len(names) + source[b], return_inverse=True)
-            total = np.zeros(len(code), np.int64)
-            np.add.at(total, place, value)
+            low, high = np.minimum(source[a], source[b]), np.maximum(source[a], source[b])
+            code, total = _summed(low * len(names) + high, value)
             for c, v in zip(code.tolist(), total.tolist()):
                 sums[c] += v
         step += 1
@@ -242,9 +333,9 @@ def audit(
     one = pairs.join(alike, ["lang", "source"]).groupBy("lang", "source", "other").agg(
         F.sum(F.col("times") * (_apart(F.col("p"), F.col("q0")) - base)).alias("value")
     )
-    shards = max(1, -(-freq.count() // (ROWS * 16)))
-    cell = F.pmod(F.xxhash64("term"), F.lit(shards))
-    two = rows.select("lang", "source", "term", "p", "p0", cell.alias("cell")).groupBy("lang", "cell").applyInArrow(
+    cells = max(1, -(-freq.count() // ROWS))
+    cell = F.pmod(F.xxhash64("term_id"), F.lit(cells))
+    two = rows.select("lang", "source", "term_id", "p", "p0", cell.alias("cell")).groupBy("lang", "cell").applyInArrow(
         _both, "lang string, source string, other string, value bigint"
     )
     corrections = one.unionByName(two)
