@@ -2,6 +2,7 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -204,6 +205,111 @@ def test_restarts_are_reproducible(vectors):
     assert [c.tolist() for c in centers[0]] == [c.tolist() for c in centers[1]]
 
 
+def lloyd(points, centres, max_iter=300):
+    """Lloyd's steps one row at a time."""
+    for _ in range(max_iter):
+        near = [min(range(len(centres)), key=lambda c: ((p - centres[c]) ** 2).sum()) for p in points]
+        new = [np.mean([p for p, n in zip(points, near) if n == c], axis=0) if c in near else centres[c] for c in range(len(centres))]
+        moved = max(((a - b) ** 2).sum() for a, b in zip(new, centres))
+        centres = new
+        if moved <= topics.TOLERANCE**2:
+            break
+    return np.array(centres), sum(min(((p - c) ** 2).sum() for c in centres) for p in points)
+
+
+@pytest.fixture(scope="module")
+def cloud(spark):
+    """Sparse and dense vectors, some of them equal, one without an entry."""
+    from pyspark.ml.linalg import Vectors
+
+    random = np.random.default_rng(4)
+    points = np.concatenate([random.normal(c, 1.0, (60, 3)) for c in (0, 4, 9)]).round(2)
+    points[::7, 1] = 0
+    points = np.concatenate((points, points[:9], np.zeros((1, 3))))
+    rows = [(Vectors.dense(p) if i % 3 else Vectors.sparse(3, [(j, v) for j, v in enumerate(p) if v]),) for i, p in enumerate(points)]
+    return points, spark.createDataFrame(rows, ["features"]).repartition(5)
+
+
+def test_all_starts_together_equal_separate_fits(cloud):
+    points, df = cloud
+    random = np.random.default_rng(1)
+    first = {(k, s): points[random.choice(len(points), k, replace=False)] for k in (2, 3, 5) for s in range(3)}
+    together = topics.fit_all(df, [2, 3, 5], restarts=3, first=first)
+    assert [(f.k, f.start) for f in together] == sorted(first)
+    for fit in together:
+        centres, cost = lloyd(points, list(first[fit.k, fit.start]))
+        assert np.allclose(fit.centres, centres) and fit.cost == pytest.approx(cost)
+        assert fit.sizes.sum() == len(points)
+        alone = topics.fit_all(df, [fit.k], restarts=fit.start + 1, first=first)[-1]
+        assert np.allclose(alone.centres, fit.centres) and alone.scans == fit.scans
+
+
+def test_scans_do_not_grow_with_the_models(cloud, monkeypatch):
+    _, df = cloud
+    scans = []
+    scan = topics._scan
+    monkeypatch.setattr(topics, "_scan", lambda *a: scans.append(len(a[1])) or scan(*a))
+    fits = topics.fit_all(df, [2, 3, 4], restarts=4)
+    assert len(scans) == max(f.scans for f in fits) + 1 and scans[0] == scans[-1] == 12
+
+
+def test_sums_of_many_tasks_are_added_in_two_steps(cloud, monkeypatch):
+    _, df = cloud
+    plain = topics.fit_all(df, [3], restarts=2)
+    monkeypatch.setattr(topics, "FAN_IN", 2)
+    assert all(np.allclose(a.centres, b.centres) for a, b in zip(plain, topics.fit_all(df, [3], restarts=2)))
+
+
+def test_starts_spread_over_far_groups(vectors):
+    assert all(f.cost == pytest.approx(topics.best_fit([f]).cost) for f in topics.fit_all(vectors, [3], restarts=3))
+    assert topics.fit_all(vectors.limit(0), [3]) == []
+    fit = topics.fit_all(vectors.limit(2), [4], restarts=1)[0]  # fewer rows than clusters
+    assert fit.sizes.sum() == 2 and fit.cost == pytest.approx(0)
+
+
+def slow_silhouette(points, labels):
+    values = []
+    for i, p in enumerate(points):
+        far = {c: [np.sqrt(((p - q) ** 2).sum()) for j, q in enumerate(points) if labels[j] == c and j != i] for c in set(labels)}
+        a, b = far[labels[i]], min(np.mean(d) for c, d in far.items() if c != labels[i])
+        a = np.mean(a) if a else None
+        values.append(0.0 if a is None or max(a, b) == 0 else (b - a) / max(a, b))
+    return np.mean(values)
+
+
+def labelled(spark, points, labels):
+    from pyspark.ml.linalg import Vectors
+
+    rows = [(Vectors.dense(p), int(c)) for p, c in zip(points, labels)]
+    return spark.createDataFrame(rows, ["features", "topic_cluster"]).repartition(4)
+
+
+@pytest.mark.parametrize("clusters", [2, 4])
+def test_silhouette_equals_all_pairs(spark, cloud, clusters):
+    points, df = cloud
+    labels = np.random.default_rng(2).integers(0, clusters, len(points))
+    labels[-1] = clusters  # a cluster of one row
+    got, error = topics.silhouette(labelled(spark, points, labels))
+    assert got == pytest.approx(slow_silhouette(points, labels.tolist())) and error == 0
+
+
+def test_silhouette_of_a_sample_is_within_its_error(spark):
+    random = np.random.default_rng(8)
+    labels = random.integers(0, 3, 900)
+    points = random.normal(labels[:, None] * 2.0, 1.0, (900, 4))
+    frame = labelled(spark, points, labels)
+    exact, none = topics.silhouette(frame, sample=1000)
+    assert none == 0
+    for seed in (1, 2, 3):
+        got, error = topics.silhouette(frame, sample=48, seed=seed)
+        assert 0 < error < 0.05 and abs(got - exact) < 4 * error
+
+
+def test_silhouette_needs_two_clusters(spark, cloud):
+    points, df = cloud
+    assert topics.silhouette(labelled(spark, points, [1] * len(points))) is None
+
+
 def test_topics_are_numbered_by_their_centres(vectors):
     models = [topics.fit_kmeans(vectors, 3, restarts=1, seed=s) for s in (1, 2, 3)]
     found = [{(r.file_id, r.topic_cluster) for r in topics.assign_topics(vectors, model).collect()} for model in models]
