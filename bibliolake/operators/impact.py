@@ -3,19 +3,19 @@
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import asdict, dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import Imputer, VectorAssembler
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+import numpy as np
+import pyarrow as pa
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import impact_text, parse_date, to_number
 from ..sources.tables import numeric_only
 from ..sources.workspace import through_table
+from .boosting import Boosted, Setting, Tree, fit_all
 from .metrics import exact_quantile
 from .sampling import FOLDS, SEED, stratified_folds
 from .text import IMPACT_FEATURES, IMPACT_NGRAM, fit_tfidf
@@ -100,16 +100,8 @@ def feature_names(features: DataFrame) -> list[str]:
     return [c for c in features.columns if c not in (*IDENTIFIERS, *TARGETS, "is_test", "fold")]
 
 
-def _assembly(names: list[str]) -> list:
-    filled = [f"{n}_filled" for n in names]
-    return [
-        Imputer(strategy="median", inputCols=names, outputCols=filled),
-        VectorAssembler(inputCols=[*filled, *[f"{n}_missing" for n in names]], outputCol="features"),
-    ]
-
-
 def with_missing_flags(df: DataFrame, names: list[str]) -> DataFrame:
-    """0/1 columns that tell the trees where a value was filled in."""
+    """0/1 columns that tell where a value is missing, for models that need it filled in."""
     numbers = {n: F.col(n).cast("double") for n in names}
     flags = {f"{n}_missing": F.col(n).isNull().cast("double") for n in names}
     return df.withColumns({**numbers, **flags})
@@ -117,38 +109,52 @@ def with_missing_flags(df: DataFrame, names: list[str]) -> DataFrame:
 
 @dataclass
 class ImpactModel:
-    pipeline: PipelineModel
-    names: list[str]
+    boosted: Boosted
     settings: dict
     scores: DataFrame
 
+    @property
+    def names(self) -> list[str]:
+        return self.boosted.names
+
     def predict(self, df: DataFrame) -> DataFrame:
-        scored = self.pipeline.transform(with_missing_flags(df, self.names))
-        return scored.select("file_id", "label", F.col("prediction").cast("int").alias("prediction"))
+        """``(file_id, label, prediction)``; a missing value goes where the trees learned
+        that missing ones go."""
+        boosted, names = self.boosted, self.names
+
+        def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                values = [c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns[2:]]
+                table = np.stack(values, axis=1) if values else np.zeros((batch.num_rows, 0))
+                prediction = pa.array((boosted.margins(table) > 0).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], prediction], ["file_id", "label", "prediction"])
+
+        numbers = [F.col(n).cast("double").alias(f"x{i}") for i, n in enumerate(names)]
+        rows = df.select("file_id", "label", *numbers)
+        kinds = [f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("file_id", "label")]
+        return rows.mapInArrow(predicted, f"{', '.join(kinds)}, prediction int")
 
     def save(self, where: str) -> None:
         """Write everything that ``load`` needs below a folder all executors reach."""
-        self.pipeline.write().overwrite().save(f"{where}/pipeline")
         self.scores.write.mode("overwrite").parquet(f"{where}/scores")
-        settings = self.scores.sparkSession.createDataFrame([(self.names, json.dumps(self.settings))], "names array<string>, settings string")
-        settings.write.mode("overwrite").parquet(f"{where}/settings")
+        row = (json.dumps(asdict(self.boosted)), json.dumps(self.settings))
+        self.scores.sparkSession.createDataFrame([row], "model string, settings string").write.mode("overwrite").parquet(f"{where}/model")
 
     @classmethod
     def load(cls, spark: SparkSession, where: str) -> ImpactModel:
-        row = spark.read.parquet(f"{where}/settings").first()
-        scores = spark.read.parquet(f"{where}/scores")
-        return cls(PipelineModel.load(f"{where}/pipeline"), list(row["names"]), json.loads(row["settings"]), scores)
+        row = spark.read.parquet(f"{where}/model").first()
+        parts = json.loads(row["model"])
+        boosted = Boosted(parts["names"], parts["bounds"], [Tree(**t) for t in parts["trees"]])
+        return cls(boosted, json.loads(row["settings"]), spark.read.parquet(f"{where}/scores"))
 
     def importances(self) -> DataFrame:
-        """Importance per feature, largest first; a flag counts for its feature."""
-        inputs = self.pipeline.stages[1].getInputCols()
-        values = self.pipeline.stages[-1].featureImportances.toArray()
-        table = self.scores.sparkSession.createDataFrame(
-            [(c, float(v)) for c, v in zip(inputs, values)], "input string, importance double"
-        )
-        name = F.regexp_replace("input", "_(filled|missing)$", "")
-        summed = table.groupBy(name.alias("feature")).agg(F.sum("importance").alias("importance"))
-        return summed.orderBy(F.desc("importance"), "feature")
+        """Importance per feature, largest first."""
+        rows = list(zip(self.names, self.boosted.importances()))
+        table = self.scores.sparkSession.createDataFrame(rows, "feature string, importance double")
+        return table.orderBy(F.desc("importance"), "feature")
+
+
+SCORES = "depth int, iterations int, step double, accuracy double"
 
 
 def tune_gbt(
@@ -158,56 +164,37 @@ def tune_gbt(
     steps: list[float] | None = None,
     folds: int = FOLDS,
     seed: int = SEED,
-    parallelism: int = 4,
 ) -> ImpactModel:
     """Grid search by accuracy over stratified folds, refitted on all rows. An empty list
     stands for its entry of ``FALLBACK_GRID``; ``tune_gbt(train, **FULL_GRID)`` searches
-    the larger preset."""
+    the larger preset.
+
+    Candidates that differ in iterations share a fit, and all fits, those on all rows
+    among them, share the passes over the rows. Of equal candidates the first wins.
+    """
     depths = depths or FALLBACK_GRID["depths"]
     iterations = iterations or FALLBACK_GRID["iterations"]
     steps = steps or FALLBACK_GRID["steps"]
     names = feature_names(train)
-    ready = with_missing_flags(stratified_folds(train, "label", folds=folds, seed=seed), names)
-
-    trees = GBTClassifier(labelCol="label", featuresCol="features", seed=seed)
-    grid = (
-        ParamGridBuilder()
-        .addGrid(trees.maxDepth, depths)
-        .addGrid(trees.maxIter, iterations)
-        .addGrid(trees.stepSize, steps)
-        .build()
-    )
-    search = CrossValidator(
-        estimator=Pipeline(stages=[*_assembly(names), trees]),
-        estimatorParamMaps=grid,
-        evaluator=MulticlassClassificationEvaluator(metricName="accuracy"),
-        numFolds=folds,
-        foldCol="fold",
-        parallelism=parallelism,
-        seed=seed,
-    ).fit(ready)
-    rows = [
-        (p[trees.maxDepth], p[trees.maxIter], float(p[trees.stepSize]), float(score))
-        for p, score in zip(grid, search.avgMetrics)
-    ]
-    scores = train.sparkSession.createDataFrame(
-        rows, "depth int, iterations int, step double, accuracy double"
-    )
-    best = max(range(len(rows)), key=lambda i: rows[i][3])
-    settings = dict(zip(("depth", "iterations", "step", "accuracy"), rows[best]))
-    return ImpactModel(search.bestModel, names, settings, scores)
-
-
-def fit_gbt(train: DataFrame, depth: int, iterations: int, step: float, seed: int = SEED) -> ImpactModel:
+    ready = through_table(stratified_folds(train, "label", folds=folds, seed=seed), "folds")
+    settings = [Setting(d, s, held) for d in depths for s in steps for held in (*range(folds), None)]
+    models, scored = fit_all(ready, names, "label", settings, iterations, "fold")
+    rows = []
+    for depth in depths:
+        for n in iterations:
+            for step in steps:
+                parts = [scored.get((Setting(depth, step, held), n)) for held in range(folds)]
+                known = [p for p in parts if p is not None]
+                rows.append((depth, n, float(step), sum(known) / len(known) if known else None))
+    best = max(range(len(rows)), key=lambda i: -1.0 if rows[i][3] is None else rows[i][3])
+    chosen = dict(zip(("depth", "iterations", "step", "accuracy"), rows[best]))
+    model = models[settings.index(Setting(chosen["depth"], chosen["step"]))]
+    model.trees = model.trees[: chosen["iterations"]]
+    return ImpactModel(model, chosen, train.sparkSession.createDataFrame(rows, SCORES))
+
+
+def fit_gbt(train: DataFrame, depth: int, iterations: int, step: float) -> ImpactModel:
     """One classifier with given settings, without a search."""
-    names = feature_names(train)
-    trees = GBTClassifier(
-        labelCol="label", featuresCol="features", maxDepth=depth, maxIter=iterations, stepSize=step, seed=seed
-    )
-    fitted = Pipeline(stages=[*_assembly(names), trees]).fit(with_missing_flags(train, names))
-    settings = {"depth": depth, "iterations": iterations, "step": step}
-    scores = train.sparkSession.createDataFrame(
-        [(depth, iterations, float(step), None)],
-        "depth int, iterations int, step double, accuracy double",
-    )
-    return ImpactModel(fitted, names, settings, scores)
+    models, _ = fit_all(train, feature_names(train), "label", [Setting(depth, step)], [iterations])
+    scores = train.sparkSession.createDataFrame([(depth, iterations, float(step), None)], SCORES)
+    return ImpactModel(models[0], {"depth": depth, "iterations": iterations, "step": step}, scores)

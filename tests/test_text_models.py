@@ -171,6 +171,92 @@ def test_grid_search(separable):
     assert [r.feature for r in best] == ["a", "b"] and sum(r.importance for r in best) == pytest.approx(1)
 
 
+def test_staged_search_equals_separate_fits(spark):
+    from bibliolake.operators import boosting
+
+    random = np.random.default_rng(3)
+    rows = []
+    for i in range(400):
+        a, b = random.normal(), random.normal()
+        rows.append((i, int(a * b + random.normal() / 2 > 0), None if i % 9 == 0 else a, b, float(i % 4)))
+    df = spark.createDataFrame(rows, "file_id bigint, label int, a double, b double, c double")
+    model = impact.tune_gbt(df, [2, 4], [3, 6], [0.3], folds=2)
+    folds = sampling.stratified_folds(df, "label", folds=2).persist()
+    for r in model.scores.collect():
+        right = []
+        for held in range(2):
+            alone, _ = boosting.fit_all(folds, model.names, "label", [boosting.Setting(r.depth, r.step, held)], [r.iterations], "fold")
+            fitted = impact.ImpactModel(alone[0], {}, model.scores)
+            found = fitted.predict(folds.filter(F.col("fold") == held)).collect()
+            right.append(np.mean([x.label == x.prediction for x in found]))
+        assert r.accuracy == pytest.approx(np.mean(right))
+    chosen = model.settings
+    again = impact.fit_gbt(df, chosen["depth"], chosen["iterations"], chosen["step"]).boosted.trees
+    assert len(again) == len(model.boosted.trees) == chosen["iterations"]
+    for a, b in zip(again, model.boosted.trees):
+        assert (a.feature, a.cut, a.missing_left) == (b.feature, b.cut, b.missing_left) and np.allclose(a.value, b.value)
+    assert chosen["accuracy"] == max(r.accuracy for r in model.scores.collect()) > 0.7
+
+
+def slow_tree(rows, g, h, depth, step):
+    """Margins of one tree over rows of bins, split by every cut of every feature."""
+    from bibliolake.operators import boosting as b
+
+    def score(at):
+        return sum(g[i] for i in at) ** 2 / (sum(h[i] for i in at) + b.PENALTY)
+
+    def grow(at, level):
+        best = (b.LEAST_GAIN, None)
+        for f in range(len(rows[0])):
+            for cut in range(1, b.BINS):
+                for missing_left in (False, True):
+                    left = [i for i in at if (missing_left if rows[i][f] == 0 else rows[i][f] <= cut)]
+                    right = [i for i in at if i not in set(left)]
+                    if min(sum(h[i] for i in left), sum(h[i] for i in right)) < b.LEAST_WEIGHT:
+                        continue
+                    gain = (score(left) + score(right) - score(at)) / 2
+                    if gain > best[0] + 1e-9:
+                        best = (gain, (left, right))
+        if best[1] is None or level == depth:
+            value = -step * sum(g[i] for i in at) / (sum(h[i] for i in at) + b.PENALTY)
+            return {i: value for i in at}
+        return grow(best[1][0], level + 1) | grow(best[1][1], level + 1)
+
+    return grow(list(range(len(rows))), 0)
+
+
+@pytest.mark.parametrize("tasks", [1, 5])
+def test_trees_equal_a_search_of_all_splits(spark, monkeypatch, tasks):
+    from bibliolake.operators import boosting
+
+    monkeypatch.setattr(boosting, "TASK_ROWS", 60 // tasks)
+    monkeypatch.setattr(boosting, "FAN_IN", 2)
+    random = np.random.default_rng(6)
+    x = random.normal(size=(60, 3)).round(1)
+    x[::8, 0] = np.nan
+    y = (np.nan_to_num(x[:, 0], nan=2) + x[:, 1] ** 2 > 1).astype(int)
+    rows = [(int(t), *[None if np.isnan(v) else float(v) for v in r]) for t, r in zip(y, x)]
+    df = spark.createDataFrame(rows, "label int, a double, b double, c double")
+    models, _ = boosting.fit_all(df, ["a", "b", "c"], "label", [boosting.Setting(3, 0.3), boosting.Setting(2, 0.5)], [3])
+    for model, (depth, step) in zip(models, [(3, 0.3), (2, 0.5)]):
+        bins = boosting._binned(x, [np.array(b) for b in model.bounds])
+        margin = np.zeros(60)
+        for _ in range(3):
+            p = 1 / (1 + np.exp(-margin))
+            leaf = slow_tree(bins.tolist(), p - y, p * (1 - p), depth, step)
+            margin = margin + np.array([leaf[i] for i in range(60)])
+        assert np.allclose(model.margins(x), margin)
+
+
+def test_boosting_without_features_or_with_one_class(spark):
+    df = spark.createDataFrame([(i, 1, 1.0) for i in range(20)], "file_id bigint, label int, a double")
+    model = impact.fit_gbt(df, 3, 4, 0.3)
+    assert {r.prediction for r in model.predict(df).collect()} == {1}
+    assert [r.importance for r in model.importances().collect()] == [0.0]
+    empty = impact.fit_gbt(df.drop("a").withColumn("label", F.lit(0)), 3, 2, 0.3)
+    assert {r.prediction for r in empty.predict(df).collect()} == {0}
+
+
 def test_saved_impact_model_predicts_the_same(spark, separable, tmp_path):
     model = impact.fit_gbt(separable, 2, 3, 0.1)
     model.save(str(tmp_path / "model"))
