@@ -146,7 +146,7 @@ def _gradients(margin: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return p - y, np.maximum(p * (1 - p), 1e-16)
 
 
-def _histograms(state: tuple, settings: list[Setting], trees: dict, opened: dict) -> dict:
+def _histograms(state: tuple, trees: dict, opened: dict, held_out: list[int | None]) -> dict:
     """Of every model the cells of its open nodes that have rows, with the sums of both
     derivatives; a cell is a feature, an open node and a bin."""
     bins, y, folds, margins = state
@@ -155,7 +155,7 @@ def _histograms(state: tuple, settings: list[Setting], trees: dict, opened: dict
         at = np.full(len(trees[m][0]), -1)
         at[nodes] = np.arange(len(nodes))
         place = at[_routed(trees[m], bins)]
-        rows = np.flatnonzero((place >= 0) & (folds != settings[m].held_out))
+        rows = np.flatnonzero((place >= 0) & (folds != held_out[m]))
         g, h = _gradients(margins[m, rows], y[rows])
         size = len(nodes) * width
         cell = (bins[rows] + place[rows, None] * width + np.arange(features) * size).ravel()
@@ -225,6 +225,7 @@ def fit_all(
     bounds = bin_bounds(df, names)
     state = _state(df, names, label, fold, bounds, len(settings)).persist(StorageLevel.MEMORY_AND_DISK)
     tasks, width = state.getNumPartitions(), BINS + 1
+    held_out = [s.held_out for s in settings]
     models = [Boosted(names, bounds, []) for _ in settings]
     scores: dict[tuple[Setting, int], float] = {}
     before = None
@@ -232,8 +233,8 @@ def fit_all(
         trees = [Tree() for _ in settings]
         opened, level = {m: [0] for m in range(len(settings))}, 0
         while opened:
-            sent = spark.sparkContext.broadcast(({m: trees[m].packed() for m in opened}, opened, settings))
-            parts = state.map(lambda rows, sent=sent: _histograms(rows, sent.value[2], *sent.value[:2]))
+            sent = spark.sparkContext.broadcast(({m: trees[m].packed() for m in opened}, opened, held_out))
+            parts = state.map(lambda rows, sent=sent: _histograms(rows, *sent.value))
             sums = parts.treeReduce(_added) if tasks > FAN_IN else parts.reduce(_added)
             sent.unpersist()
             if before is not None:  # by now the margins of this round are kept

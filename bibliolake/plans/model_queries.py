@@ -1,6 +1,6 @@
 """Labels, splits, clusters, classifiers and their evaluation.
 
-Models are fitted on the whole tables, to tasks whose right answer SQL can tell.
+Models are fitted on the whole texts and tables with the library's defaults.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import evaluation, impact, recommend, sampling, topics
+from ..operators.text import IMPACT_FEATURES, IMPACT_NGRAM, fit_tfidf
 from ..sources.workspace import through_table
 from .registry import over_papers, query
 from .tables import table
@@ -169,131 +170,120 @@ def training_summary(p):
     return reduce(DataFrame.unionByName, parts)
 
 
-# Languages far apart on a line, with small differences within one: the clusters are
-# known. Topics are numbered by their centres, so in the order of the languages.
-POINTS = """WITH points AS (SELECT doc_id, source AS sourcetitle, CAST(dense_rank() OVER (ORDER BY lang) - 1 AS INTEGER) AS topic_cluster,
-  100.0::DOUBLE * (dense_rank() OVER (ORDER BY lang) - 1) AS x, CAST(n_chars % 7 AS DOUBLE) AS y FROM documents)"""
-LANGUAGES = 4
+# Models of whole texts and of all numbers have no answer in SQL; their parts are tested
+# against brute force in tests/test_text_models.py.
+def _vectors(p):
+    """TF-IDF vectors of the whole texts with the default features and n-grams."""
+    rows = through_table(impact.with_text(p).select("file_id", "sourcetitle", "text"), "texts")
+    model = fit_tfidf(rows, IMPACT_FEATURES, IMPACT_NGRAM)
+    return through_table(model.transform(rows).drop("text"), "vectors")
 
 
-def points(spark, sf_dir):
-    """Vectors written once for the many fits."""
-    docs = table(spark, sf_dir, "documents")
-    langs = F.sort_array(docs.agg(F.collect_set("lang")).scalar())
-    x, y = (F.array_position(langs, F.col("lang")) - 1) * 100.0, (F.col("n_chars") % 7).cast("double")
-    rows = docs.select("doc_id", F.col("source").alias("sourcetitle"), array_to_vector(F.array(x, y)).alias("features"))
-    return through_table(rows, "vectors")
+def _topics(p):
+    """With the default number of starts and of iterations, and the fewest clusters of the
+    default range."""
+    rows = _vectors(p)
+    return topics.assign_topics(rows, topics.fit_kmeans(rows, topics.K_MIN))
 
 
-def _topics(spark, sf_dir):
-    """With the default number of starts and of iterations."""
-    rows = points(spark, sf_dir)
-    return topics.assign_topics(rows, topics.fit_kmeans(rows, LANGUAGES))
+@over_papers("clu_01_kmeans_with_restarts")
+def kmeans(p):
+    return _topics(p).groupBy("topic_cluster").agg(F.count("*").alias("papers"))
 
 
-@query("clu_01_kmeans_with_restarts", POINTS + " SELECT topic_cluster, count(*) AS papers FROM points GROUP BY 1")
-def kmeans(spark, sf_dir):
-    return _topics(spark, sf_dir).groupBy("topic_cluster").agg(F.count("*").alias("papers"))
+@over_papers("clu_02_best_k")
+def best_k(p):
+    """Of the default range, by the Euclidean silhouette."""
+    return topics.choose_k(_vectors(p)).scores.orderBy(F.desc_nulls_last("silhouette"), "k").limit(1).select("k", "silhouette")
 
 
-def _choice(spark, sf_dir):
-    """The numbers of clusters to try are the user's; starts and iterations the default."""
-    return topics.choose_k(points(spark, sf_dir), LANGUAGES - 1, LANGUAGES + 1, 1)
+@over_papers("clu_03_silhouette_per_k")
+def silhouette_per_k(p):
+    return topics.choose_k(_vectors(p)).scores
 
 
-@query("clu_02_best_k", POINTS + " SELECT CAST(count(DISTINCT topic_cluster) AS INTEGER) AS k FROM points")
-def best_k(spark, sf_dir):
-    return _choice(spark, sf_dir).scores.orderBy(F.desc_nulls_last("silhouette"), "k").limit(1).select("k")
+@over_papers("clu_04_topic_of_each_paper")
+def topic_of_each_paper(p):
+    return _topics(p).select("file_id", "topic_cluster")
 
 
-# The mean squared distance to a cluster has a closed form in its sums.
-@query(
-    "clu_03_silhouette_per_k",
-    POINTS
-    + """, sums AS (SELECT topic_cluster AS c, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x + y * y) AS ss FROM points GROUP BY 1),
-apart AS (SELECT doc_id, topic_cluster, c, n, (x * x + y * y) * n + ss - 2 * (x * sx + y * sy) AS total FROM points, sums),
-sides AS (SELECT doc_id, max(CASE WHEN c = topic_cluster AND n > 1 THEN total / (n - 1) WHEN c = topic_cluster THEN 0 END) AS a,
-  min(CASE WHEN c <> topic_cluster THEN total / n END) AS b, max(CASE WHEN c = topic_cluster THEN n END) AS own FROM apart GROUP BY 1)
-SELECT CAST(4 AS INTEGER) AS k, round(avg(CASE WHEN own = 1 THEN 0 WHEN a < b THEN 1 - a / b ELSE b / a - 1 END), 6) AS silhouette FROM sides""",
-)
-def silhouette_per_k(spark, sf_dir):
-    scores = _choice(spark, sf_dir).scores
-    return scores.filter(F.col("k") == LANGUAGES).select("k", F.round("silhouette", 6).alias("silhouette"))
+# All pairs of papers; the query holds every paper in its sample up to that many of a
+# cluster.
+SILHOUETTE = """WITH points AS (SELECT doc_id, CAST(dense_rank() OVER (ORDER BY lang) AS INTEGER) AS c,
+  ln(1 + n_chars)::DOUBLE AS x, ln(1 + len(text) - len(replace(text, chr(10), '')))::DOUBLE AS y FROM documents),
+apart AS (SELECT a.doc_id, a.c, b.c AS other, avg(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))) AS far
+  FROM points a JOIN points b ON a.doc_id <> b.doc_id GROUP BY ALL),
+sides AS (SELECT doc_id, c, max(far) FILTER (other = c) AS a, min(far) FILTER (other <> c) AS b FROM apart GROUP BY doc_id, c)
+SELECT c AS topic_cluster, count(*) AS papers, (SELECT round(avg(CASE WHEN a IS NULL OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END), 6)
+  FROM sides) AS silhouette FROM sides GROUP BY c"""
 
 
-@query("clu_04_topic_of_each_paper", POINTS + " SELECT doc_id, topic_cluster FROM points")
-def topic_of_each_paper(spark, sf_dir):
-    return _topics(spark, sf_dir).select("doc_id", "topic_cluster")
+@query("clu_05_silhouette_of_languages", SILHOUETTE)
+def silhouette_of_languages(spark, sf_dir):
+    """How well the languages part the papers by length and lines."""
+    docs = table(spark, sf_dir, "documents")
+    langs = F.sort_array(docs.agg(F.collect_set("lang")).scalar())
+    lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
+    point = F.array(F.log1p(F.col("n_chars").cast("double")), F.log1p(lines.cast("double")))
+    rows = docs.select(F.array_position(langs, F.col("lang")).cast("int").alias("topic_cluster"), array_to_vector(point).alias("features"))
+    rows = through_table(rows, "points")
+    value, _ = topics.silhouette(rows, sample=2_048)
+    return rows.groupBy("topic_cluster").agg(F.count("*").alias("papers")).withColumn("silhouette", F.round(F.lit(value), 6))
+
+
+@over_papers("clu_05_silhouette_of_topics")
+def silhouette_of_topics(p):
+    """Value and standard error for the topics of whole texts."""
+    found = topics.silhouette(_topics(p))
+    return p.sparkSession.createDataFrame([found or (None, None)], "silhouette double, error double")
+
+
+@over_papers("agg_32_cluster_coverage")
+def cluster_coverage(p):
+    return topics.cluster_coverage(_topics(p))
 
 
-@query(
-    "agg_32_cluster_coverage",
-    POINTS
-    + " SELECT topic_cluster, count(*) AS papers, count(DISTINCT sourcetitle) AS journals FROM points GROUP BY 1 HAVING count(DISTINCT sourcetitle) >= 2",
-)
-def cluster_coverage(spark, sf_dir):
-    return topics.cluster_coverage(_topics(spark, sf_dir))
-
-
-# Whether a paper is funded follows from one feature, so a right classifier errs never
-# and looks at that feature only.
-FUNDED = """funded AS (SELECT file_id, CAST(funding_count > 0 AS INTEGER) AS label FROM counted),
-placed AS (SELECT label, count(*) OVER (PARTITION BY label) AS n, row_number() OVER (PARTITION BY label
-  ORDER BY md5(CAST(file_id AS VARCHAR) || ':42'), file_id) AS r FROM funded),
-test AS (SELECT label FROM placed WHERE r <= floor(n * 0.2::DOUBLE))"""
-ALL_RIGHT = """SELECT name, CAST(support AS BIGINT) AS support, 1.0::DOUBLE AS precision, 1.0::DOUBLE AS recall, 1.0::DOUBLE AS f1 FROM (
-  SELECT CAST(label AS VARCHAR) AS name, count(*) AS support FROM test GROUP BY label
-  UNION ALL SELECT unnest(['accuracy', 'macro avg', 'weighted avg']), (SELECT count(*) FROM test))"""
 #: The user's choice of depth, rounds and step.
 TREES = {"depth": 3, "iterations": 100, "step": 0.1}
 
 
-def funded_rows(features):
-    """Numeric features labelled by whether a paper is funded, and their split."""
-    labelled = features.withColumn("label", (F.col("funding_count") > 0).cast("int"))
-    return through_table(sampling.stratified_split(through_table(labelled, "features"), "label"), "impact")
+def _parts(features):
+    """Training and test rows of the high-impact papers and the others."""
+    rows = through_table(sampling.stratified_split(through_table(features, "features"), "label"), "impact")
+    return rows.filter("not is_test").drop("is_test"), rows.filter("is_test").drop("is_test")
 
 
-def _parts(rows):
-    return rows.filter("not is_test").drop("is_test"), rows.filter("is_test").drop("is_test")
+def _numbers(p):
+    return _parts(impact.label_high_impact(impact.impact_features(p)))
 
 
-@over_papers("mod_01_boosted_trees", ALL_RIGHT, ctes=FUNDED)
+@over_papers("mod_01_boosted_trees")
 def boosted_trees(p):
-    train, test = _parts(funded_rows(impact.impact_features(p)))
-    model = impact.fit_gbt(train, **TREES)
-    return _rounded(evaluation.classification_report(model.predict(test)))
+    train, test = _numbers(p)
+    return _rounded(evaluation.classification_report(impact.fit_gbt(train, **TREES).predict(test)))
 
 
-@over_papers(
-    "mod_02_grid_search",
-    "SELECT CAST(depth AS INTEGER) AS depth, CAST(20 AS INTEGER) AS iterations, 0.1::DOUBLE AS step, 1.0::DOUBLE AS accuracy FROM "
-    "(SELECT unnest([3, 5]) AS depth) WHERE (SELECT count(*) FROM papers) > 0",
-)
+@over_papers("mod_02_grid_search")
 def grid_search(p):
-    """Default depths, step and folds; 20 rounds are the user's choice."""
-    train, _ = _parts(funded_rows(impact.impact_features(p)))
-    return impact.tune_gbt(train, iterations=[20]).scores.withColumn("accuracy", F.round("accuracy", 6))
-
-
-NUMBERS = ["year", "refcount", "allauthors_count", "authors_count", "funding_count", "days_from_latest_date"]
-LEADING = f"SELECT unnest({NUMBERS}) AS feature, unnest({[n == 'funding_count' for n in NUMBERS]}) AS leads WHERE (SELECT count(*) FROM papers) > 0"
+    """All 36 candidates of the larger preset over five folds."""
+    train, _ = _numbers(p)
+    return impact.tune_gbt(train, **impact.FULL_GRID).scores
 
 
-def _leading(p):
-    train, _ = _parts(funded_rows(impact.impact_features(p)))
-    best = impact.fit_gbt(train, **TREES).importances()
-    return best.select("feature", (F.col("importance") > 0.9).alias("leads"))
+@over_papers("mod_03_default_grid")
+def default_grid(p):
+    """The grid that stands for empty lists."""
+    train, _ = _numbers(p)
+    return impact.tune_gbt(train, [], [], []).scores
 
 
-over_papers("mod_04_feature_importance", LEADING)(_leading)
-over_papers("top_16_features", f"SELECT * FROM ({LEADING}) WHERE leads")(lambda p: _leading(p).limit(1))
+def _importances(p):
+    train, _ = _numbers(p)
+    return impact.fit_gbt(train, **TREES).importances()
 
 
-def _prepared(p):
-    """Text features, n-grams and starts as by default; the numbers of clusters to try
-    are the user's."""
-    return impact.prepare(p, k_min=2, k_max=3, step=1)
+over_papers("mod_04_feature_importance")(_importances)
+over_papers("top_16_features")(lambda p: _importances(p).limit(12))
 
 
 @over_papers(
@@ -303,59 +293,54 @@ def _prepared(p):
     "CAST((SELECT max(pub_day) FROM counted) - pub_day AS INTEGER) AS days_from_latest_date, true AS placed FROM counted c WHERE citedbycount IS NOT NULL",
 )
 def features_with_topic(p):
-    prepared = _prepared(p)
+    """Text features, starts and numbers of clusters as by default."""
+    prepared = impact.prepare(p)
     placed = F.col("topic_cluster").between(0, prepared.topics.k - 1)
     return prepared.features.withColumn("placed", placed).drop("topic_cluster")
 
 
-@over_papers("mod_01_boosted_trees_with_topic", ALL_RIGHT, ctes=FUNDED.replace("FROM counted)", "FROM counted WHERE citedbycount IS NOT NULL)"))
+@over_papers("mod_01_boosted_trees_with_topic")
 def boosted_trees_with_topic(p):
-    train, test = _parts(funded_rows(_prepared(p).features))
+    train, test = _parts(impact.prepare(p).features)
     return _rounded(evaluation.classification_report(impact.fit_gbt(train, **TREES).predict(test)))
 
 
-# Texts that name their journal, so the first recommendation is known.
-NAMED = "SELECT file_id, sourcetitle AS journal FROM papers"
-
-
-def _named(p):
-    """Title and the journal's name, which is one word, as its own keywords."""
-    title = F.coalesce("citation_title", F.lit(""))
-    return p.select("file_id", "sourcetitle", title.alias("title"), F.concat_ws(" ", F.array_repeat("sourcetitle", 4)).alias("keywords"))
+#: The recommender's usual number of topic clusters.
+CLUSTERS = 8
 
 
 def _trained(p, clusters=None):
-    """N-grams and starts as by default; the number of features and of iterations, which
-    is enough here, are the user's choice."""
-    rows = through_table(_named(p).select(F.concat_ws(" ", "title", "keywords").alias("text"), "sourcetitle"), "training")
-    return recommend.train(rows, max_features=5_000, clusters=clusters, max_iter=30)
+    """On title, abstract and keywords of all papers, with the default features, n-grams
+    and iterations."""
+    return recommend.train(through_table(recommend.training_set(p), "training"), clusters=clusters)
 
 
-def _first(p, model):
-    manuscripts = _named(p).select("file_id", "title", F.lit(None).cast("string").alias("abstract"), "keywords")
-    best = recommend.recommend(model, manuscripts, "file_id", k=2)
-    return best.filter("rank = 1").select("file_id", "journal")
+def _recommended(p, model, k=recommend.CHOICES):
+    manuscripts = p.select("file_id", F.col("citation_title").alias("title"), F.col("abstracts").alias("abstract"), F.array_join("keywords", " ").alias("keywords"))
+    return recommend.recommend(model, manuscripts, "file_id", k)
 
 
-@over_papers("mod_05_journal_classifier", NAMED)
+@over_papers("mod_05_journal_classifier")
 def journal_classifier(p):
-    return _first(p, _trained(p))
+    return _recommended(p, _trained(p), k=1)
+
+
+@over_papers("mod_06_classifier_per_topic")
+def classifier_per_topic(p):
+    """Papers and journals that the model of each topic learned from."""
+    model = _trained(p, clusters=CLUSTERS)
+    rows = [(c, own.papers, len(own.journals)) for c, own in model.per_cluster.items()]
+    return p.sparkSession.createDataFrame(rows, "topic_cluster int, papers bigint, journals int")
 
 
-@over_papers("mod_07_recommendations_by_topic", NAMED)
+@over_papers("mod_07_recommendations_by_topic")
 def recommendations_by_topic(p):
-    return _first(p, _trained(p, clusters=3))
+    return _recommended(p, _trained(p, clusters=CLUSTERS))
 
 
-@over_papers(
-    "mod_08_recommendations",
-    "SELECT file_id, CAST(rank AS INTEGER) AS rank, CASE WHEN rank = 1 THEN sourcetitle END AS journal FROM papers, range(1, 6) r(rank)",
-)
+@over_papers("mod_08_recommendations")
 def recommendations(p):
-    model = _trained(p)
-    manuscripts = _named(p).select("file_id", "title", F.lit(None).cast("string").alias("abstract"), "keywords")
-    best = recommend.recommend(model, manuscripts, "file_id")
-    return best.select("file_id", "rank", F.when(F.col("rank") == 1, F.col("journal")).alias("journal"))
+    return _recommended(p, _trained(p))
 
 
 # Shares of three list lengths stand for probabilities, so the ranking is checked.
@@ -395,15 +380,3 @@ def rank_of_labels(p):
 def coverage_of_given_clusters(p):
     cluster = F.expr("int(file_id % 7 + 7 * (size(keywords) div 20))")
     return topics.cluster_coverage(p.select("sourcetitle", cluster.alias("topic_cluster")))
-
-
-@over_papers("mod_06_classifier_per_topic", "SELECT count(*) AS papers, true AS agree FROM papers")
-def classifier_per_topic(p):
-    """Papers of all clusters, and whether each cluster's model learned from all of its own."""
-    model = _trained(p, clusters=3)
-    texts = _named(p).select(F.concat_ws(" ", "title", "keywords").alias("text"))
-    placed = topics.assign_topics(model.text.transform(texts), model.clusters)
-    # One row for each cluster.
-    counts = {r["topic_cluster"]: r["n"] for r in placed.groupBy("topic_cluster").agg(F.count("*").alias("n")).collect()}
-    agree = all(counts[c] == own.papers for c, own in model.per_cluster.items())
-    return p.sparkSession.createDataFrame([(sum(counts.values()), agree)], "papers long, agree boolean")

@@ -342,7 +342,7 @@ def test_scans_do_not_grow_with_the_models(cloud, monkeypatch):
 def test_sums_of_many_tasks_are_added_in_two_steps(cloud, monkeypatch):
     _, df = cloud
     plain = topics.fit_all(df, [3], restarts=2)
-    monkeypatch.setattr(topics, "FAN_IN", 2)
+    monkeypatch.setattr("bibliolake.operators.scans.FAN_IN", 2)
     assert all(np.allclose(a.centres, b.centres) for a, b in zip(plain, topics.fit_all(df, [3], restarts=2)))
 
 
@@ -448,6 +448,34 @@ def test_saved_journal_model_recommends_the_same(spark, journals, tmp_path, clus
     assert both[0] == both[1] and both[0]
 
 
+@pytest.mark.parametrize("tasks", [1, 3])
+def test_regressions_together_equal_the_estimator(spark, monkeypatch, tasks):
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.linalg import Vectors
+
+    from bibliolake.operators import regression, scans
+
+    monkeypatch.setattr(regression, "GRADIENT", 1e-7)
+    monkeypatch.setattr(regression, "TASK_ROWS", 90 // tasks)
+    monkeypatch.setattr(scans, "FAN_IN", 2)
+    random = np.random.default_rng(5)
+    rows = []
+    for i in range(90):
+        x = random.normal(size=5) * (random.random(5) < 0.6)
+        label = int(np.argmax(x[:3] + random.normal(size=3) / 2))
+        rows.append((float(label), int(i % 2), Vectors.sparse(5, [(j, v) for j, v in enumerate(x) if v])))
+    df = spark.createDataFrame(rows, ["label", "cluster", "features"]).repartition(4)
+    labels, papers = {-1: [0, 1, 2], 0: [0, 1, 2], 1: [0, 1, 2]}, {-1: 90, 0: 45, 1: 45}
+    weights = regression.fit_all(df, 5, labels, papers, 500)
+    for m, w in weights.items():
+        part = df if m < 0 else df.filter(F.col("cluster") == m)
+        fit = LogisticRegression(family="multinomial", regParam=1 / papers[m], standardization=False, tol=1e-12, maxIter=1000).fit(part)
+        assert np.allclose(fit.coefficientMatrix.toArray(), w[:, :5], atol=1e-3)
+        p = regression.as_model(w, df).transform(part).select("probability").collect()
+        q = fit.transform(part).select("probability").collect()
+        assert np.allclose([r[0].toArray() for r in p], [r[0].toArray() for r in q], atol=1e-3)
+
+
 def test_too_many_coefficients_are_refused(journals, monkeypatch):
     monkeypatch.setattr(recommend, "MAX_COEFFICIENTS", 20)
     with pytest.raises(ValueError, match="select_journals"):
