@@ -233,10 +233,10 @@ def fit_all(
         trees = [Tree() for _ in settings]
         opened, level = {m: [0] for m in range(len(settings))}, 0
         while opened:
-            sent = spark.sparkContext.broadcast(({m: trees[m].packed() for m in opened}, opened, held_out))
-            parts = state.map(lambda rows, sent=sent: _histograms(rows, *sent.value))
+            # A few kilobytes, which travel with the task.
+            sent = {m: trees[m].packed() for m in opened}, opened, held_out
+            parts = state.map(lambda rows, sent=sent: _histograms(rows, *sent))
             sums = parts.treeReduce(_added) if tasks > FAN_IN else parts.reduce(_added)
-            sent.unpersist()
             if before is not None:  # by now the margins of this round are kept
                 before.unpersist()
                 before = None
@@ -253,11 +253,11 @@ def fit_all(
             opened = after
         for model, tree in zip(models, trees):
             model.trees.append(tree)
-        sent = spark.sparkContext.broadcast([t.packed() for t in trees])
+        grown = [t.packed() for t in trees]
 
-        def moved(rows: tuple, sent=sent) -> tuple:
+        def moved(rows: tuple, grown=grown) -> tuple:
             bins, y, folds, margins = rows
-            return bins, y, folds, margins + np.stack([t[4][_routed(t, bins)] for t in sent.value])
+            return bins, y, folds, margins + np.stack([t[4][_routed(t, bins)] for t in grown])
 
         before, state = state, state.map(moved).persist(StorageLevel.MEMORY_AND_DISK)
         if done % CHECKPOINT_ROUNDS == 0:

@@ -234,8 +234,9 @@ def short_titles(df: DataFrame) -> DataFrame:
 _SPAN_BINS = 65_536
 
 
-def _value_at(counts: DataFrame, rank: int, low: int, high: int) -> int:
-    """The value with a rank, from 0, among ``counts (v, n)`` between two bounds.
+def _value_at(counts: DataFrame, rank: int, low: int, high: int) -> tuple[int, bool]:
+    """The value with a rank, from 0, among ``counts (v, n)`` between two bounds, and
+    whether the next rank has the same value.
 
     Counts of equal bins tell which bin holds the rank; it is cut into bins again until
     a bin is a single value. Three or four turns are enough for any whole numbers, and
@@ -248,9 +249,9 @@ def _value_at(counts: DataFrame, rank: int, low: int, high: int) -> int:
         up_to = F.sum("n").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
         placed = bins.select("bin", (up_to - F.col("n")).alias("before"), up_to.alias("end"))
         found = placed.filter((F.col("before") <= rank) & (F.col("end") > rank)).first()
-        low, rank = low + int(found["bin"]) * width, rank - found["before"]
         if width == 1:
-            return low
+            return low + int(found["bin"]), rank + 1 < found["end"]
+        low, rank = low + int(found["bin"]) * width, rank - found["before"]
         high = min(high, low + width - 1)
 
 
@@ -264,6 +265,7 @@ def exact_quantile(df: DataFrame, column: str, q: float) -> DataFrame:
     if not total:
         return df.sparkSession.createDataFrame([(None,)], "quantile double")
     at = (total - 1) * q
-    below = _value_at(counts, math.floor(at), low, high)
-    above = below if at == math.floor(at) else _value_at(counts, math.ceil(at), low, high)
+    below, repeated = _value_at(counts, math.floor(at), low, high)
+    # The upper of the two ranks needs no search of its own: it is the next value.
+    above = below if repeated or at == math.floor(at) else counts.filter(F.col("v") > below).agg(F.min("v")).first()[0]
     return df.sparkSession.createDataFrame([(below + (above - below) * (at - math.floor(at)),)], "quantile double")

@@ -17,6 +17,8 @@ TOP_NODES = 25
 MIN_WEIGHT = 2
 NEIGHBOURS = 30
 WIDE_PAPER = 512
+#: Words of 64 bits that tell which keywords may be frequent, 128 KB in all.
+FILTER_WORDS = 1 << 14
 
 
 def _terms(df: DataFrame) -> DataFrame:
@@ -62,9 +64,38 @@ def _weighted(pairs: DataFrame, min_weight: int) -> DataFrame:
     return edges.filter(F.col("weight") >= min_weight) if min_weight > 1 else edges
 
 
+def _slot(term: Column) -> tuple[Column, Column]:
+    """Word and bit of a keyword in the filter."""
+    place = F.pmod(F.xxhash64(term), F.lit(FILTER_WORDS * 64))
+    return F.floor(place / 64).cast("int"), F.pmod(place, F.lit(64)).cast("int")
+
+
+def frequent_filter(df: DataFrame, at_least: int) -> Column:
+    """Bits of the keywords that enough papers hold, as one array for all rows. Other
+    keywords may share a bit, so the filter only ever lets too many through."""
+    word, bit = _slot(F.col("keyword"))
+    frequent = keyword_nodes(df).filter(F.col("freq") >= at_least)
+    words = frequent.groupBy(word.alias("id")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)).alias("bits"))
+    every = df.sparkSession.range(FILTER_WORDS).select(F.col("id").cast("int").alias("id")).join(words, "id", "left")
+    ordered = F.sort_array(F.collect_list(F.struct("id", F.coalesce("bits", F.lit(0).cast("bigint")).alias("bits"))))
+    return every.agg(F.transform(ordered, lambda x: x["bits"])).scalar()
+
+
+def frequent_terms(df: DataFrame, at_least: int) -> DataFrame:
+    """Lists of keywords without those that fewer papers hold, but for chance hits."""
+    kept = frequent_filter(df, at_least)
+
+    def held(term: Column) -> Column:
+        word, bit = _slot(term)
+        return F.call_function("shiftright", F.get(F.col("bits"), word), bit).bitwiseAND(F.lit(1)) == 1
+
+    return _terms(df).withColumn("bits", kept).select(F.filter("terms", held).alias("terms"))
+
+
 def keyword_edges(df: DataFrame, min_weight: int = 1) -> DataFrame:
-    """Pairs of keywords with the number of papers holding both."""
-    return _weighted(_pairs(_terms(df)), min_weight)
+    """Pairs of keywords with the number of papers holding both. A pair is never more
+    frequent than its rarer keyword, so rare ones are left out before pairs are formed."""
+    return _weighted(_pairs(_terms(df) if min_weight <= 1 else frequent_terms(df, min_weight)), min_weight)
 
 
 def _as_array(df: DataFrame, column: str) -> Column:

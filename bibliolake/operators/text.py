@@ -23,8 +23,6 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.workspace import through_table
-
 # A token is two or more letters, digits or underscores.
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
 IMPACT_FEATURES, IMPACT_NGRAM = 5_000, 3
@@ -87,13 +85,11 @@ def fit_tfidf(
     """
     to_terms = term_pipeline(ngram, stop_words)
     texts = df.select("text")
-    # Written once: the vocabulary reads the terms, and counting the rows of the table
-    # reads none of them.
-    terms = through_table(to_terms.transform(texts).select("terms"), "terms")
-    chosen = vocabulary(terms, max_features).collect()
+    # The terms are several times the texts, so they are not written on the way.
+    chosen = vocabulary(to_terms.transform(texts).select("terms"), max_features).collect()
     if not chosen:
         raise ValueError("empty vocabulary: the texts hold only stop words")
-    n = terms.count()
+    n = texts.count()
     idf = [math.log((1 + n) / (1 + row["df"])) + 1 for row in chosen]
     counter = CountVectorizerModel.from_vocabulary(
         [row["term"] for row in chosen], inputCol="terms", outputCol="tf"

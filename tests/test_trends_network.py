@@ -112,3 +112,43 @@ def test_spellings_are_one_node(make_papers):
 def test_ranked_nodes(make_papers):
     p = make_papers({"keywords": ["b", "C", "a"]}, {"keywords": ["C"]})
     assert [r.keyword for r in n.ranked_nodes(p).collect()] == ["C", "a", "b"]
+
+
+def rows_into(frame, node):
+    """Largest number of rows that a node of the executed plan put out."""
+    frame.collect()
+    plan = frame._jdf.queryExecution().executedPlan()
+    found = []
+
+    def walk(p):
+        if hasattr(p, "finalPhysicalPlan") and "AdaptiveSparkPlan" in p.nodeName():
+            p = p.finalPhysicalPlan()
+        if "QueryStage" in p.nodeName():
+            p = p.plan()
+        if p.nodeName() == node:
+            metric = p.metrics().get("numOutputRows")
+            if metric.isDefined():
+                found.append(metric.get().value())
+        children = p.children()
+        for i in range(children.size()):
+            walk(children.apply(i))
+
+    walk(plan)
+    return max(found)
+
+
+def test_rare_keywords_form_no_pairs(make_papers):
+    # Keyword k<i> is alone in its paper, the others are in every fourth one.
+    p = make_papers(*[{"keywords": [f"common{i % 4}", "all", *[f"k{i}_{j}" for j in range(20)]]} for i in range(40)])
+    every = n.keyword_edges(p, 1)
+    want = {(r.src, r.dst, r.weight) for r in every.collect() if r.weight >= 2}
+    pruned = n.keyword_edges(p, 2)
+    assert {(r.src, r.dst, r.weight) for r in pruned.collect()} == want and len(want) == 4
+    assert 20 * rows_into(n.keyword_edges(p, 2), "Generate") < rows_into(n.keyword_edges(p, 1), "Generate")
+
+
+def test_filter_of_few_bits_keeps_every_frequent_keyword(make_papers, monkeypatch):
+    p = make_papers(*[{"keywords": [f"w{i % 7}", f"w{i % 5}", f"r{i}"]} for i in range(60)])
+    want = {(r.src, r.dst, r.weight) for r in n.keyword_edges(p, 1).collect() if r.weight >= 2}
+    monkeypatch.setattr(n, "FILTER_WORDS", 1)
+    assert {(r.src, r.dst, r.weight) for r in n.keyword_edges(p, 2).collect()} == want
