@@ -41,9 +41,9 @@ def journal_labels(p):
 
 @over_papers("lbl_03_labels_decoded", "SELECT file_id, sourcetitle AS journal FROM papers")
 def labels_decoded(p):
-    return recommend.decode_journals(recommend.encode_journals(p.select("file_id", "sourcetitle"))).select(
-        "file_id", "journal"
-    )
+    rows = p.select("file_id", "sourcetitle")
+    dictionary = through_table(recommend.journal_dictionary(rows), "journals")
+    return recommend.decode_journals(recommend.encode_journals(rows, dictionary), dictionary).select("file_id", "journal")
 
 
 @over_papers(

@@ -494,6 +494,23 @@ def test_journal_selection(make_papers):
     assert recommend.training_summary(p, "min", m=2).first().coverage == "Learned from the journals with 2 papers or more, 2 in all."
 
 
+def test_dictionary_of_many_journals(spark):
+    # Ranges are cut by bytes, as names compare; labels are dense and keep that order.
+    n = 200_000
+    names = spark.range(n).select(F.concat(F.lit("é"), F.reverse(F.col("id").cast("string"))).alias("sourcetitle"))
+    rows = names.unionByName(names.limit(50)).unionByName(spark.createDataFrame([(None,)], "sourcetitle string"))
+    dictionary = recommend.journal_dictionary(rows.repartition(7)).persist()
+    totals = dictionary.agg(F.count("*"), F.count_distinct("label"), F.min("label"), F.max("label")).first()
+    assert tuple(totals) == (n, n, 0, n - 1)
+    got = {r.sourcetitle: r.label for r in dictionary.filter("label % 5000 = 0 or label < 3").collect()}
+    want = sorted("é" + str(i)[::-1] for i in range(n))
+    assert all(want[i] == name for name, i in got.items())
+    assert dictionary.rdd.getNumPartitions() >= 1 and "label" in recommend.encode_journals(rows, dictionary).columns
+    back = recommend.decode_journals(recommend.encode_journals(rows, dictionary), dictionary)
+    assert back.filter(~F.col("journal").eqNullSafe(F.col("sourcetitle"))).isEmpty() and back.count() == n + 51
+    assert recommend.journal_dictionary(rows.limit(0)).count() == 0
+
+
 def test_softmax(spark):
     df = spark.createDataFrame([(1, [1.0, 3.0, 1000.0])], "id int, score array<double>")
     p = recommend.softmax(df, ["id"]).first().probability
