@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,8 +25,37 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Names of the tables on the way that are dropped at the end of a ``dropped_tables``.
+_OPEN: list[list[str]] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    where = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if _OPEN:
+        _OPEN[-1].append(where)
+    return where
+
+
+@contextmanager
+def dropped_tables(spark: SparkSession) -> Iterator[None]:
+    """Drops the tables that operators write on their way, once the block ends::
+
+        with dropped_tables(spark):
+            top_subgraph(papers)[1].write.parquet(result)
+
+    Results that are still to be computed must be written inside the block. Only what was
+    made inside it is removed, also when it fails; without it the tables stay in the shared
+    folder.
+    """
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        settings = spark.sparkContext._jsc.hadoopConfiguration()
+        for where in _OPEN.pop():
+            path = hadoop(where)
+            path.getFileSystem(settings).delete(path, True)
 
 
 def through_table(df: DataFrame, name: str) -> DataFrame:

@@ -1,8 +1,12 @@
 import json
+import os
+
+import pytest
 
 from bibliolake.operators.projection import ROOT
 from bibliolake.operators.refresh import collection_state, refresh
 from bibliolake.sources.raw import read_documents, write_raw
+from bibliolake.sources.workspace import dropped_tables, through_table
 
 
 def document(title):
@@ -46,3 +50,22 @@ def test_refresh_from_nothing(spark, tmp_path):
     assert spark.read.parquet(papers).count() == 1
     others = {(r.path.rsplit("/", 1)[-1], r.file_id, r.reason, r.raw_json) for r in spark.read.parquet(raw + "_rejected").collect()}
     assert others == {("201900001", 201900001, "content", "{broken"), ("readme.txt", None, "name", "a note")}
+
+
+def test_tables_on_the_way_are_dropped(spark, tmp_path):
+    def folder(df):
+        return os.path.dirname(df.inputFiles()[0].removeprefix("file://"))
+
+    kept = through_table(spark.range(5), "kept")
+    with dropped_tables(spark):
+        gone = [folder(through_table(spark.range(5), "gone"))]
+        with dropped_tables(spark):
+            inner = through_table(kept.selectExpr("id + 1 AS id"), "inner")
+            gone.append(folder(inner))
+            inner.write.parquet(str(tmp_path / "result"))
+        assert os.path.isdir(gone[0]) and not os.path.isdir(gone[1])
+    with pytest.raises(ZeroDivisionError), dropped_tables(spark):
+        gone.append(folder(through_table(spark.range(5), "failed")))
+        raise ZeroDivisionError
+    assert not any(map(os.path.isdir, gone)) and kept.count() == 5
+    assert spark.read.parquet(str(tmp_path / "result")).count() == 5
