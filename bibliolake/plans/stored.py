@@ -16,12 +16,14 @@ from pyspark.sql import functions as F
 from ..sources.workspace import new_path
 from .tables import table
 
-#: Every 23rd file is not named like a document, every 19th ends too early.
-NAMED_SQL = """
+#: Every file holds the whole text, as one line. Every 23rd is not named like a document,
+#: every 19th ends too early.
+NAMED_SQL = r"""
 WITH files AS (
   SELECT doc_id, 2000 + doc_id % 20 AS year,
     CAST(2000 + doc_id % 20 AS VARCHAR) || '/' || doc_id || CASE WHEN doc_id % 23 = 0 THEN '-note.txt' ELSE '.json' END AS name,
-    '{"id":' || doc_id || ',"lang":"' || lang || '","n":' || n_chars || CASE WHEN doc_id % 19 = 0 THEN '' ELSE '}' END AS content
+    '{"id":' || doc_id || ',"lang":"' || lang || '","n":' || n_chars || ',"text":"' || replace(replace(regexp_replace(text, '[\x00-\x1F]', ' ', 'g'), '\', '\\'), '"', '\"') || '"' ||
+    CASE WHEN doc_id % 19 = 0 THEN '' ELSE '}' END AS content
   FROM documents
 )
 SELECT CASE WHEN doc_id % 23 <> 0 THEN doc_id END AS file_id, CAST(CASE WHEN doc_id % 23 <> 0 THEN year END AS INTEGER) AS year, name,
@@ -33,7 +35,11 @@ def stored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     year = F.expr("2000 + doc_id % 20").cast("string")
     suffix = F.when(F.col("doc_id") % 23 == 0, "-note.txt").otherwise(".json")
     end = F.when(F.col("doc_id") % 19 == 0, "").otherwise("}")
-    content = F.concat(F.lit('{"id":'), "doc_id", F.lit(',"lang":"'), "lang", F.lit('","n":'), "n_chars", end)
+    line = F.regexp_replace("text", r"[\x00-\x1F]", " ")
+    for plain, escaped in (("\\", "\\\\"), ('"', '\\"')):
+        line = F.replace(line, F.lit(plain), F.lit(escaped))
+    parts = [F.lit('{"id":'), "doc_id", F.lit(',"lang":"'), "lang", F.lit('","n":'), "n_chars", F.lit(',"text":"'), line, F.lit('"'), end]
+    content = F.concat(*parts)
     return table(spark, sf_dir, "documents").select(F.concat(year, F.lit("/"), "doc_id", suffix).alias("path"), content.alias("content"))
 
 
