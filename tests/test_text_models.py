@@ -363,7 +363,7 @@ def slow_silhouette(points, labels):
     return np.mean(values)
 
 
-def labelled(spark, points, labels):
+def with_labels(spark, points, labels):
     from pyspark.ml.linalg import Vectors
 
     rows = [(Vectors.dense(p), int(c)) for p, c in zip(points, labels)]
@@ -375,7 +375,7 @@ def test_silhouette_equals_all_pairs(spark, cloud, clusters):
     points, df = cloud
     labels = np.random.default_rng(2).integers(0, clusters, len(points))
     labels[-1] = clusters  # a cluster of one row
-    got, error = topics.silhouette(labelled(spark, points, labels))
+    got, error = topics.silhouette(with_labels(spark, points, labels))
     assert got == pytest.approx(slow_silhouette(points, labels.tolist())) and error == 0
 
 
@@ -383,7 +383,7 @@ def test_silhouette_of_a_sample_is_within_its_error(spark):
     random = np.random.default_rng(8)
     labels = random.integers(0, 3, 900)
     points = random.normal(labels[:, None] * 2.0, 1.0, (900, 4))
-    frame = labelled(spark, points, labels)
+    frame = with_labels(spark, points, labels)
     exact, none = topics.silhouette(frame, sample=1000)
     assert none == 0
     for seed in (1, 2, 3):
@@ -393,7 +393,7 @@ def test_silhouette_of_a_sample_is_within_its_error(spark):
 
 def test_silhouette_needs_two_clusters(spark, cloud):
     points, df = cloud
-    assert topics.silhouette(labelled(spark, points, [1] * len(points))) is None
+    assert topics.silhouette(with_labels(spark, points, [1] * len(points))) is None
 
 
 def test_topics_are_numbered_by_their_centres(vectors):
