@@ -13,10 +13,8 @@ from .common import id_text, whole
 
 #: Units of a k-mer and of the substrings inside it.
 K, S = 5, 2
-#: Texts with fewer code points than this are cut into single ones.
-SHORT = 256
-#: Fixed value: units of longer texts. Words, in pieces of 8 letters or digits from
-#: their start, and single other characters that are no space.
+#: Fixed value: units of texts of every length. Words, in pieces of 8 letters or digits
+#: from their start, and single other characters that are no space.
 UNIT = r"\p{L}{1,8}+|\p{N}{1,8}+|[^\s\p{L}\p{N}]"
 
 
@@ -26,8 +24,7 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def _units(text: Column) -> Column:
-    cut = F.when(F.length(text) == 0, F.array().cast("array<string>")).when(F.length(text) < SHORT, F.split(text, "")).otherwise(F.regexp_extract_all(text, F.lit(UNIT), F.lit(0)))
-    return _let(cut, lambda u: F.when((F.size(u) == 0) & (F.length(text) > 0), F.array(text)).otherwise(u))
+    return _let(F.regexp_extract_all(text, F.lit(UNIT), F.lit(0)), lambda u: F.when((F.size(u) == 0) & (F.length(text) > 0), F.array(text)).otherwise(u))
 
 
 def anchors(text: Column) -> Column:

@@ -10,8 +10,6 @@ from bibliolake.llm import syncmers as M
 
 
 def units(text):
-    if len(text) < M.SHORT:
-        return list(text)
     out = []
     for run in re.findall(r"[^\W\d_]+|\d+|[^\sa-zA-Z0-9À-ɏ]|_", text):
         out += [run[i : i + 8] for i in range(0, len(run), 8)] if run[0].isalnum() else [run]
@@ -53,6 +51,18 @@ def test_anchors_do_not_depend_on_context(spark):
     assert len(a) > 50 and len(a - b) == 0
 
 
+def test_units_are_the_same_at_every_length(spark):
+    text = " ".join(f"{w} of" for w in ["alpha", "river", "stone", "cloud", "seven"] * 20)
+    rows = [(text[:n], text[: n + 1]) for n in (20, 100, 254, 255, 256, 257)]
+    near = M.likeness(M.sketch(F.col("a")), M.sketch(F.col("b")))
+    found = [r[0] for r in spark.createDataFrame(rows, "a string, b string").select(near).collect()]
+    # A longer last word changes at most the last K - S + 1 k-mers, of which about half are anchors.
+    assert all(x >= 0.8 for x in found[2:]), found
+    inner = " ".join(str(random.Random(6).random())[2:9] + f"w{i}" for i in range(22))
+    a, b = (set(x.anchor for x in r[0]) for r in spark.createDataFrame([(inner,), ("before it " * 40 + inner,)], "t string").select(M.anchors(F.col("t"))).collect())
+    assert len(inner) < 256 and len(a) > 5 and a <= b
+
+
 def test_edited_texts_and_order(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     texts = dict(duckdb.sql(f"SELECT doc_id, coalesce(text, '') FROM read_parquet('{sf_dir}/documents.parquet') ORDER BY doc_id").fetchall())
