@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from bibliolake.sources.workspace import through_table
 
-#: Turns that are numbered, summed up and rendered together.
+#: Turns that are rendered together.
 PART = 1024
 #: The marks around a turn, and how they are written inside a text.
 START, END, MARK, PLAIN = "<|im_start|>", "<|im_end|>", "<|im_", "< |im_"
@@ -20,16 +20,20 @@ def _hash(salt: int) -> Column:
 
 
 def prefixes(conversations: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """``(conv, place, role, text, a, b, n_turns)``: every turn at its place from 1 and
+    """``(conv, stretch, place, role, text, a, b, n_turns)``: every turn at its place from 1 and
     two hashes of the conversation up to there.
 
     A prefix hash combines the hashes of its turns, each salted with its place, by
-    exclusive or. Turns are numbered and combined in stretches of turn numbers and
-    then over the stretches, so that no conversation is gone through by one task.
+    exclusive or. All rows are dealt by ranges of conversation, turn, role and text;
+    turns are numbered and combined in the stretch of a conversation within a range and
+    then over its stretches, so that no conversation is gone through by one task, whatever
+    its turn numbers are.
     """
     rows = conversations.select(
         F.col(conv).alias("conv"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text")
-    ).distinct().withColumn("stretch", F.floor(F.coalesce(F.col("turn"), F.lit(-1)) / PART))
+    ).distinct()
+    order = [F.col(c).asc_nulls_first() for c in ("conv", "turn", "role", "text")]
+    rows = rows.repartitionByRange(*order).withColumn("stretch", F.spark_partition_id())
     near = Window.partitionBy("conv", "stretch").orderBy("turn", "role", "text")
     rows = through_table(rows.withColumn("near", F.row_number().over(near)), "turns")
     along = Window.partitionBy("conv").orderBy("stretch")
@@ -52,7 +56,7 @@ def prefixes(conversations: DataFrame, conv: str = "conv_id", turn: str = "turn"
     within = placed.withColumns({"a": F.bit_xor("ha").over(upto), "b": F.bit_xor("hb").over(upto)})
     joined = within.join(sums, same)
     return joined.select(
-        "conv", "place", "role", "text", F.col("a").bitwiseXOR(F.col("pa")).alias("a"), F.col("b").bitwiseXOR(F.col("pb")).alias("b"), "n_turns"
+        "conv", "stretch", "place", "role", "text", F.col("a").bitwiseXOR(F.col("pa")).alias("a"), F.col("b").bitwiseXOR(F.col("pb")).alias("b"), "n_turns"
     )
 
 

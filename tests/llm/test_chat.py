@@ -49,3 +49,17 @@ def test_long_conversations_in_parts(spark):
 
 def test_empty_table(spark):
     assert chat.render(make(spark, (1, 0, "user", "x")).limit(0)).count() == 0
+
+
+def test_one_hot_conversation_spreads(spark):
+    rows = [(None, t, "user", f"text {i}") for t in range(4) for i in range(6000)] + [(1, 0, "user", "hi")]
+    frame = make(spark, *rows).repartition(8)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        turns = chat.prefixes(frame)
+        sizes = [r["count"] for r in turns.groupBy("conv", "stretch").count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert max(sizes) < 12000
+    assert {tuple(r) for r in chat.render(frame).collect()} == by_sql(rows)
