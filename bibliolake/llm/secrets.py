@@ -175,26 +175,37 @@ def scan(
     return scored.select(*keep, "text_key", "path", "value", "start", "before", "after", "score", "is_secret")
 
 
-def _masked(text: Column, values: Column) -> Column:
-    longest = F.array_sort(values, lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
-    return F.aggregate(longest, text, lambda acc, v: F.replace(acc, v, F.lit(MASK)))
+def _masked(text: Column, spans: Column) -> Column:
+    """The text with each of the sorted, disjoint spans ``struct<start, size>`` replaced."""
+
+    def end(i: Column) -> Column:
+        return F.when(i < 0, F.lit(0)).otherwise(F.get(spans, i)["start"] + F.get(spans, i)["size"]).cast("int")
+
+    def piece(span: Column, i: Column) -> Column:
+        return F.concat(F.substring(text, end(i - 1) + 1, span["start"].cast("int") - end(i - 1)), F.lit(MASK))
+
+    return F.concat(F.array_join(F.transform(spans, piece), ""), F.substring(text, end(F.size(spans) - 1) + 1, F.length(text)))
 
 
 def mask(docs: DataFrame, model: RandomForestClassificationModel, text: str = "text", path: str = "source") -> DataFrame:
-    """All rows with all their columns, every secret in the text replaced. Texts
-    without a candidate, nearly all, are passed on as they are; the others are joined
-    with the secrets of equal texts at equal paths."""
+    """All rows with all their columns, every secret in the text replaced where it
+    stands: candidates with a value that is a secret at one place of the text are replaced
+    at all places, parts of longer runs that only begin like it are not. Texts without a
+    candidate, nearly all, are passed on as they are; the others are joined with the
+    secrets of equal texts at equal paths."""
     has_candidate = F.coalesce(F.col(text).rlike(CANDIDATE), F.lit(False))
+    span = F.struct("start", F.length("value").alias("size"))
     secrets = (
-        scan(docs, model, (), text, path).where("is_secret")
-        .groupBy(F.col("text_key").alias("__key"), F.coalesce("path", F.lit("")).alias("__path"))
-        .agg(F.collect_set("value").alias("__values"))
+        scan(docs, model, (), text, path)
+        .groupBy(F.col("text_key").alias("__key"), F.coalesce("path", F.lit("")).alias("__path"), "value")
+        .agg(F.max("is_secret").alias("judged"), F.collect_set(span).alias("spans")).where("judged")
+        .groupBy("__key", "__path").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("__spans"))
     )
     rows = docs.where(has_candidate).withColumns(
         {"__key": F.md5(F.col(text).cast("binary")), "__path": F.coalesce(F.col(path).cast("string"), F.lit(""))}
     )
     cleaned = rows.join(secrets, ["__key", "__path"], "left").withColumn(
-        text, F.when(F.col("__values").isNull(), F.col(text)).otherwise(_masked(F.col(text), F.col("__values")))
+        text, F.when(F.col("__spans").isNull(), F.col(text)).otherwise(_masked(F.col(text), F.col("__spans")))
     )
     same = [F.col(f"`{c}`") for c in docs.columns]
     return docs.where(~has_candidate).unionByName(cleaned.select(*same))

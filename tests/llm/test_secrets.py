@@ -58,6 +58,18 @@ def test_mask_and_odd_rows(make_docs, model):
     assert S.scan(docs.limit(0), model).count() == 0 == S.mask(docs.limit(0), model).count()
 
 
+def test_secrets_are_masked_where_they_stand(spark, make_docs, model):
+    texts = ["ab Sunshine77 in Sunshine77ville", "Sunshine77", "éé𝒳 key end"]
+    spans = [[(3, 10)], [(0, 10)], [(0, 3), (4, 3)]]
+    frame = spark.createDataFrame(list(zip(texts, spans)), "t string, s array<struct<start: bigint, size: int>>")
+    found = [r[0] for r in frame.select(S._masked(F.col("t"), F.col("s"))).collect()]
+    assert found == [f"ab {S.MASK} in Sunshine77ville", S.MASK, f"{S.MASK} {S.MASK} end"]
+    again = f'token = "{HEX}" then {HEX} and release-{HEX}-notes of it'
+    masked = S.mask(make_docs(again), model).first().text
+    assert masked.startswith(f'token = "{S.MASK}" then {S.MASK} and ')
+    assert f"release-{S.MASK}" not in masked
+
+
 def test_no_python_on_the_main_path(spark, sf_dir, model):
     plan = S.mask(spark.read.parquet(f"{sf_dir}/documents.parquet"), model)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
