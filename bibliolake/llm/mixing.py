@@ -18,6 +18,8 @@ BLOCK = 1024
 #: A source's line of documents is laid in 16 ** DIGITS pieces, and a schedule is
 #: numbered in pieces of so many slots.
 DIGITS, STRETCH = 3, 1 << 16
+#: Tasks for each core that list the points of sources.
+TASKS = 4
 
 
 def sized(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -54,10 +56,9 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, percent: int = 1
     return rates.select("source", "source_size", F.least(share, limit).alias("target"))
 
 
-def _bit_reversed(number: Column, bits: int) -> Column:
-    """The van der Corput point of a number, in units of 2 ** -bits."""
-    if not bits:
-        return F.lit(0).cast("bigint")
+def _bit_reversed(number: Column, bits: Column) -> Column:
+    """The van der Corput point of a number of so many bits, in units of 2 ** -bits;
+    the same step leads back from a point to its number."""
     return F.conv(F.reverse(F.lpad(F.bin(number), bits, "0")), 2, 10).cast("bigint")
 
 
@@ -69,30 +70,21 @@ def schedule(quotas: DataFrame, block: int = BLOCK) -> DataFrame:
     der Corput points of the numbers below a power of two are equally spaced, so the
     cumulated slots cut them into exactly that many points for each source, and any
     stretch of the schedule holds each source nearly by its weight. Points beyond
-    the last source are no slots. Ranks are counted in stretches, so that a source
-    with most slots is not numbered by one task.
+    the last source are no slots. A source lists its points in stretches, dealt to
+    all tasks, and ranks are counted in stretches, so that a source with most slots
+    is neither listed nor numbered by one task. Sources may be many.
     """
-    spark = quotas.sparkSession
-    needs = quotas.withColumn("slots", F.ceil(F.col("quota") / block))
+    needs = quotas.withColumn("slots", F.ceil(F.col("quota") / block)).where("slots > 0")
     order = Window.partitionBy(F.lit(0)).orderBy(F.col("source").asc_nulls_last())
-    ends = F.sum("slots").over(order)
-    # One row for each source; their number must be moderate.
-    cut = needs.where("slots > 0").select("source", "quota", (ends - F.col("slots")).alias("low"), ends.alias("high")).collect()
-    total = cut[-1]["high"] if cut else 0
-    bits = max(total - 1, 0).bit_length()
-    numbers = spark.range((1 << bits) if total else 0).withColumn("point", _bit_reversed(F.col("id"), bits)).where(F.col("point") < total)
-    kind = quotas.schema["source"].dataType.simpleString()
-    if not cut:
-        return spark.createDataFrame([], f"slot bigint, source {kind}, rank bigint, words bigint")
-    bounds = F.array(
-        *[
-            F.struct(F.lit(r["high"]).alias("high"), F.lit(r["source"]).cast(kind).alias("source"), F.lit(r["quota"]).alias("quota"))
-            for r in cut
-        ]
-    )
-    of = F.get(F.filter(bounds, lambda b: b["high"] > F.col("point")), F.lit(0))
-    slots = numbers.withColumn("of", of).select(F.col("id").alias("slot"), "of.source", "of.quota", F.expr(f"id div {STRETCH}").alias("stretch"))
-    slots = through_table(slots, "slots")
+    total = F.sum("slots").over(Window.partitionBy(F.lit(0)))
+    bounded = needs.withColumn("high", F.sum("slots").over(order)).withColumn("bits", F.length(F.bin(total - 1)))
+    first = F.col("high") - F.col("slots")
+    pieces = bounded.select("source", "quota", "high", "bits", F.explode(F.sequence(first, F.col("high") - 1, F.lit(STRETCH).cast("bigint"))).alias("low"))
+    # With a number given, adaptive execution does not merge these few bytes again.
+    dealt = pieces.repartition(TASKS * quotas.sparkSession.sparkContext.defaultParallelism)
+    points = dealt.select("source", "quota", "bits", F.explode(F.sequence("low", F.least(F.col("low") + STRETCH, "high") - 1)).alias("point"))
+    slots = points.select(_bit_reversed(F.col("point"), F.col("bits")).alias("slot"), "source", "quota")
+    slots = through_table(slots.withColumn("stretch", F.expr(f"slot div {STRETCH}")), "slots")
     counts = slots.groupBy("source", "stretch").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = counts.select(F.col("source").alias("__s"), F.col("stretch").alias("__t"), before.alias("offset"))
@@ -130,10 +122,13 @@ def mix(
     most: int = 2,
     block: int = BLOCK,
 ) -> DataFrame:
-    """``(id, source, size, source_size, target, taken)`` of every row: the words
-    that the mix takes of it, repeats counted.
+    """``(id, source, size, source_size, target, taken, spans)`` of every row: where the
+    mix takes words of it and how many, repeats counted.
 
-    A slot of rank r takes the block of words r * block onwards of its source's
+    ``spans`` are ``(slot, at, start, words)`` in the order of the schedule: slot ``slot``
+    holds, from its word ``at`` on, ``words`` words of the row from its word ``start`` on;
+    ``taken`` is their sum. A row's list grows with its own text only; ``in_order`` puts
+    the spans of all rows together. A slot of rank r takes the block of words r * block onwards of its source's
     line, which begins anew at its end. A source's slots add up to its target,
     rounded down to words, so a document is taken whole in turn and at most ``most``
     times. Null and empty texts have size 0 and are never taken; null is a source of
@@ -143,7 +138,7 @@ def mix(
     sizes = through_table(sized(docs, id_column, text, source), "sizes")
     wanted = through_table(targets(sizes, weights, percent, most), "targets")
     slots = schedule(wanted.select("source", F.floor("target").alias("quota")), block).select(
-        F.col("source").alias("__s"), F.col("rank").alias("__r"), "words"
+        F.col("source").alias("__s"), F.col("rank").alias("__r"), "slot", "words"
     )
     placed = laid_out(sizes).join(wanted.withColumnRenamed("source", "__w"), F.col("source").eqNullSafe(F.col("__w"))).drop("__w")
     placed = through_table(placed, "placed")
@@ -155,13 +150,22 @@ def mix(
     )
     met = blocks.join(slots, F.col("source").eqNullSafe(F.col("__s")) & (F.col("block") == F.col("__r")))
     begins = F.col("block") * block
-    overlap = F.least("to", begins + F.col("words")) - F.greatest("from", begins)
-    taken = met.groupBy("source", "piece", "number").agg(F.sum(F.greatest(overlap, F.lit(0))).alias("taken"))
-    taken = taken.select(F.col("source").alias("__s"), F.col("piece").alias("__p"), F.col("number").alias("__n"), "taken")
+    low, high = F.greatest("from", begins), F.least("to", begins + F.col("words"))
+    span = F.struct("slot", (low - begins).alias("at"), (low - F.col("from")).alias("start"), (high - low).cast("bigint").alias("words"))
+    found = met.where(high > low).groupBy("source", "piece", "number").agg(F.array_sort(F.collect_list(span)).alias("spans"))
+    found = found.select(F.col("source").alias("__s"), F.col("piece").alias("__p"), F.col("number").alias("__n"), "spans")
     same = F.col("source").eqNullSafe(F.col("__s")) & (F.col("piece") == F.col("__p")) & (F.col("number") == F.col("__n"))
-    return placed.join(taken, same, "left").select(
-        F.col("id").alias(id_column), "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken")
-    )
+    none = F.expr("cast(array() as array<struct<slot:bigint,at:bigint,start:bigint,words:bigint>>)")
+    joined = placed.join(found, same, "left").withColumn("spans", F.coalesce("spans", none))
+    taken = F.aggregate("spans", F.lit(0).cast("bigint"), lambda total, s: total + s["words"])
+    return joined.select(F.col("id").alias(id_column), "source", "size", "source_size", "target", taken.alias("taken"), "spans")
+
+
+def in_order(mixed: DataFrame, id_column: str = "doc_id") -> DataFrame:
+    """``(slot, at, id, source, start, words)`` of the result of ``mix``, sorted as the
+    schedule has it: the mix itself, to be read from the first slot to the last."""
+    spans = mixed.select(id_column, "source", F.explode("spans").alias("span"))
+    return spans.select("span.slot", "span.at", id_column, "source", "span.start", "span.words").orderBy("slot", "at")
 
 
 #: The same mix without a schedule: the first words of the doubled line, up to the target.

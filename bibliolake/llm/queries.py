@@ -46,7 +46,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op10_mixing", mixing.SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("source", "spans")
 
 
 @query("op2_secrets")

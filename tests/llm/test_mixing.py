@@ -59,6 +59,43 @@ def test_matches_sql(spark, sf_dir, block):
     assert all(r.taken <= 2 * r["size"] for r in rows)
 
 
+def test_spans_are_the_mix(spark, sf_dir, monkeypatch):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    mixed = mixing.mix(docs, block=64)
+    rows = mixed.collect()
+    assert all(r.taken == sum(s["words"] for s in r.spans) for r in rows)
+    assert all(0 <= s["start"] and s["start"] + s["words"] <= r["size"] and s["words"] > 0 for r in rows for s in r.spans)
+    spans = mixing.in_order(mixed).collect()
+    assert [(s["slot"], s["at"]) for s in spans] == sorted((s["slot"], s["at"]) for s in spans)
+    slots = {}
+    for s in spans:
+        # A slot is filled without gaps, by one source.
+        at, source = slots.get(s["slot"], (0, s.source))
+        assert s["at"] == at and s.source == source
+        slots[s["slot"]] = (at + s["words"], source)
+    assert max(at for at, _ in slots.values()) == 64
+    # Any stretch of the schedule holds each source nearly by its target.
+    order = [slots[k] for k in sorted(slots)]
+    wanted = {r.source: r.target for r in rows}
+    everything = sum(wanted.values())
+    step = len(order) // 7
+    for k in range(0, len(order) - step, step):
+        words = sum(at for at, _ in order[k : k + step])
+        for source, target in wanted.items():
+            assert abs(sum(at for at, s in order[k : k + step] if s == source) - words * target / everything) < 64 * 12
+    monkeypatch.setattr(mixing, "_bit_reversed", lambda number, bits: number)
+    other = mixing.mix(docs, block=64)
+    assert {(r.doc_id, r.taken) for r in other.collect()} == {(r.doc_id, r.taken) for r in rows}
+    assert mixing.in_order(other).collect() != spans
+
+
+def test_many_sources(spark):
+    quotas = spark.range(5000).selectExpr("cast(id as string) AS source", "id % 3 AS quota")
+    rows = mixing.schedule(quotas, 1).collect()
+    assert len(rows) == sum(i % 3 for i in range(5000)) == len({r.slot for r in rows})
+    assert mixing.schedule(quotas.limit(0), 1).collect() == []
+
+
 def test_odd_rows(make_docs):
     docs = make_docs(
         {"text": "a b c", "source": None}, {"text": None, "source": "s"}, {"text": "", "source": "s"}, {"text": "é\tx\x0by z", "source": "s"},
