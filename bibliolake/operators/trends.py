@@ -120,15 +120,33 @@ def keyword_grid(
     return fill_grid(trend, periods, _array_of(top, "keyword"), carry_forward)
 
 
-def frames(grid: DataFrame) -> DataFrame:
-    """Growing sequence for an animation: frame f holds all periods up to the
-    f-th. Each row names the frames it belongs to, so no range join is needed."""
+def frame_intervals(grid: DataFrame) -> DataFrame:
+    """The grid with the frames of an animation that show each row, ``first_frame`` to
+    ``last_frame``: frame f holds all periods up to the f-th. As many rows as the grid
+    has, where the frames themselves grow with the square of the periods."""
     # A grid has a few keywords and calendar periods, so it is ranked in one piece.
     first = F.dense_rank().over(Window.orderBy("period")) - 1
-    ranked = grid.withColumn("first", first)
-    last = F.max("first").over(Window.partitionBy())
-    spread = F.explode(F.sequence("first", "last")).alias("frame")
-    return ranked.withColumn("last", last).select(spread, "period", "keyword", "value")
+    ranked = grid.withColumn("first_frame", first)
+    last = F.max("first_frame").over(Window.partitionBy())
+    return ranked.withColumn("last_frame", last).select("period", "keyword", "value", "first_frame", "last_frame")
+
+
+def frame(intervals: DataFrame, number: int) -> DataFrame:
+    """One frame out of its intervals, none beyond the last."""
+    shown = F.lit(number).between(F.col("first_frame"), F.col("last_frame"))
+    return intervals.where(shown).select(F.lit(number).alias("frame"), "period", "keyword", "value")
+
+
+def expand_frames(intervals: DataFrame) -> DataFrame:
+    """All frames out of their intervals. Each row names the frames it belongs to, so no
+    range join is needed."""
+    spread = F.explode(F.sequence("first_frame", "last_frame")).alias("frame")
+    return intervals.select(spread, "period", "keyword", "value")
+
+
+def frames(grid: DataFrame) -> DataFrame:
+    """Growing sequence for an animation: frame f holds all periods up to the f-th."""
+    return expand_frames(frame_intervals(grid))
 
 
 def axis_bound(grid: DataFrame) -> DataFrame:

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.lists import subject_names
 from ..operators.projection import build_papers
-from ..sources import audit, tables
-from ..sources.raw import archive_files, checked_documents, document_files, read_raw, split_documents, write_raw
+from ..sources import audit, ingest, tables
+from ..sources.raw import archive_files, checked_documents, document_files, list_members, read_raw, split_documents, write_raw
 from ..sources.workspace import new_path, through_table
 from .stored import NAMED_SQL, store_archives, store_files, stored_documents
 from .registry import over_papers, query
@@ -106,6 +106,19 @@ def archive_read(spark, sf_dir):
     return _checked(archive_files(spark, store_archives(stored_documents(spark, sf_dir))))
 
 
+@query("src_01_ingested_in_two_runs", NAMED_SQL)
+def ingested_in_two_runs(spark, sf_dir):
+    """One archive, then all of them with the manifest of the first run."""
+    stored = store_archives(stored_documents(spark, sf_dir))
+    where = new_path(spark, "store")
+    one = list_members(spark, stored).agg(F.max("archive")).first()[0]
+    for archives in (one, stored) if one else (stored,):
+        ingest.ingest(spark, archives, where)
+    files = ingest.ingested(spark, where)
+    name = F.regexp_extract("path", "([^/]+/[^/]+)$", 1)
+    return files.select("file_id", "year", name.alias("name"), "reason", F.md5(F.col("raw_json").cast("binary")).alias("raw_md5"))
+
+
 def _written_raw(spark: SparkSession, sf_dir: str) -> str:
     where = new_path(spark, "raw")
     write_raw(raw_documents(spark, sf_dir), where)

@@ -142,6 +142,16 @@ def month_frames(p):
     return dated(t.frames(t.keyword_grid(p, "month")))
 
 
+@over_papers(
+    "trd_05_month_intervals",
+    "SELECT strftime(g.period, '%Y-%m-%d') AS period, g.keyword, g.value, f.no AS first_frame, "
+    "CAST((SELECT max(no) FROM month_no) AS INTEGER) AS last_frame FROM month_grid g JOIN month_no f ON g.period = f.period",
+    ctes=RECENT,
+)
+def month_intervals(p):
+    return dated(t.frame_intervals(t.keyword_grid(p, "month")))
+
+
 over_papers("join_03_rows_up_to_each_period", MONTH_FRAMES, ctes=RECENT)(month_frames)
 over_papers("set_02_stacked_frames", MONTH_FRAMES, ctes=RECENT)(month_frames)
 

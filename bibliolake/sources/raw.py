@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import zipfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from urllib.parse import quote
 
 import pandas as pd
@@ -27,16 +27,17 @@ BYTES_PER_TASK = 64 << 20
 LOCAL_HEADER, STORED, DEFLATED = 30, 0, 8
 
 
-def checked_documents(files: DataFrame) -> DataFrame:
+def checked_documents(files: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Files ``(path, value)`` with ``file_id``, ``year``, ``raw_json`` and ``reason``:
     null for a document, ``name`` for a file that is not named like one, ``content`` for
-    one that does not parse."""
+    one that does not parse. Further columns named in ``keep`` stay."""
     allow_repeated_keys(files.sparkSession)
     named = files.select(
         F.regexp_extract("path", MEMBER_PATTERN, 2).try_cast("bigint").alias("file_id"),
         F.regexp_extract("path", MEMBER_PATTERN, 1).try_cast("int").alias("year"),
         F.col("value").alias("raw_json"),
         "path",
+        *keep,
     )
     valid = F.is_valid_utf8("raw_json") & F.try_parse_json("raw_json").isNotNull()
     return named.withColumn("reason", F.when(F.col("file_id").isNull(), "name").when(~F.coalesce(valid, F.lit(False)), "content"))
@@ -77,15 +78,31 @@ def _open(path: str):
     return store.open_input_file(inside)
 
 
+class _Directory:
+    """A stream as the reader of directories wants it: a place before the beginning is an
+    ``OSError``, as in archives too short to hold a member."""
+
+    def __init__(self, stream):
+        self._stream = stream
+        self.read, self.tell, self.seekable = stream.read, stream.tell, stream.seekable
+
+    def seek(self, place: int, whence: int = 0) -> int:
+        if whence == 2 and -place > self._stream.size():
+            raise OSError("a place before the beginning")
+        return self._stream.seek(place, whence)
+
+
 def _list_members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for archive in batch["archive"]:
-            with _open(archive) as stream, zipfile.ZipFile(stream) as opened:
+            with _open(archive) as stream, zipfile.ZipFile(_Directory(stream)) as opened:
                 infos = [i for i in opened.infolist() if not i.is_dir()]
             for start in range(0, len(infos), NAMES_PER_BATCH):
                 chosen = infos[start : start + NAMES_PER_BATCH]
-                rows = [(archive, i.filename, i.header_offset, i.compress_size, i.compress_type, i.flag_bits & 1) for i in chosen]
-                yield pd.DataFrame(rows, columns=["archive", "path", "place", "size", "method", "locked"])
+                rows = [
+                    (archive, i.filename, i.header_offset, i.compress_size, i.compress_type, i.flag_bits & 1, i.CRC, i.file_size) for i in chosen
+                ]
+                yield pd.DataFrame(rows, columns=["archive", "path", "place", "size", "method", "locked", "crc", "bytes"])
 
 
 def _member(stream, place: int, size: int, method: int, locked: int) -> bytes:
@@ -110,28 +127,40 @@ def _read_members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     names.append(row.path)
                     held += len(contents[-1])
                     if len(names) >= DOCS_PER_BATCH or held >= BYTES_PER_BATCH:
-                        yield pd.DataFrame({"path": names, "content": contents})
+                        yield pd.DataFrame({"archive": archive, "path": names, "content": contents})
                         names, contents, held = [], [], 0
                 if names:
-                    yield pd.DataFrame({"path": names, "content": contents})
+                    yield pd.DataFrame({"archive": archive, "path": names, "content": contents})
 
 
-def archive_files(spark: SparkSession, archives: str) -> DataFrame:
-    """``(path, value)`` of the members of zip archives.
+#: Where a member lies in its archive, and the checksum and length of its content.
+MEMBERS = "archive string, path string, place bigint, size bigint, method int, locked int, crc bigint, bytes bigint"
 
-    The first pass reads only the directory of each archive and writes down where every
-    member lies. Members, not archives, are then dealt to a number of tasks that
-    follows from their bytes and the cores, so one huge archive is read by all of them
-    and no task reads a directory again.
-    """
+
+def list_members(spark: SparkSession, archives: str) -> DataFrame:
+    """Members of zip archives, from the directory of each archive alone."""
     found = spark.read.format("binaryFile").load(archives).select(F.col("path").alias("archive"))
-    columns = "archive string, path string, place bigint, size bigint, method int, locked int"
-    members = through_table(found.mapInPandas(_list_members, columns), "members")
+    return found.mapInPandas(_list_members, MEMBERS)
+
+
+def read_members(members: DataFrame) -> DataFrame:
+    """``(archive, path, value)`` of a stored table of members.
+
+    Members, not archives, are dealt to a number of tasks that follows from their
+    bytes and the cores, so one huge archive is read by all of them and no task reads a
+    directory again.
+    """
     total = members.agg(F.sum("size")).first()[0] or 0
-    tasks = max(spark.sparkContext.defaultParallelism, total // BYTES_PER_TASK)
+    tasks = max(members.sparkSession.sparkContext.defaultParallelism, total // BYTES_PER_TASK)
     # With a number given, adaptive execution does not merge these few bytes again.
-    contents = members.repartition(tasks).mapInPandas(_read_members, "path string, content binary")
-    return contents.select("path", F.col("content").cast("string").alias("value"))
+    contents = members.repartition(tasks).mapInPandas(_read_members, "archive string, path string, content binary")
+    return contents.select("archive", "path", F.col("content").cast("string").alias("value"))
+
+
+def archive_files(spark: SparkSession, archives: str) -> DataFrame:
+    """``(path, value)`` of the members of zip archives. The first pass writes down where
+    every member lies, the second reads them."""
+    return read_members(through_table(list_members(spark, archives), "members")).select("path", "value")
 
 
 def read_archives(spark: SparkSession, archives: str) -> tuple[DataFrame, DataFrame]:

@@ -45,6 +45,17 @@ def test_grid_fills_with_zero_or_carries_forward(dated):
     assert len(months) == 2 * 3
 
 
+def test_frames_as_intervals(dated):
+    grid = t.keyword_grid(dated, "year", n=2)
+    intervals = t.frame_intervals(grid)
+    assert intervals.count() == grid.count()
+    every = t.frames(grid).collect()
+    for number in range(5):
+        wanted = sorted(tuple(r) for r in every if r.frame == number)
+        assert sorted(map(tuple, t.frame(intervals, number).collect())) == wanted
+    assert t.frame_intervals(grid.limit(0)).count() == t.frames(grid.limit(0)).count() == 0
+
+
 def test_frames(dated):
     grid = t.keyword_grid(dated, "year", n=2, last_years=3)
     frames = Counter(r.frame for r in t.frames(grid).collect())
