@@ -14,14 +14,16 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-
-
-#: The candidates. A private key block, a run of at least 16 characters
-#: of keys that holds a digit, or a quoted value of at least 8 characters after = or :.
+#: The candidates. A private key block, a signed token of three parts, a
+#: run of at least 16 characters of keys that holds a digit or begins like a known kind of
+#: key, the password of an address, or a quoted value of at least 8 characters after = or :.
 _RUN = "A-Za-z0-9+/_=-"
+PREFIX = r"(?:AKIA|ASIA|gh[pousr]_|xox[abprs]-|sk-)"
 CANDIDATE = (
     r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s]++-----END [A-Z ]{0,30}PRIVATE KEY-----"
-    rf"|(?<![{_RUN}])(?=[A-Za-z+/_=-]*+[0-9])[{_RUN}]{{16,}}+"
+    rf"|(?<![{_RUN}])(?:eyJ[A-Za-z0-9_-]{{8,}}+\.[A-Za-z0-9_-]{{8,}}+\.[A-Za-z0-9_-]{{8,}}+"
+    rf"|(?=[A-Za-z+/_=-]*+[0-9])[{_RUN}]{{16,}}+|{PREFIX}[{_RUN}]{{12,}}+)"
+    r"""|(?<=://[^\s:@/"']{1,64}:)[^\s:@/"']{4,}+(?=@)"""
     r"""|(?<=[=:] ?["'])[^\s"']{8,}+(?=["'])"""
 )
 #: Words that secrets seldom hold, those beside secrets and beside decoys.
@@ -40,7 +42,7 @@ LEFT, RIGHT = 48, 16
 FEATURES = [
     "length", "entropy", "distinct", "digits", "uppers", "lowers", "symbols", "hex_only", "digits_only", "to_digit", "from_digit",
     "case_changes", "vowels", "repeats", "dictionary", "block", "assigned", "quoted", "near_secret", "near_decoy", "path_secret",
-    "path_decoy",
+    "path_decoy", "prefixed", "signed", "in_address",
 ]
 MASK = "<SECRET>"
 
@@ -100,6 +102,9 @@ def with_features(found: DataFrame) -> DataFrame:
         "near_decoy": is_like("before", NEAR_DECOY),
         "path_secret": is_like("path", PATH_SECRET),
         "path_decoy": is_like("path", PATH_DECOY),
+        "prefixed": value.rlike(f"^{PREFIX}").cast("double"),
+        "signed": value.rlike(r"^eyJ[^.]*+\.[^.]++\.[^.]++$").cast("double"),
+        "in_address": (F.col("before").rlike("://[^/@]*:$") & F.col("after").startswith("@")).cast("double"),
     }
     return found.withColumns({f"f_{name}": F.coalesce(column.cast("double"), F.lit(0.0)) for name, column in columns.items()})
 
@@ -107,12 +112,15 @@ def with_features(found: DataFrame) -> DataFrame:
 def labelled_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
     """``(path, value, before, after, label)``: findings made by rule, because the
     tables label none. True ones are random keys of several alphabets that are
-    assigned to a credential's name; false ones are card numbers, digests and ids
-    beside words that name them, placeholders, names, long words and versions."""
+    assigned to a credential's name, passwords of addresses and signed tokens; false ones
+    are card numbers, digests and ids beside words that name them, placeholders, also in
+    addresses and behind the prefixes of keys, names, long words and versions."""
     draw = lambda salt, n: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(n))
     pick = lambda salt, *options: F.get(F.array(*[F.lit(o) for o in options]), draw(salt, len(options)).cast("int"))
     digest = F.sha2(F.concat(F.lit("finding"), F.col("id").cast("string")).cast("binary"), 256)
     coded = F.regexp_replace(F.base64(F.unhex(digest)), "=", "")
+    safe = F.translate(coded, "+/", "-_")
+    letters = F.translate(coded, "0123456789+/", "qzXkVwJyGbRt")
     digits = F.concat(*[F.lpad(draw(f"d{i}", 10**8).cast("string"), 8, "0") for i in range(3)])
     word = F.concat(*[pick(f"w{i}", "tion", "er", "ing", "the", "ver", "ment", "ado", "heit", "ou", "re", "an", "ble") for i in range(7)])
     size = lambda salt, low, high: (draw(salt, high - low + 1) + low).cast("int")
@@ -122,22 +130,29 @@ def labelled_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
         cut(digest, "a", 20, 64), F.upper(cut(digest, "a", 20, 64)), cut(coded, "b", 16, 43), F.substring(digest, 1, 40), F.upper(F.substring(digest, 1, 40)),
         F.concat(F.lit("AKIA"), F.upper(F.regexp_replace(F.substring(coded, 1, 16), "[^A-Za-z0-9]", "Q"))),
         F.concat(F.lit("ghp_"), F.regexp_replace(F.substring(coded, 1, 36), "[^A-Za-z0-9]", "x")), F.concat(F.lit("sk-"), cut(coded, "c", 24, 40)),
+        F.concat(pick("aws", "AKIA", "ASIA"), F.substring(F.upper(letters), 1, 16)), F.concat(pick("xo", "xoxb-", "xoxp-", "ghp_", "sk-"), cut(letters, "l", 20, 40)),
+        F.concat(F.lit("eyJ"), cut(safe, "j", 14, 30), F.lit("."), F.lit("eyJ"), cut(letters, "i", 12, 38), F.lit("."), cut(safe, "h", 20, 43)), cut(safe, "r", 8, 24),
     )
     decoy = F.array(
         F.substring(digits, 1, 16), cut(digits, "e", 16, 24), cut(digest, "f", 32, 64), F.substring(digest, 1, 40), F.concat(word, draw("g", 100).cast("string")),
         named, F.concat(pick("p", "release", "version", "build", "image"), F.lit("-2024-"), F.substring(digits, 1, 8)), F.repeat(F.lit("x0"), 12),
+        F.concat(pick("ws", "AKIA", "ASIA"), pick("we", "EXAMPLEEXAMPLEKEY", "YOURACCESSKEYHERE", "XXXXXXXXXXXXXXXX")), F.concat(F.lit("sk-"), word, F.lit("-"), pick("sl", "tutorial", "guide", "model", "notes")),
+        F.concat(pick("yo", "xoxb-", "ghp_"), pick("ym", "your-", "example-", "insert-"), pick("yt", "token-here", "api-token", "secret-value")),
+        pick("ph", "password", "changeme", "secret", "user", "example", "your_password", "xxxxxx", "placeholder"),
     )
     good = (F.col("id") % 2 == 0)
-    kind = draw("kind", 8).cast("int")
+    kind = draw("kind", 12).cast("int")
     credential = F.concat(pick("k", "token", "TOKEN", "api_key", "apiKey", "secret", "password", "auth_token", "access_key"), pick("o", " = ", "=", ": ", " := "))
     prose = F.concat(word, F.lit(" "), pick("x", "of", "the", "and", "de", "der"), F.lit(" "))
     by_digest = F.concat(pick("y", "commit", "sha256", "md5", "checksum", "digest", "revision", "etag"), pick("z", " ", ": ", "="))
     by_card = F.concat(pick("h", "card ", "order ", "phone ", "", "", ""))
     quote = F.when(draw("q", 4) < 3, F.lit('"')).otherwise(F.lit(""))
-    before = F.when(good, F.concat(prose, credential, quote)).otherwise(
-        F.concat(prose, F.when(kind < 2, by_card).when(kind < 4, by_digest).when(kind == 5, F.concat(credential, quote)).otherwise(F.lit("")))
-    )
-    after = F.when(good | (kind == 5), F.concat(quote, F.lit(" "))).otherwise(F.lit(" "))
+    address = F.concat(pick("db", "postgres", "mysql", "amqp", "https", "redis"), F.lit("://"), pick("dbu", "admin", "root", "service", "app"), F.lit(":"))
+    bearer, named_kind = pick("br", "Authorization: Bearer ", "bearer "), (kind == 5) | (kind == 10)
+    before = F.when(kind == 11, F.concat(prose, address)).when(good & (kind == 10) & (draw("bq", 2) == 0), F.concat(prose, bearer)).when(
+        good, F.concat(prose, credential, quote)
+    ).otherwise(F.concat(prose, F.when(kind < 2, by_card).when(kind < 4, by_digest).when(named_kind, F.concat(credential, quote)).otherwise(F.lit(""))))
+    after = F.when(kind == 11, F.lit("@db.host/main")).when(good | named_kind, F.concat(quote, F.lit(" "))).otherwise(F.lit(" "))
     path = pick("path", "src1", "src2", "app/main.py", "deploy/.env", "tests/test_api.py", "docs/readme.md", "web/config.yml", "")
     return spark.range(0, rows, 1, 1).select(
         path.alias("path"), F.when(good, F.get(secret, kind)).otherwise(F.get(decoy, kind)).alias("value"), before.alias("before"), after.alias("after"),
@@ -150,16 +165,25 @@ def _vectors(found: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=names, outputCol="__features").transform(with_features(found)).drop(*names)
 
 
-def fit(findings: DataFrame, trees: int = 30, depth: int = 8, seed: int = 42) -> RandomForestClassificationModel:
+#: A forest, or the one chance of every candidate where there was nothing to tell apart.
+Model = RandomForestClassificationModel | float
+
+
+def fit(findings: DataFrame, trees: int = 30, depth: int = 8, seed: int = 42) -> Model:
     """A forest from ``(path, value, before, after, label)``. Private key blocks
-    need no forest and are left out."""
+    need no forest and are left out; a null label teaches nothing. Findings of one label
+    only give every candidate that label's chance, no findings one half."""
+    findings = findings.where(F.col("label").isNotNull() & ~F.coalesce(F.col("value"), F.lit("")).startswith("-----BEGIN"))
+    known = sorted(r["label"] for r in findings.select(F.col("label").cast("double").alias("label")).distinct().collect())
+    if len(known) < 2:
+        return known[0] if known else 0.5
     forest = RandomForestClassifier(featuresCol="__features", labelCol="label", probabilityCol="__chance", numTrees=trees, maxDepth=depth, seed=seed)
-    return forest.fit(_vectors(findings.where(~F.col("value").startswith("-----BEGIN"))))
+    return forest.fit(_vectors(findings))
 
 
 def scan(
     docs: DataFrame,
-    model: RandomForestClassificationModel,
+    model: Model,
     keep: Sequence[str] = ("doc_id",),
     text: str = "text",
     path: str = "source",
@@ -169,8 +193,12 @@ def scan(
     every candidate. Null and empty texts have none; a null path is like an empty
     one; repeated rows are listed as often as they are given; an empty table gives
     none; further columns are not read."""
-    found = model.transform(_vectors(candidates(docs, keep, text, path)))
-    chance = F.when(F.col("value").startswith("-----BEGIN"), F.lit(1.0)).otherwise(vector_to_array("__chance")[1])
+    found = candidates(docs, keep, text, path)
+    if isinstance(model, float):
+        judged = F.lit(model)
+    else:
+        found, judged = model.transform(_vectors(found)), vector_to_array("__chance")[1]
+    chance = F.when(F.col("value").startswith("-----BEGIN"), F.lit(1.0)).otherwise(judged)
     scored = found.withColumn("score", chance).withColumn("is_secret", F.col("score") >= threshold)
     return scored.select(*keep, "text_key", "path", "value", "start", "before", "after", "score", "is_secret")
 
@@ -187,7 +215,7 @@ def _masked(text: Column, spans: Column) -> Column:
     return F.concat(F.array_join(F.transform(spans, piece), ""), F.substring(text, end(F.size(spans) - 1) + 1, F.length(text)))
 
 
-def mask(docs: DataFrame, model: RandomForestClassificationModel, text: str = "text", path: str = "source") -> DataFrame:
+def mask(docs: DataFrame, model: Model, text: str = "text", path: str = "source") -> DataFrame:
     """All rows with all their columns, every secret in the text replaced where it
     stands: candidates with a value that is a secret at one place of the text are replaced
     at all places, parts of longer runs that only begin like it are not. Texts without a

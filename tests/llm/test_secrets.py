@@ -1,7 +1,9 @@
 import random
 import re
+import string
 
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from bibliolake.llm import secrets as S
@@ -24,10 +26,8 @@ def test_forest_on_other_findings(spark, model):
 
 def test_spans_match_python(spark, make_docs):
     rng = random.Random(2)
-    texts = ["".join(rng.choice(["wörd ", "\U0001f600", "abc123def456ghi789 ", "\n", '= "p4ss w"', 'key: "hunter22" ', HEX, " " + "9" * 16, PEM]) for _ in range(30)) for _ in range(25)]
-    # Python has no look-behind of two lengths.
-    python = re.compile(S.CANDIDATE.replace(r"""(?<=[=:] ?["'])""", r"""(?:(?<=[=:] ["'])|(?<=[=:]["']))"""))
-    wanted = sorted((i, m.start(), m.group()) for i, t in enumerate(texts) for m in python.finditer(t))
+    texts = ["".join(rng.choice(["wörd ", "\U0001f600", "abc123def456ghi789 ", "\n", '= "p4ss w"', 'key: "hunter22" ', HEX, " " + "9" * 16, PEM, "ftp://me:pa55@h/ ", "AKIA" + "BCDE" * 4 + " "]) for _ in range(30)) for _ in range(25)]
+    wanted = sorted((i, m.start(), m.group()) for i, t in enumerate(texts) for m in regex.finditer(S.CANDIDATE, t))
     rows = S.candidates(make_docs(*texts)).collect()
     assert sorted((r.doc_id, r.start, r.value) for r in rows) == wanted
     for r in rows:
@@ -44,6 +44,56 @@ def test_secrets_and_decoys(make_docs, model):
     assert {r.doc_id for r in rows} == set(range(7))
 
 
+def shapes(rng):
+    """Secrets and decoys of several shapes, none of them made as the findings to learn
+    from are: other names, contexts and alphabets."""
+
+    def some(letters, low, high=None):
+        return "".join(rng.choices(letters, k=rng.randint(low, high or low)))
+
+    upper, lower, digit, both = string.ascii_uppercase, string.ascii_lowercase, string.digits, string.ascii_letters
+    prose = " ".join(some(lower, 2, 9) for _ in range(12))
+    found = {
+        "access key": (True, f"aws_access_key_id = AKIA{some(upper, 16)}"),
+        "chat token": (True, f"slack_auth: 'xoxb-{some(both, 24)}'"),
+        "base64 key": (True, f'signing_key = "{some(both + digit + "+/", 43)}="'),
+        "hex key": (True, f'client_secret: "{some("0123456789abcdef", 32, 48)}"'),
+        "signed token": (True, f"Authorization: Bearer eyJ{some(both + digit, 17)}.eyJ{some(both + digit + '_-', 40)}.{some(both + digit + '_-', 43)}"),
+        "address": (True, f"postgresql://reader:{some(both + digit, 12, 18)}@db.internal:5432/main"),
+        "digest": (False, f"merged in commit {some('0123456789abcdef', 40)} today"),
+        "card": (False, f"paid with card {some(digit, 16)}, thanks"),
+        "placeholder": (False, 'password = "your_password_here"'),
+        "placeholder in an address": (False, "mysql://root:password@localhost/test"),
+        "long word": (False, f"{some(lower, 22)}{some(digit, 2)} is a word"),
+    }
+    return [(kind, secret, f"{prose} {text} {prose}") for kind, (secret, text) in found.items()]
+
+
+def test_every_shape_is_found(make_docs, model):
+    rng = random.Random(5)
+    cases = [case for _ in range(40) for case in shapes(rng)]
+    rows = S.scan(make_docs(*[text for _, _, text in cases]), model).collect()
+    found = {r.doc_id for r in rows if r.is_secret}
+    assert {cases[i][0] for i in {r.doc_id for r in rows}} == {kind for kind, _, _ in cases}
+    for shape, secret in {(kind, secret) for kind, secret, _ in cases}:
+        caught = sum(i in found for i, case in enumerate(cases) if case[0] == shape)
+        assert caught >= 36 if secret else caught <= 4, (shape, caught)
+
+
+def test_fit_on_few_findings(spark, make_docs):
+    findings = S.labelled_findings(spark, 40)
+    docs = make_docs(f'token = "{HEX}"', PEM, "none")
+
+    def scores(model):
+        return sorted((r.doc_id, r.score, r.is_secret) for r in S.scan(docs, model).collect())
+
+    assert scores(S.fit(findings.limit(0))) == [(0, 0.5, True), (1, 1.0, True)]
+    assert scores(S.fit(findings.where("label = 0"))) == [(0, 0.0, False), (1, 1.0, True)]
+    assert scores(S.fit(findings.where("label = 1"))) == [(0, 1.0, True), (1, 1.0, True)]
+    nulls = findings.withColumn("label", F.expr("if(label = 1, null, label)"))
+    assert S.fit(nulls) == 0.0 and S.mask(docs, S.fit(nulls)).count() == 3
+
+
 def test_mask_and_odd_rows(make_docs, model):
     text = f'a token = "{HEX}" b secret: "{HEX}ff00" c'
     docs = make_docs(None, "", {"text": text, "source": None}, {"text": text, "doc_id": None}, {"text": text, "doc_id": None}, "x" * 200_000 + "7 plain")
