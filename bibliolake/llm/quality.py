@@ -81,7 +81,10 @@ class Gaussian:
     offset: float
 
     def log_density(self, x: np.ndarray) -> np.ndarray:
-        z = np.linalg.solve(self.factor, (x - self.mean).T)
+        # Forward substitution on the factor, for all rows at once.
+        z = (x - self.mean).T
+        for i, row in enumerate(self.factor):
+            z[i] = (z[i] - row[:i] @ z[:i]) / row[i]
         return self.offset - 0.5 * (z**2).sum(axis=0)
 
 
