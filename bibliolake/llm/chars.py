@@ -52,11 +52,19 @@ def pieces(text: str, overlap: int):
         yield text[max(0, start - overlap) : start + PIECE]
 
 
-def letters_only(text: str) -> np.ndarray:
+def letters_only(text: str, within: str = "") -> np.ndarray:
     """Code points of the lower-cased text between two spaces, with one space for
-    each run of anything but letters."""
+    each run of anything but letters. Characters of ``within`` stay where they have a
+    letter on each side, whatever number of them in a row."""
     codes = np.concatenate(([SPACE], code_points(text.lower()), [SPACE])).astype(np.uint64)
-    codes[flags(codes) & ALPHA == 0] = SPACE
+    letter = flags(codes) & ALPHA > 0
+    if within:
+        other = np.isin(codes, [ord(c) for c in within])
+        kept = np.where(other, 0, np.arange(len(codes)))
+        left = np.maximum.accumulate(kept)
+        right = np.minimum.accumulate(np.where(other, len(codes) - 1, np.arange(len(codes)))[::-1])[::-1]
+        letter = letter | (other & letter[left] & letter[right])
+    codes[~letter] = SPACE
     return codes[np.concatenate(([True], (codes[1:] != SPACE) | (codes[:-1] != SPACE)))]
 
 

@@ -17,14 +17,17 @@ from .common import sampled
 #: Buckets of subwords, and lengths of the character n-grams of a word with the space
 #: on each side; unseen spellings share most of their n-grams with those seen.
 BUCKETS, GRAMS = 1 << 15, (3, 4, 5)
+#: Characters that stand for letters inside a word.
+STAND_INS = "0123456789*@$!|+"
 
 
 def subwords(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the subwords of the whole text and the share of each. Only letters
-    count, in lower case; n-grams do not go over a space."""
+    count, in lower case, and what stands for them inside a word; n-grams do not go over
+    a space."""
     counts = np.zeros(BUCKETS)
     for piece in chars.pieces(text or "", max(GRAMS) - 1):
-        codes = chars.letters_only(piece)
+        codes = chars.letters_only(piece, STAND_INS)
         space = codes == chars.SPACE
         for n in GRAMS:
             count = len(codes) - n + 1
@@ -91,13 +94,14 @@ def fit(
     docs: DataFrame, labels: DataFrame, *, rows: int = 8000, id_column: str = "doc_id", text: str = "text", label: str = "toxic"
 ) -> ToxicityModel:
     """A model from about ``rows`` labelled documents, chosen by a hash of the id;
-    ids without a label, or with null, teach nothing. The chosen ids are few, so they
-    go to the documents; only subword shares reach the driver. Without labelled rows
-    every score is one half."""
+    ids without a label, or with null, teach nothing, and of several texts for one id the
+    smallest does. The chosen ids are few and go to the documents; only subword shares
+    reach the driver. Without labelled rows every score is one half."""
     known = labels.where(F.col(label).isNotNull()).groupBy(id_column).agg(F.max(label).cast("int").alias("label"))
     total = known.count()
     chosen = known.where(sampled(F.lit(min(1.0, rows / max(total, 1))), id_column))
     texts = docs.select(F.col(id_column), F.col(text).alias("text")).join(F.broadcast(chosen), id_column).select(F.col(id_column).alias("id"), "label", "text")
+    texts = texts.groupBy("id").agg(F.max("label").alias("label"), F.min("text").alias("text"))
 
     def bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -36,6 +36,23 @@ def test_subwords_match_definition():
     assert np.allclose(got, want)
 
 
+def test_what_stands_for_letters_stays_in_a_word():
+    def words(text, within=toxicity.STAND_INS):
+        return "".join(map(chr, chars.letters_only(text, within))).split()
+
+    assert words("1d1ot 1D1OT! sh*t sh**t a5 5a 12 *a* i.e. $$$ b@d-d0g") == ["d1ot", "d1ot", "sh*t", "sh**t", "a", "a", "a", "i", "e", "b@d", "d0g"]
+    assert words("sh*t a1b", "") == ["sh", "t", "a", "b"] and words("") == words("1*2") == []
+
+
+def test_a_repeated_id_teaches_once(make_docs, spark, monkeypatch):
+    docs = make_docs(*[{"text": f"text {i % 3}", "doc_id": 1} for i in range(500)], {"text": "other", "doc_id": 2})
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id bigint, toxic bigint")
+    taught = []
+    monkeypatch.setattr(toxicity, "train", lambda sample: taught.extend(sample))
+    toxicity.fit(docs, labels)
+    assert [y for y, _, _ in taught] == [1, 0]
+
+
 def test_misspellings_share_subwords():
     rng = np.random.default_rng(0)
     word = lambda: "".join(rng.choice(list("abcdefgh"), 6))
