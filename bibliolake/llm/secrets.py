@@ -23,7 +23,7 @@ CANDIDATE = (
     r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s]++-----END [A-Z ]{0,30}PRIVATE KEY-----"
     rf"|(?<![{_RUN}])(?:eyJ[A-Za-z0-9_-]{{8,}}+\.[A-Za-z0-9_-]{{8,}}+\.[A-Za-z0-9_-]{{8,}}+"
     rf"|(?=[A-Za-z+/_=-]*+[0-9])[{_RUN}]{{16,}}+|{PREFIX}[{_RUN}]{{12,}}+)"
-    r"""|(?<=://[^\s:@/"']{1,64}:)[^\s:@/"']{4,}+(?=@)"""
+    r"""|(?<=:)(?<=://[^\s:@/"']{1,64}:)[^\s:@/"']{4,}+(?=@)"""
     r"""|(?<=[=:] ?["'])[^\s"']{8,}+(?=["'])"""
 )
 #: Words that secrets seldom hold, those beside secrets and beside decoys.
