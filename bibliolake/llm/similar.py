@@ -1,5 +1,5 @@
 """Near copies at a similarity: SimHash of five-word shingles, BK-trees of the
-documents that can be alike, and an exact check of the closest links."""
+documents that can be alike, and an exact check of the links that can join groups."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bibliolake.sources.workspace import through_table
@@ -28,8 +28,11 @@ BANDS, ROWS = 12, 4
 SEED, WHOLE_SEED = 42, 7
 #: Documents of one tree at most.
 TREE = 2048
-#: Shingles that are worked on at a time.
-BLOCK = 1 << 14
+#: Shingles that are worked on at a time, and links.
+BLOCK, LINKS = 1 << 14, 1 << 18
+#: Links of two groups that are checked in the second step, and by how much more in each
+#: step after it.
+FIRST, MORE = 32, 8
 
 _RNG = np.random.default_rng(SEED)
 _FACTOR = _RNG.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -124,21 +127,40 @@ def _cell_links(tree: np.ndarray, tree_nodes: np.ndarray, ask: np.ndarray, ask_n
     return nodes[a[taken]], nodes[b[taken]]
 
 
-def candidates(sketches: DataFrame, radius: int = RADIUS, tree_size: int = TREE) -> DataFrame:
-    """Links ``(a, b)``, ``a < b``, between nodes of ``sketches (node, fp, keys)``, whose
-    nodes are distinct: within every band the closest ones that join the same groups as
-    all fingerprints within the radius do.
-
-    Bands with the same members are searched once. A band is cut into shards of about
-    ``tree_size`` nodes, each a BK-tree, and for every two shards one searches the tree
-    of the other, so a task holds two shards, however many documents a band has.
-    """
-    keyed = sketches.select("node", "fp", F.explode("keys").alias("key"))
-    full = keyed.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("members")).where("n > 1")
-    once = full.groupBy("n", "members").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / tree_size).alias("shards"))
-    dealt = keyed.join(once, "key").select(
+def _between(tree: tuple, ask: tuple, radius: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """All links ``(a, b, root_a, root_b, distance)`` of the nodes of one tree and its
+    queries whose roots differ, some at a time. Both sides are fingerprints, nodes, roots."""
+    values, own = np.unique(tree[0], return_inverse=True)
+    asked, ask_own = np.unique(ask[0], return_inverse=True)
+    query, value = Forest(values, np.zeros(len(values), np.int64)).within(asked, np.zeros(len(asked), np.int64), radius)
+    # The members of a value lie side by side.
+    order, ask_order = np.argsort(own, kind="stable"), np.argsort(ask_own, kind="stable")
+    start, ask_start = (np.searchsorted(o[i], np.arange(len(v) + 1)) for o, i, v in ((own, order, values), (ask_own, ask_order, asked)))
+    size, ask_size = np.diff(start)[value], np.diff(ask_start)[query]
+    ends = np.cumsum(size * ask_size)
+    i = 0
+    while i < len(ends):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + LINKS, "right")))
+        n = size[i:j] * ask_size[i:j]
+        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        each = np.repeat(size[i:j], n)
+        t = order[np.repeat(start[value[i:j]], n) + place % each]
+        q = ask_order[np.repeat(ask_start[query[i:j]], n) + place // each]
+        apart = tree[2][t] != ask[2][q]
+        t, q = t[apart], q[apart]
+        yield tree[1][t], ask[1][q], tree[2][t], ask[2][q], np.bitwise_count(tree[0][t] ^ ask[0][q]).astype(np.int32)
+        i = j
+
+
+def _searched(keyed: DataFrame, bands: DataFrame, tree_size: int, search, schema: str) -> DataFrame:
+    """What ``search`` finds between every two shards of each of the ``bands (key, n)``;
+    it gets two sides with an array for each column of ``keyed`` but the key."""
+    columns = [c for c in keyed.columns if c != "key"]
+    names = [c.split()[0] for c in schema.split(", ")]
+    shards = bands.select("key", F.ceil(F.col("n") / tree_size).alias("shards"))
+    dealt = keyed.join(shards, "key").select(
         "key",
-        F.struct("fp", "node").alias("one"),
+        F.struct(*columns).alias("one"),
         F.pmod(F.xxhash64("node"), F.col("shards")).alias("own"),
         F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("shards") - 1)).alias("other"),
     )
@@ -148,25 +170,74 @@ def candidates(sketches: DataFrame, radius: int = RADIUS, tree_size: int = TREE)
         F.collect_list(F.when(F.col("own") == high, F.col("one"))).alias("queries"),
     )
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def joined(held: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sides = []
             for name in ("tree", "queries"):
                 lists = batch.column(name)
                 ends = np.concatenate(([0], np.cumsum(np.diff(lists.offsets.to_numpy(zero_copy_only=False)))))
                 flat = lists.flatten()
-                sides.append((ends, flat.field("fp").to_numpy().view(np.uint64), flat.field("node").to_numpy()))
-            found = []
-            (te, tf, tn), (qe, qf, qn) = sides
+                values = [flat.field(c).to_numpy() for c in columns]
+                sides.append((ends, [v.view(np.uint64) if c == "fp" else v for c, v in zip(columns, values)]))
+            held, n = [], 0
             for row in range(batch.num_rows):
-                t, q = slice(te[row], te[row + 1]), slice(qe[row], qe[row + 1])
-                found.append(_cell_links(tf[t], tn[t], qf[q], qn[q], radius))
-            if found:
-                a, b = (np.concatenate([f[i] for f in found]) for i in (0, 1))
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+                for found in search(*([v[ends[row] : ends[row + 1]] for v in side] for ends, side in sides)):
+                    held.append(found)
+                    n += len(found[0])
+                    if n >= LINKS:
+                        yield joined(held)
+                        held, n = [], 0
+            if n:
+                yield joined(held)
 
     some = cells.where((F.size("tree") > 0) & (F.size("queries") > 0)).select("tree", "queries")
-    return some.mapInArrow(search, "a bigint, b bigint").distinct()
+    return some.mapInArrow(run, schema)
+
+
+def candidates(sketches: DataFrame, radius: int = RADIUS, tree_size: int = TREE) -> DataFrame:
+    """Links ``(a, b)``, ``a < b``, between nodes of ``sketches (node, fp, keys)``, whose
+    nodes are distinct: within every band the closest ones that join the same groups as
+    all fingerprints within the radius do.
+
+    Bands with the same members are searched once. A band is cut into shards of about
+    ``tree_size`` nodes, each a BK-tree, and for every two shards one searches the tree
+    of the other, so a task holds two shards, however many documents a band has.
+    """
+    keyed = sketches.select("fp", "node", F.explode("keys").alias("key"))
+    full = keyed.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("members")).where("n > 1")
+    once = full.groupBy("n", "members").agg(F.min("key").alias("key"))
+
+    def search(tree: list, queries: list) -> Iterator[tuple]:
+        a, b = _cell_links(*tree, *queries, radius)
+        yield np.minimum(a, b), np.maximum(a, b)
+
+    return _searched(keyed, once, tree_size, search, "a bigint, b bigint").distinct()
+
+
+def untested(
+    sketches: DataFrame, roots: DataFrame, tested: DataFrame, most: int, radius: int = RADIUS, tree_size: int = TREE
+) -> DataFrame:
+    """Links ``(a, b)`` of a band, within the radius, whose ends have different roots and
+    that are not among ``tested (a, b)``: of every two roots the ``most`` closest."""
+    rooted = sketches.join(roots, "node", "left").select("fp", "node", F.coalesce("root", "node").alias("root"), "keys")
+    keyed = rooted.select("fp", "node", "root", F.explode("keys").alias("key"))
+    several = F.min("root") != F.max("root")
+    full = keyed.groupBy("key").agg(
+        F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("members"), several.alias("several")
+    )
+    once = full.where("several").groupBy("n", "members").agg(F.min("key").alias("key"))
+
+    def search(tree: list, queries: list) -> Iterator[tuple]:
+        for a, b, root_a, root_b, distance in _between(tree, queries, radius):
+            yield np.minimum(a, b), np.maximum(a, b), np.minimum(root_a, root_b), np.maximum(root_a, root_b), distance
+
+    found = _searched(keyed, once, tree_size, search, "a bigint, b bigint, low bigint, high bigint, distance int")
+    new = found.distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    order = Window.partitionBy("low", "high").orderBy("distance", "a", "b")
+    return new.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select("a", "b")
 
 
 def alike(a: str = "text_a", b: str = "text_b", similarity: float = SIMILARITY) -> Column:
@@ -199,16 +270,30 @@ def _groups(marked: DataFrame, text: str, similarity: float) -> tuple[DataFrame,
         ),
         "nodes",
     )
-    links = through_table(candidates(nodes.select("node", "fp", "keys")), "candidates")
+    sketches = nodes.select("node", "fp", "keys")
+    links = through_table(candidates(sketches), "candidates")
     ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    # Every node sends the text of its first row, once.
+    # Every node sends the text of its first row, once. A node with any candidate has one here.
     firsts = ends.join(nodes.select("node", "first"), "node").select("node", F.col("first").alias("__order"))
     sent = marked.select(F.col("__sketch.node").alias("node"), "__order", F.col(text).alias("text"))
     texts = through_table(sent.join(firsts, ["node", "__order"]).dropDuplicates(["node"]).select("node", "text"), "texts")
-    pairs = links.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(
-        texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b"
-    )
-    return nodes, components(pairs.where(alike(similarity=similarity)).select("a", "b"))
+    tested, most = None, FIRST
+    while True:
+        pairs = links.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(
+            texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b"
+        )
+        found = through_table(pairs.select("a", "b", alike(similarity=similarity).alias("alike")), "checked")
+        tested = found if tested is None else tested.unionByName(found)
+        roots = through_table(components(tested.where("alike").select("a", "b")), "roots")
+        # Groups that have untested links between them have a failed one too.
+        ends = [roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in ("a", "b")]
+        failed = found.where("not alike").join(ends[0], "a", "left").join(ends[1], "b", "left")
+        if failed.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).isEmpty():
+            return nodes, roots
+        links = through_table(untested(sketches, roots, tested, most), "untested")
+        if links.isEmpty():
+            return nodes, roots
+        most *= MORE
 
 
 def _least(nodes: DataFrame, roots: DataFrame) -> DataFrame:
@@ -227,8 +312,8 @@ def groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text", simil
     of fewer than five words are alike only when their words are equal; repeated rows
     appear as often as they are given; a null id comes after all others; an empty table
     gives none; other columns only tell rows of one id apart. Every link is checked
-    exactly; of the links within a band only the closest are looked at, so a group can
-    fall apart where a more distant link alone would hold it together.
+    exactly. The closest links of a band are checked first; where one of them fails, those
+    left between two groups follow until none is left that could join them.
     """
     marked = through_table(_marked(docs, id_column, text).select(F.col(id_column).alias("id"), F.col(text).alias("text"), "__sketch", "__order"), "marked")
     nodes, roots = _groups(marked, "text", similarity)

@@ -118,3 +118,24 @@ def test_odd_rows(spark, make_docs):
     assert similar.groups(docs.limit(0)).count() == 0 == similar.keep_one(docs.limit(0)).count()
     only = make_docs({"text": "a b", "doc_id": None}, {"text": "a b", "doc_id": None})
     assert similar.keep_one(only).count() == 1
+
+
+def test_distant_link_alone_joins(spark, make_docs, monkeypatch):
+    """Texts in one band whose closest fingerprints are not alike: the links of all pairs
+    are found, however few are checked at first."""
+    monkeypatch.setattr(similar, "FIRST", 1)
+    monkeypatch.setattr(similar, "MORE", 2)
+    texts = [f"{side} " + " ".join(f"w{i}" for i in range(n)) for n in (20, 22, 24, 27, 30) for side in ("a", "b")]
+    # Every text has all bands in common, and its fingerprint says little.
+    nodes = {similar.sketch(t)[0]: i for i, t in enumerate(texts)}
+
+    @similar.F.pandas_udf("node bigint, fp bigint, keys array<bigint>")
+    def close(column: similar.pd.Series) -> similar.pd.DataFrame:
+        node = [similar.sketch(t)[0] for t in column]
+        signed = np.array(node, np.uint64).view(np.int64)
+        return similar.pd.DataFrame({"node": signed, "fp": [(1 << (nodes[n] * 3 % 10)) - 1 for n in node], "keys": [np.array([1])] * len(node)})
+
+    monkeypatch.setattr(similar, "sketch_column", lambda text="text": close(similar.F.col(text)))
+    found = {r.doc_id: r.group_id for r in similar.groups(make_docs(*texts)).collect()}
+    expected, _ = slow_groups(texts)
+    assert [found[i] for i in range(len(texts))] == expected
