@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bibliolake.sources.workspace import through_table
@@ -28,10 +28,11 @@ BANDS, ROWS = 12, 4
 SEED, WHOLE_SEED = 42, 7
 #: Documents of one tree at most.
 TREE = 2048
-#: Shingles that are worked on at a time, and links.
-BLOCK, LINKS = 1 << 14, 1 << 18
-#: Links of two groups that are checked in the second step, and by how much more in each
-#: step after it.
+#: Shingles that are worked on at a time, in a text and in the texts compared with one.
+BLOCK, CHECKED = 1 << 14, 1 << 22
+#: Bytes of texts in one shard of a band at most.
+BYTES = 16 << 20
+#: Closest texts that one text is compared with at first, and by how many times more then.
 FIRST, MORE = 32, 8
 
 _RNG = np.random.default_rng(SEED)
@@ -127,76 +128,6 @@ def _cell_links(tree: np.ndarray, tree_nodes: np.ndarray, ask: np.ndarray, ask_n
     return nodes[a[taken]], nodes[b[taken]]
 
 
-def _between(tree: tuple, ask: tuple, radius: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """All links ``(a, b, root_a, root_b, distance)`` of the nodes of one tree and its
-    queries whose roots differ, some at a time. Both sides are fingerprints, nodes, roots."""
-    values, own = np.unique(tree[0], return_inverse=True)
-    asked, ask_own = np.unique(ask[0], return_inverse=True)
-    query, value = Forest(values, np.zeros(len(values), np.int64)).within(asked, np.zeros(len(asked), np.int64), radius)
-    # The members of a value lie side by side.
-    order, ask_order = np.argsort(own, kind="stable"), np.argsort(ask_own, kind="stable")
-    start, ask_start = (np.searchsorted(o[i], np.arange(len(v) + 1)) for o, i, v in ((own, order, values), (ask_own, ask_order, asked)))
-    size, ask_size = np.diff(start)[value], np.diff(ask_start)[query]
-    ends = np.cumsum(size * ask_size)
-    i = 0
-    while i < len(ends):
-        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + LINKS, "right")))
-        n = size[i:j] * ask_size[i:j]
-        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        each = np.repeat(size[i:j], n)
-        t = order[np.repeat(start[value[i:j]], n) + place % each]
-        q = ask_order[np.repeat(ask_start[query[i:j]], n) + place // each]
-        apart = tree[2][t] != ask[2][q]
-        t, q = t[apart], q[apart]
-        yield tree[1][t], ask[1][q], tree[2][t], ask[2][q], np.bitwise_count(tree[0][t] ^ ask[0][q]).astype(np.int32)
-        i = j
-
-
-def _searched(keyed: DataFrame, bands: DataFrame, tree_size: int, search, schema: str) -> DataFrame:
-    """What ``search`` finds between every two shards of each of the ``bands (key, n)``;
-    it gets two sides with an array for each column of ``keyed`` but the key."""
-    columns = [c for c in keyed.columns if c != "key"]
-    names = [c.split()[0] for c in schema.split(", ")]
-    shards = bands.select("key", F.ceil(F.col("n") / tree_size).alias("shards"))
-    dealt = keyed.join(shards, "key").select(
-        "key",
-        F.struct(*columns).alias("one"),
-        F.pmod(F.xxhash64("node"), F.col("shards")).alias("own"),
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("shards") - 1)).alias("other"),
-    )
-    low, high = F.least("own", "other"), F.greatest("own", "other")
-    cells = dealt.groupBy("key", low.alias("low"), high.alias("high")).agg(
-        F.collect_list(F.when(F.col("own") == low, F.col("one"))).alias("tree"),
-        F.collect_list(F.when(F.col("own") == high, F.col("one"))).alias("queries"),
-    )
-
-    def joined(held: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], names)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sides = []
-            for name in ("tree", "queries"):
-                lists = batch.column(name)
-                ends = np.concatenate(([0], np.cumsum(np.diff(lists.offsets.to_numpy(zero_copy_only=False)))))
-                flat = lists.flatten()
-                values = [flat.field(c).to_numpy() for c in columns]
-                sides.append((ends, [v.view(np.uint64) if c == "fp" else v for c, v in zip(columns, values)]))
-            held, n = [], 0
-            for row in range(batch.num_rows):
-                for found in search(*([v[ends[row] : ends[row + 1]] for v in side] for ends, side in sides)):
-                    held.append(found)
-                    n += len(found[0])
-                    if n >= LINKS:
-                        yield joined(held)
-                        held, n = [], 0
-            if n:
-                yield joined(held)
-
-    some = cells.where((F.size("tree") > 0) & (F.size("queries") > 0)).select("tree", "queries")
-    return some.mapInArrow(run, schema)
-
-
 def candidates(sketches: DataFrame, radius: int = RADIUS, tree_size: int = TREE) -> DataFrame:
     """Links ``(a, b)``, ``a < b``, between nodes of ``sketches (node, fp, keys)``, whose
     nodes are distinct: within every band the closest ones that join the same groups as
@@ -206,38 +137,137 @@ def candidates(sketches: DataFrame, radius: int = RADIUS, tree_size: int = TREE)
     ``tree_size`` nodes, each a BK-tree, and for every two shards one searches the tree
     of the other, so a task holds two shards, however many documents a band has.
     """
-    keyed = sketches.select("fp", "node", F.explode("keys").alias("key"))
+    keyed = sketches.select("node", "fp", F.explode("keys").alias("key"))
     full = keyed.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("members")).where("n > 1")
-    once = full.groupBy("n", "members").agg(F.min("key").alias("key"))
+    once = full.groupBy("n", "members").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / tree_size).alias("shards"))
+    dealt = _dealt(keyed.join(once, "key")).withColumn("one", F.struct("fp", "node"))
+    cells = dealt.groupBy("key", "low", "high").agg(
+        F.collect_list(F.when(F.col("own") == F.col("low"), F.col("one"))).alias("tree"),
+        F.collect_list(F.when(F.col("own") == F.col("high"), F.col("one"))).alias("queries"),
+    )
 
-    def search(tree: list, queries: list) -> Iterator[tuple]:
-        a, b = _cell_links(*tree, *queries, radius)
-        yield np.minimum(a, b), np.maximum(a, b)
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = []
+            for name in ("tree", "queries"):
+                lists = batch.column(name)
+                ends = np.concatenate(([0], np.cumsum(np.diff(lists.offsets.to_numpy(zero_copy_only=False)))))
+                flat = lists.flatten()
+                sides.append((ends, flat.field("fp").to_numpy().view(np.uint64), flat.field("node").to_numpy()))
+            found = []
+            (te, tf, tn), (qe, qf, qn) = sides
+            for row in range(batch.num_rows):
+                t, q = slice(te[row], te[row + 1]), slice(qe[row], qe[row + 1])
+                found.append(_cell_links(tf[t], tn[t], qf[q], qn[q], radius))
+            if found:
+                a, b = (np.concatenate([f[i] for f in found]) for i in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-    return _searched(keyed, once, tree_size, search, "a bigint, b bigint").distinct()
+    some = cells.where((F.size("tree") > 0) & (F.size("queries") > 0)).select("tree", "queries")
+    return some.mapInArrow(search, "a bigint, b bigint").distinct()
 
 
-def untested(
-    sketches: DataFrame, roots: DataFrame, tested: DataFrame, most: int, radius: int = RADIUS, tree_size: int = TREE
-) -> DataFrame:
-    """Links ``(a, b)`` of a band, within the radius, whose ends have different roots and
-    that are not among ``tested (a, b)``: of every two roots the ``most`` closest."""
-    rooted = sketches.join(roots, "node", "left").select("fp", "node", F.coalesce("root", "node").alias("root"), "keys")
-    keyed = rooted.select("fp", "node", "root", F.explode("keys").alias("key"))
-    several = F.min("root") != F.max("root")
-    full = keyed.groupBy("key").agg(
-        F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("members"), several.alias("several")
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows with ``node`` and ``shards`` in each cell, two shards ``low`` and ``high`` of
+    their band, of which ``own`` is theirs."""
+    dealt = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("shards"))).withColumn(
+        "other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("shards") - 1))
     )
-    once = full.where("several").groupBy("n", "members").agg(F.min("key").alias("key"))
+    return dealt.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")}).drop("other", "shards")
+
+
+def _joining(
+    fp: np.ndarray, root: np.ndarray, keys: np.ndarray, band: int, texts: list[str], sides: tuple[np.ndarray, np.ndarray],
+    radius: int, similarity: float,
+) -> list[tuple[int, int]]:
+    """Pairs of rows, one of either side, that are alike and join all that is joined by the
+    alike pairs within the radius whose first common band is this one. Both sides are
+    numbers of rows; where they are the same rows, each pair is looked at once."""
+    tree, ask = sides
+    group = np.unique(root, return_inverse=True)[1]
+    values, own = np.unique(fp[tree], return_inverse=True)
+    asked, ask_own = np.unique(fp[ask], return_inverse=True)
+    query, value = Forest(values, np.zeros(len(values), np.int64)).within(asked, np.zeros(len(asked), np.int64), radius)
+    order = np.argsort(query, kind="stable")
+    value, start = value[order], np.searchsorted(query[order], np.arange(len(asked) + 1))
+    numbers, size, mark = None, None, None
+    found = []
+    for q, at in zip(ask.tolist(), ask_own.tolist()):
+        near = np.zeros(len(values), bool)
+        near[value[start[at] : start[at + 1]]] = True
+        left = tree[near[own]]
+        if tree is ask:
+            left = left[left > q]
+        left = left[group[left] != group[q]]
+        left = left[(keys[left] == keys[q]).argmax(axis=1) == band]
+        if not len(left):
+            continue
+        if numbers is None:  # many cells have no pair left
+            hashes = [shingles(t) for t in texts]
+            size = np.array([len(h) for h in hashes])
+            distinct, flat = np.unique(np.concatenate(hashes), return_inverse=True)
+            numbers, mark = np.split(flat.astype(np.int32), np.cumsum(size)[:-1]), np.zeros(len(distinct), bool)
+        enough = lambda common, rows: common >= similarity * (size[q] + size[rows] - common)  # noqa: B023,E731
+        left = left[enough(np.minimum(size[q], size[left]), left)]
+        left = left[np.argsort(np.bitwise_count(fp[left] ^ fp[q]), kind="stable")]
+        mark[numbers[q]] = True
+        most = FIRST
+        while len(left):
+            now = left[: max(1, min(most, int(np.searchsorted(np.cumsum(size[left]), CHECKED, "right"))))]
+            starts = np.cumsum(size[now]) - size[now]
+            common = np.add.reduceat(mark[np.concatenate([numbers[i] for i in now])], starts, dtype=np.int64)
+            left = left[len(now) :]
+            for i in now[enough(common, now)].tolist():
+                if group[i] != group[q]:
+                    found.append((q, i))
+                    group[group == group[i]] = group[q]
+            left = left[group[left] != group[q]]
+            most *= MORE
+        mark[numbers[q]] = False
+    return found
+
+
+def joining(
+    sketches: DataFrame, roots: DataFrame, failed: DataFrame, texts: DataFrame, similarity: float = SIMILARITY,
+    radius: int = RADIUS, tree_size: int = TREE,
+) -> DataFrame:
+    """Links ``(a, b)`` between roots of nodes: all that join groups by pairs of a band, within
+    the radius, that are alike on the whole texts ``(node, text)``.
 
-    def search(tree: list, queries: list) -> Iterator[tuple]:
-        for a, b, root_a, root_b, distance in _between(tree, queries, radius):
-            yield np.minimum(a, b), np.maximum(a, b), np.minimum(root_a, root_b), np.maximum(root_a, root_b), distance
+    Groups with such a pair between them are both in a band with one of the ``failed (a, b)``
+    links of ``candidates``, whose ends have different roots. The pairs are checked where
+    the texts of two shards meet, each in the first of its bands, and leave a task only
+    when they join two groups, so no band sends more links than it has nodes.
+    """
+    kept = [sketches.select(F.col("node").alias(c), F.col("keys").alias(f"keys_{c}")) for c in ("a", "b")]
+    shared = F.explode(F.array_intersect("keys_a", "keys_b"))
+    bands = failed.join(kept[0], "a").join(kept[1], "b").select(shared.alias("key")).distinct()
+    sizes = texts.select("node", F.octet_length("text").cast("bigint").alias("bytes"))
+    rooted = sketches.join(sizes, "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    keyed = rooted.select("node", "fp", "root", "keys", "bytes", F.posexplode("keys").alias("band", "key")).join(bands, "key", "left_semi")
+    full = keyed.groupBy("key", "band").agg(
+        F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.bit_xor(F.xxhash64("node")).alias("members")
+    )
+    # Of bands with the same members the first, in which each pair of theirs is looked at.
+    once = full.groupBy("n", "members").agg(F.min(F.struct("band", "key", "bytes")).alias("one"))
+    shards = once.select("one.key", F.ceil(F.greatest(F.col("n") / tree_size, F.col("one.bytes") / BYTES)).alias("shards"))
+    dealt = _dealt(keyed.drop("bytes").join(shards, "key")).join(texts, "node")
+
+    def search(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks().sort_by("node")
+        column = lambda c: table[c].to_numpy()
+        root, own, low, high = map(column, ("root", "own", "low", "high"))
+        rows = np.arange(len(own))
+        sides = (rows, rows) if low[0] == high[0] else (np.flatnonzero(own == low), np.flatnonzero(own == high))
+        found = []
+        if all(map(len, sides)):
+            keys = table["keys"].combine_chunks().flatten().to_numpy().reshape(len(rows), -1)
+            texts = table["text"].to_pylist()
+            found = _joining(column("fp").view(np.uint64), root, keys, table["band"][0].as_py(), texts, sides, radius, similarity)
+        a, b = np.array(found, np.int64).reshape(-1, 2).T
+        return pa.table({"a": np.minimum(root[a], root[b]), "b": np.maximum(root[a], root[b])})
 
-    found = _searched(keyed, once, tree_size, search, "a bigint, b bigint, low bigint, high bigint, distance int")
-    new = found.distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
-    order = Window.partitionBy("low", "high").orderBy("distance", "a", "b")
-    return new.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select("a", "b")
+    return dealt.groupBy("key", "low", "high").applyInArrow(search, "a bigint, b bigint")
 
 
 def alike(a: str = "text_a", b: str = "text_b", similarity: float = SIMILARITY) -> Column:
@@ -277,23 +307,22 @@ def _groups(marked: DataFrame, text: str, similarity: float) -> tuple[DataFrame,
     firsts = ends.join(nodes.select("node", "first"), "node").select("node", F.col("first").alias("__order"))
     sent = marked.select(F.col("__sketch.node").alias("node"), "__order", F.col(text).alias("text"))
     texts = through_table(sent.join(firsts, ["node", "__order"]).dropDuplicates(["node"]).select("node", "text"), "texts")
-    tested, most = None, FIRST
-    while True:
-        pairs = links.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(
-            texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b"
-        )
-        found = through_table(pairs.select("a", "b", alike(similarity=similarity).alias("alike")), "checked")
-        tested = found if tested is None else tested.unionByName(found)
-        roots = through_table(components(tested.where("alike").select("a", "b")), "roots")
-        # Groups that have untested links between them have a failed one too.
-        ends = [roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in ("a", "b")]
-        failed = found.where("not alike").join(ends[0], "a", "left").join(ends[1], "b", "left")
-        if failed.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).isEmpty():
-            return nodes, roots
-        links = through_table(untested(sketches, roots, tested, most), "untested")
-        if links.isEmpty():
-            return nodes, roots
-        most *= MORE
+    pairs = links.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(
+        texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b"
+    )
+    checked = through_table(pairs.select("a", "b", alike(similarity=similarity).alias("alike")), "checked")
+    roots = through_table(components(checked.where("alike").select("a", "b")), "roots")
+    # Groups that have unchecked links between them have a failed one too.
+    ends = [roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in ("a", "b")]
+    failed = checked.where("not alike").join(ends[0], "a", "left").join(ends[1], "b", "left")
+    apart = failed.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+    more = through_table(joining(sketches, roots, through_table(apart, "failed"), texts, similarity), "joining")
+    if more.isEmpty():
+        return nodes, roots
+    merged = through_table(components(more), "merged")
+    moved = merged.select(F.col("node").alias("root"), F.col("root").alias("now"))
+    own = roots.join(moved, "root", "left").select("node", F.coalesce("now", "root").alias("root"))
+    return nodes, own.unionByName(merged.join(roots, "node", "left_anti"))
 
 
 def _least(nodes: DataFrame, roots: DataFrame) -> DataFrame:
@@ -312,8 +341,8 @@ def groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text", simil
     of fewer than five words are alike only when their words are equal; repeated rows
     appear as often as they are given; a null id comes after all others; an empty table
     gives none; other columns only tell rows of one id apart. Every link is checked
-    exactly. The closest links of a band are checked first; where one of them fails, those
-    left between two groups follow until none is left that could join them.
+    exactly. The closest links of a band are checked first; where one of them fails, all
+    that are left between two groups of the band follow.
     """
     marked = through_table(_marked(docs, id_column, text).select(F.col(id_column).alias("id"), F.col(text).alias("text"), "__sketch", "__order"), "marked")
     nodes, roots = _groups(marked, "text", similarity)

@@ -139,3 +139,43 @@ def test_distant_link_alone_joins(spark, make_docs, monkeypatch):
     found = {r.doc_id: r.group_id for r in similar.groups(make_docs(*texts)).collect()}
     expected, _ = slow_groups(texts)
     assert [found[i] for i in range(len(texts))] == expected
+
+
+def test_unlike_texts_of_one_band_send_few_links(spark, make_docs, monkeypatch):
+    """Texts that all meet in each band, hardly any of them alike: no step may send a row for
+    each pair of them, and no link may be lost."""
+    rng = random.Random(6)
+    common = [f"w{i}" for i in range(60)]
+    texts = [" ".join(common + rng.choices(["u", "v", "x", "y", "z"], k=40)) for _ in range(80)]
+    texts += [t + " end" for t in texts[:10]]
+
+    @similar.F.pandas_udf("node bigint, fp bigint, keys array<bigint>")
+    def close(column: similar.pd.Series) -> similar.pd.DataFrame:
+        node = np.array([similar.sketch(t)[0] for t in column], np.uint64).view(np.int64)
+        return similar.pd.DataFrame({"node": node, "fp": [n & 0x3FF for n in node], "keys": [np.array([1, 2])] * len(node)})
+
+    monkeypatch.setattr(similar, "sketch_column", lambda text="text": close(similar.F.col(text)))
+    monkeypatch.setattr(similar, "TREE", 30)
+    written, through_table = {}, similar.through_table
+
+    def counted(df, name):
+        table = through_table(df, name)
+        written[name] = max(written.get(name, 0), table.count())
+        return table
+
+    monkeypatch.setattr(similar, "through_table", counted)
+    found = {r.doc_id: r.group_id for r in similar.groups(make_docs(*texts)).collect()}
+    expected, linked = slow_groups(texts)
+    assert 0 < len(linked) < 100
+    assert [found[i] for i in range(len(texts))] == expected
+    assert max(written.values()) <= 10 * len(texts)
+
+
+def test_joining_in_shards(spark, make_docs, monkeypatch):
+    """The same groups when the texts of a band are cut into shards by their bytes."""
+    texts = planted(seed=3, bases=12)
+    docs = make_docs(*texts)
+    whole = {r.doc_id: r.group_id for r in similar.groups(docs).collect()}
+    monkeypatch.setattr(similar, "BYTES", 2_000)
+    monkeypatch.setattr(similar, "CHECKED", 100)
+    assert {r.doc_id: r.group_id for r in similar.groups(docs).collect()} == whole
