@@ -146,8 +146,9 @@ def raw_written_and_read(spark, sf_dir):
     f"WITH {PAPERS_SQL} SELECT file_id, CAST(2 AS BIGINT) AS copies FROM papers",
 )
 def raw_appended_twice(spark, sf_dir):
-    where = _written_raw(spark, sf_dir)
-    docs = raw_documents(spark, sf_dir)
+    docs = through_table(raw_documents(spark, sf_dir), "documents")
+    where = new_path(spark, "raw")
+    write_raw(docs, where)
     write_raw(docs, where, mode="append")
     write_raw(docs, where, mode="append", skip_present=True)
     return read_raw(spark, where).groupBy("file_id").agg(F.count("*").alias("copies"))

@@ -172,8 +172,13 @@ def write_raw(docs: DataFrame, where: str, mode: str = "overwrite", skip_present
     """Write or append the raw table, one folder per year. Appending the same
     documents twice doubles them unless ``skip_present`` is set."""
     if skip_present and mode == "append":
-        present = docs.sparkSession.read.parquet(where).select("file_id")
-        docs = docs.join(present, "file_id", "left_anti").dropDuplicates(["file_id"])
+        present = docs.sparkSession.read.parquet(where).select("file_id").distinct()
+        # Ids are compared without their documents; few new ones are then broadcast.
+        absent = through_table(docs.select("file_id").distinct().join(present, "file_id", "left_anti"), "absent")
+        if absent.isEmpty():
+            return
+        chosen = absent.withColumnRenamed("file_id", "id")
+        docs = docs.join(chosen, F.col("file_id").eqNullSafe(F.col("id")), "left_semi").dropDuplicates(["file_id"])
     by_year(docs).write.mode(mode).partitionBy("year").parquet(where)
 
 

@@ -72,6 +72,18 @@ def test_raw_table_append(spark, tmp_path):
     assert read_raw(spark, where).count() == 1
 
 
+def test_append_of_present_documents_reads_ids_only(spark, tmp_path):
+    """Documents that are there already are not built again; null ids are kept once, as ever."""
+    where = str(tmp_path / "raw")
+    write_raw(raw(spark, [201800000, 201900000]), where)
+    built = F.udf(lambda i: 1 / 0, "string")("file_id")
+    write_raw(raw(spark, [201900000, 201800000]).withColumn("raw_json", built), where, mode="append", skip_present=True)
+    assert read_raw(spark, where).count() == 2
+    nulls = spark.createDataFrame([(None, 2018, "a"), (None, 2018, "a"), (7, 2018, "b"), (7, 2018, "b")], "file_id bigint, year int, raw_json string")
+    write_raw(nulls, where, mode="append", skip_present=True)
+    assert sorted(str(r.file_id) for r in read_raw(spark, where).collect()) == ["201800000", "201900000", "7", "None"]
+
+
 def test_year_filter_prunes_folders(spark, tmp_path):
     where = str(tmp_path / "raw")
     write_raw(raw(spark, [201800000, 201900000]), where)
