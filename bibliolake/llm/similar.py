@@ -237,7 +237,7 @@ def joining(
     Groups with such a pair between them are both in a band with one of the ``failed (a, b)``
     links of ``candidates``, whose ends have different roots. The pairs are checked where
     the texts of two shards meet, each in the first of its bands, and leave a task only
-    when they join two groups, so no band sends more links than it has nodes.
+    when they join two groups, so two shards send fewer links than they have nodes.
     """
     kept = [sketches.select(F.col("node").alias(c), F.col("keys").alias(f"keys_{c}")) for c in ("a", "b")]
     shared = F.explode(F.array_intersect("keys_a", "keys_b"))
