@@ -198,6 +198,22 @@ def test_staged_search_equals_separate_fits(spark):
     assert chosen["accuracy"] == max(r.accuracy for r in model.scores.collect()) > 0.7
 
 
+def test_grid_search_runs_few_jobs(spark, monkeypatch):
+    """A job for each level of 30 rounds would be 90; the same with rows of several lots."""
+    random = np.random.default_rng(4)
+    rows = [(i, int(a + random.normal() / 3 > 0), a, random.normal()) for i, a in enumerate(random.normal(size=300).tolist())]
+    df = spark.createDataFrame(rows, "file_id bigint, label int, a double, b double")
+    found = []
+    for least in (1_000, 50):
+        monkeypatch.setattr("bibliolake.operators.boosting.LEAST_ROWS", least)
+        spark.sparkContext.setJobGroup(f"grid-{least}", "")
+        model = impact.tune_gbt(df, [2, 3], [10, 30], [0.1, 0.3], folds=2)
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"grid-{least}")) < 60
+        found.append([r.accuracy for r in model.scores.collect()])
+    spark.sparkContext.setJobGroup("others", "")
+    assert found[0] == pytest.approx(found[1], abs=0.02)
+
+
 def slow_tree(rows, g, h, depth, step):
     """Margins of one tree over rows of bins, split by every cut of every feature."""
     from bibliolake.operators import boosting as b
