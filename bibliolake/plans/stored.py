@@ -50,9 +50,13 @@ def _store(folder: str):
 def _files_writer(folder: str):
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, root = _store(folder)
+        made = set()
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
-                store.create_dir(f"{root}/{path.split('/')[0]}")
+                year = path.split("/")[0]
+                if year not in made:
+                    store.create_dir(f"{root}/{year}")
+                    made.add(year)
                 with store.open_output_stream(f"{root}/{path}") as out:
                     out.write(content.encode())
             yield pd.DataFrame({"n": [len(batch)]})

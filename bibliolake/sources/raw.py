@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import re
+import string
+import unicodedata
 import zipfile
 import zlib
 from collections.abc import Iterator, Sequence
+from functools import reduce
 from urllib.parse import quote
 
 import pandas as pd
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.variants import allow_repeated_keys
@@ -23,6 +26,10 @@ NAMES_PER_BATCH = 10_000
 DOCS_PER_BATCH, BYTES_PER_BATCH = 1_000, 8 << 20
 #: Compressed bytes of members that one task reads, if there are enough of them.
 BYTES_PER_TASK = 64 << 20
+#: Endings, in any case, of files that Spark unpacks while it reads them.
+COMPRESSED = (".gz", ".bz2", ".deflate", ".snappy", ".lz4", ".zst")
+#: What may stand in the path of a URI besides characters beyond ASCII.
+PLAIN = frozenset(string.ascii_letters + string.digits + "_-!.~'()*/:@&=+$,;")
 # Fixed values of the archive format.
 LOCAL_HEADER, STORED, DEFLATED = 30, 0, 8
 
@@ -54,14 +61,93 @@ def split_documents(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def document_files(spark: SparkSession, folder: str) -> DataFrame:
     """``(path, value)`` of the files below a folder, the text as it is, so that key
-    order and non-ASCII characters survive. The driver lists the files: for many
-    millions of documents use archives."""
-    return (
-        spark.read.option("wholetext", True)
-        .option("recursiveFileLookup", True)
-        .text(folder)
-        .select(F.col("_metadata.file_path").alias("path"), "value")
-    )
+    order and non-ASCII characters survive.
+
+    A folder that all machines reach as a local one is listed and read by the tasks, once,
+    into a table, which spares the cost of a reader of Spark for each file. Other stores,
+    single files, patterns and compressed files go through that reader; the driver lists them.
+    """
+    root = _local_folder(spark, folder)
+    if root is None:
+        return _by_spark(spark, folder)
+    listed = list_files(spark, root)
+    packed = reduce(Column.__or__, [F.lower("place").endswith(suffix) for suffix in COMPRESSED])
+    n, size, others = listed.agg(F.count("*"), F.sum("size"), F.count_if(packed)).first()
+    tasks = max(spark.sparkContext.defaultParallelism, (size or 0) // BYTES_PER_TASK, n // NAMES_PER_BATCH)
+    contents = listed.filter(~packed).repartition(tasks).mapInPandas(_read_files, "path string, content binary")
+    # Documents and rejected files then come from one reading of the files.
+    files = through_table(contents.select("path", F.col("content").cast("string").alias("value")), "contents")
+    if not others:
+        return files
+    endings = ["".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in suffix) for suffix in COMPRESSED]
+    return files.unionByName(_by_spark(spark, folder, "*{" + ",".join(endings) + "}"))
+
+
+def _by_spark(spark: SparkSession, folder: str, names: str = "*") -> DataFrame:
+    # As an argument: the method overrides an option of the reader.
+    files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter=names)
+    return files.select(F.col("_metadata.file_path").alias("path"), "value")
+
+
+def _local_folder(spark: SparkSession, folder: str) -> str | None:
+    """Path of an existing folder of the local kind without its scheme, else None."""
+    if re.search(r"[{}\[\]*?\\]", folder):
+        return None
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    whole = store.makeQualified(path).toUri()
+    if whole.getScheme() != "file" or not store.exists(path) or not store.getFileStatus(path).isDirectory():
+        return None
+    return whole.getPath()
+
+
+def list_files(spark: SparkSession, folder: str) -> DataFrame:
+    """``(place, size)`` of the files below a local folder that Spark would read: not empty,
+    not hidden, not in a hidden folder. Folders of one level are listed by the tasks."""
+    folders = spark.createDataFrame([(folder,)], "place string")
+    levels = []
+    while not levels or not folders.isEmpty():
+        dealt = folders.repartition(spark.sparkContext.defaultParallelism) if levels else folders
+        level = through_table(dealt.mapInPandas(_list_folders, "place string, size bigint, folder boolean"), "files")
+        levels.append(level.filter("not folder").select("place", "size"))
+        folders = level.filter("folder").select("place")
+    return reduce(DataFrame.unionByName, levels)
+
+
+def _list_folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for folder in batch["place"]:
+            found = []
+            for entry in fs.LocalFileSystem().get_file_info(fs.FileSelector(folder)):
+                is_folder, name = entry.type == fs.FileType.Directory, entry.base_name
+                hidden = name.startswith(".") or name.endswith("._COPYING_") or name.startswith("_") and "=" not in name
+                if is_folder and name.startswith(("_metadata", "_common_metadata")):
+                    hidden = False
+                if not hidden and (is_folder or entry.type == fs.FileType.File and entry.size):
+                    found.append((entry.path, entry.size or 0, is_folder))
+            for start in range(0, len(found), NAMES_PER_BATCH):
+                yield pd.DataFrame(found[start : start + NAMES_PER_BATCH], columns=["place", "size", "folder"])
+
+
+def _as_uri(place: str) -> str:
+    """A local path as Spark names it: only what cannot stand in a URI is escaped."""
+    plain = lambda c: c in PLAIN or c > "\x7f" and unicodedata.category(c) not in ("Cc", "Zs", "Zl", "Zp")
+    return "file:" + "".join(c if plain(c) else quote(c, safe="") for c in place)
+
+
+def _read_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    paths, contents, held = [], [], 0
+    for batch in batches:
+        for place in batch["place"]:
+            with _open(place) as stream:
+                contents.append(stream.read())
+            paths.append(_as_uri(place))
+            held += len(contents[-1])
+            if len(paths) >= DOCS_PER_BATCH or held >= BYTES_PER_BATCH:
+                yield pd.DataFrame({"path": paths, "content": contents})
+                paths, contents, held = [], [], 0
+    if paths:
+        yield pd.DataFrame({"path": paths, "content": contents})
 
 
 def read_documents(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:

@@ -1,3 +1,4 @@
+import gzip
 import json
 import zipfile
 
@@ -5,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bibliolake.sources import audit, tables
-from bibliolake.sources.raw import archive_files, read_archives, read_documents, read_raw, write_raw
+from bibliolake.sources.raw import archive_files, document_files, read_archives, read_documents, read_raw, write_raw
 from bibliolake.sources.workspace import shared_folder, through_table
 
 
@@ -42,6 +43,27 @@ def test_read_documents(spark, files):
     check_documents(*read_documents(spark, str(root)), good, bad)
 
 
+def test_files_are_listed_and_read_by_the_tasks(spark, tmp_path):
+    """The rows of Spark's own reader of whole texts, without a reader for each file."""
+    root = tmp_path / "in put%41"
+    plain = ["2001/1.json", "2001/a b", "2001/50%25", "2001/x#y?", "2001/é日\u00a0", "2001/+&=;,@$!'()~", "2001/[x]{y}^`|\"<>", "2001/back\\slash", "2001/_a=b", "deep/er/7", "_metadata/3", "top"]
+    hidden = ["2001/.hid", "2001/_hid", "2001/_metadata", "2001/c._COPYING_", "_d/1", ".e/1"]
+    for name in plain + hidden:
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(f'{{"name":\r\n"{len(name)}"}}\n'.encode() + b"\xff")
+    (root / "2001/empty").write_bytes(b"")
+    found = document_files(spark, str(root))
+    assert "FileScan text" not in found._jdf.queryExecution().executedPlan().toString()
+    (root / "2001/2.json.GZ").write_bytes(gzip.compress(b"packed"))
+    for chosen, names in ((found, plain), (document_files(spark, str(root)), [*plain, "2001/2.json.GZ"])):
+        rows = {(r.path, r.v) for r in chosen.select("path", F.hex("value").alias("v")).collect()}
+        assert len(rows) == len(names) == chosen.count()
+    by_spark = spark.read.text(str(root), wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("path"), F.hex("value").alias("v"))
+    assert rows == {tuple(r) for r in by_spark.collect()}
+    one = document_files(spark, str(root / "2001/1.json")).collect()
+    assert len(one) == 1 and one[0].path.endswith("/in%20put%2541/2001/1.json")
+
+
 def test_read_archives(spark, files):
     good, bad, root = files
     with zipfile.ZipFile(root / "one.zip", "w") as z:
