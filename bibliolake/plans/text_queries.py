@@ -57,7 +57,7 @@ def ngrams(p):
 
 @over_papers("txt_04_vocabulary", "SELECT term, tf, df FROM vocab", ctes=TERMS)
 def vocabulary(p):
-    return x.vocabulary(terms(p), FEATURES)
+    return x.vocabulary_of_words(x.words_of(with_text(p).select("text"), STOP_WORDS), FEATURES, NGRAM)
 
 
 def fitted(p):
@@ -70,8 +70,7 @@ def fitted(p):
     ctes=TERMS,
 )
 def tfidf_weights(p):
-    model = fitted(p)
-    featured = model.transform(with_text(p).select("file_id", "text"))
+    model, featured = x.fit_transform_tfidf(with_text(p).select("file_id", "text"), FEATURES, NGRAM, STOP_WORDS)
     return x.weights(featured, model, ["file_id"]).withColumn("weight", F.round("weight", 6))
 
 

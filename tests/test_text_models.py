@@ -65,6 +65,43 @@ def test_model_can_be_saved(corpus, tmp_path):
     assert again.transform(corpus).orderBy("id").first().features == model.transform(corpus).orderBy("id").first().features
 
 
+def skewed(spark, rare=400):
+    """Texts of a few frequent words, some with rare ones between them."""
+    common = ["aa", "bb", "cc", "dd", "the"]
+    rows = [[common[(i * i + j) % 5] for j in range(i % 7)] + [f"rare{i % rare}"] + common[: i % 3] for i in range(900)]
+    return spark.createDataFrame([(i, " ".join(r)) for i, r in enumerate(rows)], "id int, text string").repartition(5)
+
+
+@pytest.mark.parametrize("ngram", [1, 2, 3])
+@pytest.mark.parametrize("size", [1, 4, 12, 100, 403, 404, 405, 2000])
+def test_vocabulary_by_words_is_that_of_all_terms(spark, ngram, size):
+    texts = skewed(spark)
+    want = Counter(), Counter()
+    for r in texts.collect():
+        terms = brute_terms(r.text, ngram)
+        want[0].update(terms)
+        want[1].update(set(terms))
+    order = sorted(want[0], key=lambda t: (-want[0][t], t))[:size]
+    got = text.vocabulary_of_words(text.words_of(texts.select("text"), STOP), size, ngram).collect()
+    assert [tuple(r) for r in got] == [(t, want[0][t], want[1][t]) for t in order]
+
+
+def test_ngrams_of_rare_words_are_not_counted(spark, monkeypatch):
+    counted = []
+    monkeypatch.setattr(text, "term_counts", lambda terms, count=text.term_counts: counted.append(terms) or count(terms))
+    text.fit_tfidf(skewed(spark), 4, 2, STOP)
+    assert not [t for r in counted[0].collect() for t in r.terms if "rare" in t]
+
+
+def test_vectors_of_the_fit_are_those_of_the_model(spark):
+    texts = skewed(spark)
+    model, featured = text.fit_transform_tfidf(texts, 12, 2, STOP)
+    assert featured.columns == ["id", "features"]
+    vectors = {r.id: r.features for r in model.transform(texts).collect()}
+    assert {r.id: r.features for r in featured.collect()} == vectors
+    assert text.vocabulary_of(model) == text.vocabulary_of(text.fit_tfidf(texts, 12, 2, STOP))
+
+
 def labelled(spark, sizes):
     rows = [(i, label) for i, label in enumerate(x for x, n in sizes.items() for _ in range(n))]
     return spark.createDataFrame(rows, "file_id bigint, label int")
