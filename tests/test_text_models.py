@@ -444,6 +444,51 @@ def test_silhouette_of_a_sample_is_within_its_error(spark):
         assert 0 < error < 0.05 and abs(got - exact) < 4 * error
 
 
+@pytest.mark.parametrize("size", [3, 40])
+def test_silhouette_measures_all_pairs(spark, monkeypatch, size):
+    """Also of clusters with thousands of rows, with copies, rows without an entry and a
+    cluster of copies alone, for rows in several groups and blocks."""
+    from bibliolake.operators import pairs
+
+    random = np.random.default_rng(9)
+    labels = np.array([random.integers(0, k, 2_400) for k in (2, 5)])
+    points = random.random((2_400, size)) * (random.random((2_400, size)) < 8 / size) + labels[0][:, None] * 0.2
+    points[100:300], points[500:510] = points[300:500], 0
+    points[600:640], labels[1][600:640] = points[600] + 0.5, 9
+    points[:, -5:] *= random.random((2_400, min(size, 5))) < 0.02
+    far = np.stack([np.sqrt(((points - p) ** 2).sum(axis=1)) for p in points])
+    want = []
+    for own in labels:
+        sums, sizes = np.stack([far[:, own == c].sum(axis=1) for c in np.unique(own)], axis=1), np.unique(own, return_counts=True)[1]
+        want.append(np.mean(pairs._values(sums, np.searchsorted(np.unique(own), own), sizes)))
+    frame = with_labels(spark, points, range(len(points))).collect()
+    rows = [(r.features, *[int(x) for x in labels[:, r.topic_cluster]]) for r in frame]
+    df = spark.createDataFrame(rows, ["features", "topic_cluster", "other"]).repartition(3)
+    got, error = topics.silhouette(df)
+    assert got == pytest.approx(want[0], abs=1e-6) and error == 0
+    monkeypatch.setattr(pairs, "BLOCK_ROWS", 100)
+    assert pairs.silhouettes(df, ["other", "topic_cluster"]) == pytest.approx(want[::-1], abs=1e-6)
+    assert pairs.silhouettes(df.withColumn("one", F.lit(1)), ["one", "other"]) == [None, pytest.approx(want[1], abs=1e-6)]
+
+
+def test_best_k_is_chosen_by_all_pairs(spark, vectors):
+    many = vectors.crossJoin(spark.range(20)).select("features")  # more than 512 rows of a cluster
+    scores = {r.k: r for r in topics.choose_k(many, 2, 3, 1, restarts=2).scores.collect()}
+    points = np.array([r.features.toArray() for r in many.collect()])
+    fits = topics.fit_all(many.persist(), [2, 3], restarts=2)
+    for k, row in scores.items():
+        fit = topics.best_fit([f for f in fits if f.k == k])
+        labels = topics._squared(points, (points**2).sum(axis=1), fit.centres).argmin(axis=1)
+        far = np.sqrt(((points[:, None] - points[None]) ** 2).sum(axis=2))
+        sums = np.stack([far[:, labels == c].sum(axis=1) for c in range(k)], axis=1)
+        sizes, me = np.bincount(labels), np.arange(len(points))
+        a = sums[me, labels] / (sizes[labels] - 1)
+        others = sums / sizes
+        others[me, labels] = np.inf
+        b = others.min(axis=1)
+        assert row.silhouette == pytest.approx(np.mean((b - a) / np.maximum(a, b))) and row.error == 0
+
+
 def test_silhouette_needs_two_clusters(spark, cloud):
     points, df = cloud
     assert topics.silhouette(with_labels(spark, points, [1] * len(points))) is None
