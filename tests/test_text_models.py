@@ -465,10 +465,10 @@ def test_silhouette_measures_all_pairs(spark, monkeypatch, size):
     rows = [(r.features, *[int(x) for x in labels[:, r.topic_cluster]]) for r in frame]
     df = spark.createDataFrame(rows, ["features", "topic_cluster", "other"]).repartition(3)
     got, error = topics.silhouette(df)
-    assert got == pytest.approx(want[0], abs=1e-6) and error == 0
+    assert got == pytest.approx(want[0], abs=1e-9) and error == 0
     monkeypatch.setattr(pairs, "BLOCK_ROWS", 100)
-    assert pairs.silhouettes(df, ["other", "topic_cluster"]) == pytest.approx(want[::-1], abs=1e-6)
-    assert pairs.silhouettes(df.withColumn("one", F.lit(1)), ["one", "other"]) == [None, pytest.approx(want[1], abs=1e-6)]
+    assert pairs.silhouettes(df, ["other", "topic_cluster"]) == pytest.approx(want[::-1], abs=1e-9)
+    assert pairs.silhouettes(df.withColumn("one", F.lit(1)), ["one", "other"]) == [None, pytest.approx(want[1], abs=1e-9)]
 
 
 def test_best_k_is_chosen_by_all_pairs(spark, vectors):
